@@ -81,10 +81,31 @@ def _tidy(df: DataFrame, keep: list[str], out: str) -> DataFrame:
     return df.select(*keep, out)
 
 
+def _points(df: DataFrame, **points: Column) -> DataFrame:
+    """Name the coordinates of each point. A missing one becomes NaN, so the arithmetic that follows
+    carries no NULL checks and stays small enough for the JIT compiler."""
+    nan = F.lit(float("nan"))
+    return _named(df, {name: tuple(F.coalesce(p[c], nan) for c in AXES) for name, p in points.items()})
+
+
+def _minus(df: DataFrame, **pairs: tuple[str, str]) -> DataFrame:
+    """Name the vectors ``to - from`` between named points."""
+    return _named(df, {
+        v: tuple(p - q for p, q in zip(_read(head), _read(tail))) for v, (head, tail) in pairs.items()
+    })
+
+
+def _known(value: Column) -> Column:
+    return F.when(~F.isnan(value), value)
+
+
 def add_distance(df: DataFrame, a: Column, b: Column, out: str = "value", cell=None) -> DataFrame:
     """Add the distance a-b; the three differences are named first and squared by name."""
-    d = _named(df, {"d": displacement(b, a, cell)})
-    return _tidy(d.withColumn(out, F.sqrt(dot(_read("d"), _read("d")))), df.columns, out)
+    t = _minus(_points(df, a=a, b=b), d=("b", "a"))
+    if cell is not None:
+        t = _named(t, {"d": tuple(min_image(x, length) for x, length in zip(_read("d"), cell))})
+    t = t.withColumn("_r", F.sqrt(dot(_read("d"), _read("d"))))
+    return _tidy(t.withColumn(out, _known(F.col("_r"))), df.columns, out)
 
 
 def add_angle(df: DataFrame, a: Column, b: Column, c: Column, out: str = "value") -> DataFrame:
@@ -92,11 +113,12 @@ def add_angle(df: DataFrame, a: Column, b: Column, c: Column, out: str = "value"
 
     Each step is a projection of its own, so no expression repeats a bigger one.
     """
-    d = _named(df, {"u": sub(a, b), "v": sub(c, b)})
+    t = _minus(_points(df, a=a, b=b, c=c), u=("a", "b"), v=("c", "b"))
     u, v = _read("u"), _read("v")
-    d = d.withColumns({"_n": F.sqrt(dot(u, u)) * F.sqrt(dot(v, v)), "_c": dot(u, v)})
-    d = d.withColumn(out, F.when(F.col("_n") != 0.0, _acos_degrees(F.col("_c") / F.col("_n"))))
-    return _tidy(d, df.columns, out)
+    t = t.withColumns({"_n": F.sqrt(dot(u, u)) * F.sqrt(dot(v, v)), "_c": dot(u, v)})
+    usable = (F.col("_n") != 0.0) & ~F.isnan("_n")
+    t = t.withColumn(out, F.when(usable, _acos_degrees(F.col("_c") / F.col("_n"))))
+    return _tidy(t, df.columns, out)
 
 
 def add_dihedral(
@@ -105,7 +127,7 @@ def add_dihedral(
     """Add the torsion a-b-c-d in (-180, 180]; "iupac" has the opposite sign. Collinear atoms give NULL."""
     if convention not in ("trajectory", "iupac"):
         raise ValueError(f"unknown dihedral convention {convention!r}")
-    t = _named(df, {"ab": sub(b, a), "bc": sub(c, b), "cd": sub(d, c)})
+    t = _minus(_points(df, a=a, b=b, c=c, d=d), ab=("b", "a"), bc=("c", "b"), cd=("d", "c"))
     t = _named(t, {"m": cross(_read("ab"), _read("bc")), "n": cross(_read("bc"), _read("cd"))})
     m, n, bc = _read("m"), _read("n"), _read("bc")
     # The lengths of the two normals are a common factor of sine and cosine and drop out of atan2.
@@ -114,11 +136,11 @@ def add_dihedral(
         "_cos": dot(m, n) * F.sqrt(dot(bc, bc)),
         "_ok": (dot(m, m) != 0.0) & (dot(n, n) != 0.0) & (dot(bc, bc) != 0.0),
     })
-    t = t.withColumn("_angle", F.when(F.col("_ok"), F.degrees(F.atan2("_sin", "_cos"))))
-    value = F.col("_angle")
+    t = t.withColumn("_angle", F.degrees(F.atan2("_sin", "_cos")))
+    value, usable = F.col("_angle"), F.col("_ok") & ~F.isnan("_angle")
     if convention == "iupac":
         value = F.when(value == 180.0, value).otherwise(-value)
-    return _tidy(t.withColumn(out, value), df.columns, out)
+    return _tidy(t.withColumn(out, F.when(usable, value)), df.columns, out)
 
 
 def wrap_360(degrees: Column) -> Column:
@@ -132,7 +154,7 @@ def time_ps(frame_id: Column, dt: float, sampling: int, origin: int = 0) -> Colu
 
 def lookup(table: dict[str, float], key: Column, default: float | None = None) -> Column:
     """Value of a fixed per-element table. An unknown element gives ``default`` or NULL."""
-    entries = F.create_map(*[F.lit(v) for pair in table.items() for v in pair])
+    entries = F.expr("map(" + ", ".join(f"'{k}', {v!r}D" for k, v in table.items()) + ")")
     value = F.try_element_at(entries, key)
     return value if default is None else F.coalesce(value, F.lit(default))
 

@@ -2,75 +2,60 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinetrove.functions import geometry as G
 from kinetrove.operators.frames import FRAME_KEY
 
-_MOMENTS = ("xx", "xy", "xz", "yy", "yz", "zz")
-
-
-@F.pandas_udf("struct<ux:double,uy:double,uz:double,wx:double,wy:double,wz:double>")
-def _two_axes(xx: pd.Series, xy: pd.Series, xz: pd.Series, yy: pd.Series, yz: pd.Series, zz: pd.Series) -> pd.DataFrame:
-    """Directions of least and middle spread of a batch of symmetric 3x3 matrices."""
-    m = np.stack([np.stack(r, axis=-1) for r in ((xx, xy, xz), (xy, yy, yz), (xz, yz, zz))], axis=-2)
-    _, vectors = np.linalg.eigh(m)
-    both = np.concatenate([vectors[:, :, 0], vectors[:, :, 1]], axis=1)
-    return pd.DataFrame(both, columns=["ux", "uy", "uz", "wx", "wy", "wz"])
 
-
-def _sign(points: str, axis: list[Column]) -> Column:
-    """-1 where the atom that projects farthest along the axis projects negatively; the first wins."""
-    by_size = F.transform(points, lambda p, i: F.struct(
-        F.abs(G.dot([p[c] for c in G.AXES], axis)).alias("size"), (-i).alias("first"),
-        G.dot([p[c] for c in G.AXES], axis).alias("at"),
-    ))
-    return F.when(F.array_max(by_size)["at"] < 0.0, -1.0).otherwise(1.0)
+def _orient(axes: np.ndarray, points: np.ndarray, frame: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Turn each axis so that the atom projecting farthest along it (the first of equals) is positive."""
+    along = np.einsum("ij,ij->i", points, axes[frame])
+    size = np.abs(along)
+    far = size == np.maximum.reduceat(size, starts)[frame]
+    first = np.minimum.reduceat(np.where(far, np.arange(len(size)), len(size)), starts)
+    return np.where(along[first] < 0.0, -1.0, 1.0)[:, None] * axes
+
+
+def _rotate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A batch of frames at once: centre, second moments, 3x3 eigenvectors, projection."""
+    for batch in batches:
+        pos = batch.column("pos")
+        flat = pos.flatten()
+        q = np.stack([pc.struct_field(flat, c).to_numpy(zero_copy_only=False) for c in "xyz"], axis=1)
+        sizes = pc.list_value_length(pos).to_numpy(zero_copy_only=False).astype(np.int64)
+        starts = np.cumsum(sizes) - sizes
+        frame = np.repeat(np.arange(len(sizes)), sizes)
+        q = q - (np.add.reduceat(q, starts) / sizes[:, None])[frame]
+        moments = np.add.reduceat(q[:, :, None] * q[:, None, :], starts) / sizes[:, None, None]
+        vectors = np.linalg.eigh(moments)[1]  # columns by rising spread
+        x = _orient(vectors[:, :, 0], q, frame, starts)
+        y = _orient(vectors[:, :, 1], q, frame, starts)
+        z = np.cross(x, y)
+        z = _orient(z / np.linalg.norm(z, axis=1, keepdims=True), q, frame, starts)
+        axes = np.stack([x, np.cross(z, x), z], axis=1)
+        axes[sizes == 1] = np.eye(3)
+        turned = np.einsum("ijk,ik->ij", axes[frame], q)
+        offsets = pa.array(np.append(starts, len(q)), pa.int32())
+        points = pa.StructArray.from_arrays([pa.array(turned[:, n]) for n in range(3)], names=list("xyz"))
+        columns = [batch.column(c) for c in (*FRAME_KEY, "elements")]
+        yield pa.RecordBatch.from_arrays(
+            [*columns, pa.ListArray.from_arrays(offsets, points)], names=[*FRAME_KEY, "elements", "pos"]
+        )
 
 
 def align_principal_axes(frames: DataFrame) -> DataFrame:
     """Packed frames centred at their centroid with x along the least and z along the largest spread.
 
-    The six second moments are built-in expressions; only they pass through Python, a batch of
-    frames at a time, and positions never leave the JVM.
+    A narrow step: frames pass through NumPy one Arrow batch at a time.
     """
-    n = F.size("pos").cast("double")
-
-    def mean(c):
-        return (F.aggregate("pos", F.lit(0.0), lambda acc, p: acc + p[c]) / n).alias(f"m{c}")
-
-    means = frames.select(*FRAME_KEY, "elements", "pos", *[mean(c) for c in G.AXES])
-    centred = means.select(
-        *FRAME_KEY, "elements",
-        F.transform("pos", lambda p: F.struct(*[(p[c] - F.col(f"m{c}")).alias(c) for c in G.AXES])).alias("q"),
-    )
-
-    def moment(ab):
-        total = F.aggregate("q", F.lit(0.0), lambda acc, p: acc + p[ab[0]] * p[ab[1]])
-        return (total / F.size("q").cast("double")).alias(ab)
-
-    moments = centred.select("*", *[moment(m) for m in _MOMENTS])
-    axes = moments.withColumn("_e", _two_axes(*_MOMENTS)).select(*FRAME_KEY, "elements", "q", "_e.*")
-    least, middle = [F.col(c) for c in ("ux", "uy", "uz")], [F.col(c) for c in ("wx", "wy", "wz")]
-    signed = axes.withColumn("_sx", _sign("q", least)).withColumn("_sy", _sign("q", middle))
-    x = [F.col("_sx") * c for c in least]
-    z = G.cross(x, [F.col("_sy") * c for c in middle])
-    length = F.sqrt(G.dot(z, z))
-    placed = signed.select(
-        *FRAME_KEY, "elements", "q", *[c.alias(f"x{n}") for n, c in enumerate(x)],
-        *[(c / length).alias(f"z{n}") for n, c in enumerate(z)],
-    )
-    zs = [F.col(f"z{n}") for n in range(3)]
-    placed = placed.withColumn("_sz", _sign("q", zs))
-    z_axis, x_axis = [F.col("_sz") * c for c in zs], [F.col(f"x{n}") for n in range(3)]
-    y_axis = G.cross(z_axis, x_axis)
-    single = F.size("q") == 1
-
-    def along(p, axis, c):
-        return F.when(single, p[c]).otherwise(G.dot([p[a] for a in G.AXES], axis)).alias(c)
-
-    turned = F.transform("q", lambda p: F.struct(along(p, x_axis, "x"), along(p, y_axis, "y"), along(p, z_axis, "z")))
-    return placed.select(*FRAME_KEY, "elements", turned.alias("pos"))
+    shape = "run_id string, frame_id bigint, elements array<string>, pos array<struct<x:double,y:double,z:double>>"
+    kept = frames.where(F.size("pos") > 0).select(*FRAME_KEY, "elements", F.transform(
+        "pos", lambda p: F.struct(*[p[c].alias(c) for c in "xyz"])
+    ).alias("pos"))
+    return kept.mapInArrow(_rotate, shape)

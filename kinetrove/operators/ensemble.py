@@ -20,16 +20,21 @@ from kinetrove.plans.staging import BROADCAST_ROWS, stage
 Groups = Sequence[Sequence[int]]
 
 
-def _weigh(masses: str):
-    return lambda label: G.lookup(K.MASSES[masses], F.element_at(F.col("elements"), label), 0.0)
+def _weighed(frames: DataFrame, masses: str) -> DataFrame:
+    """Add ``_mass``, the mass of every atom of the frame, looked up once; unknown elements weigh nothing."""
+    return frames.withColumn("_mass", F.transform("elements", lambda e: G.lookup(K.MASSES[masses], e, 0.0)))
+
+
+def _weight(label) -> Column:
+    return F.element_at("_mass", label)
 
 
 def group_centers(df: DataFrame, groups: Groups | DataFrame, masses: str | None = None) -> DataFrame:
     """Mean position (``masses=None``) or centre of mass per frame and group: group_id, x, y, z."""
     if isinstance(groups, DataFrame):
         return _long_centers(df, groups, masses)
-    weight = _weigh(masses) if masses else None
-    centers = F.array(*[G.weighted_center(F.col("pos"), list(g), weight) for g in groups])
+    df = _weighed(df, masses) if masses else df
+    centers = F.array(*[G.weighted_center(F.col("pos"), list(g), _weight if masses else None) for g in groups])
     rows = df.select(*FRAME_KEY, F.posexplode(centers).alias("_g", "_c"))
     return rows.select(*FRAME_KEY, (F.col("_g") + 1).alias("group_id"), *[F.col("_c")[c].alias(c) for c in G.AXES])
 
@@ -63,12 +68,12 @@ def bounding_radius(
     frames: DataFrame, groups: Groups, radii: dict[str, float] | None = None, masses: str = "general"
 ) -> DataFrame:
     """Largest distance of a group's atoms from its centre of mass, plus the atom's radius if given."""
-    pos, weight = F.col("pos"), _weigh(masses)
+    pos = F.col("pos")
     entries = F.array(*[
-        F.struct(F.array(*[F.lit(i) for i in g]).alias("ids"), G.weighted_center(pos, list(g), weight).alias("c"))
+        F.struct(F.array(*[F.lit(i) for i in g]).alias("ids"), G.weighted_center(pos, list(g), _weight).alias("c"))
         for g in groups
     ])
-    rows = frames.select(*FRAME_KEY, "pos", "elements", F.posexplode(entries).alias("_g", "_e"))
+    rows = _weighed(frames, masses).select(*FRAME_KEY, "pos", "elements", F.posexplode(entries).alias("_g", "_e"))
 
     def reach(i):
         d = G.distance(F.col("_e")["c"], F.element_at(pos, i))
@@ -103,10 +108,10 @@ def atom_kinetic_energy(frames: DataFrame, group: Sequence[int], masses: str = "
 
 def kinetic_energy(frames: DataFrame, group: Sequence[int], masses: str = "general") -> DataFrame:
     """Molar mass of a group and the kinetic energy of its centre of mass."""
-    pos, weight = F.col("pos"), _weigh(masses)
-    kg = reduce(Column.__add__, [weight(F.lit(i)) for i in group]) / 1000.0
-    com = frames.select(
-        *FRAME_KEY, kg.alias("molar_mass_kg"), G.weighted_center(pos, list(group), weight, ("vx", "vy", "vz")).alias("v")
+    kg = reduce(Column.__add__, [_weight(F.lit(i)) for i in group]) / 1000.0
+    com = _weighed(frames, masses).select(
+        *FRAME_KEY, kg.alias("molar_mass_kg"),
+        G.weighted_center(F.col("pos"), list(group), _weight, ("vx", "vy", "vz")).alias("v"),
     )
     v = [F.col("v")[c] for c in ("vx", "vy", "vz")]
     return com.select(*FRAME_KEY, "molar_mass_kg", _molar_kj(F.col("molar_mass_kg"), G.dot(v, v)).alias("kj_mol")).withColumn(
@@ -129,10 +134,9 @@ def aim_velocity(
     ``keep_internal``; other atoms keep their velocity or stop. Returns long atoms. A centre of mass
     that already lies on the target gives NULL velocities.
     """
-    pos, weight = F.col("pos"), _weigh(masses)
     fields = ("x", "y", "z", "vx", "vy", "vz")
-    com = frames.select(
-        *FRAME_KEY, "elements", "pos", G.weighted_center(pos, list(group), weight, fields).alias("m")
+    com = _weighed(frames, masses).select(
+        *FRAME_KEY, "elements", "pos", G.weighted_center(F.col("pos"), list(group), _weight, fields).alias("m")
     )
     d = [F.lit(float(t)) - F.col("m")[c] for t, c in zip(target, G.AXES)]
     length = F.sqrt(G.dot(d, d))
@@ -184,9 +188,9 @@ def density(
     a, b, c = (float(v) for v in cell)
     height = c if slab is None else slab[1] - slab[0]
     volume = a * b * height * 1e-24
-    rows = frames.select(*FRAME_KEY, F.arrays_zip("elements", "pos").alias("_z"))
+    rows = _weighed(frames, masses).select(*FRAME_KEY, F.arrays_zip("_mass", "pos").alias("_z"))
     kept = F.col("_z") if slab is None else F.filter("_z", lambda e: e["pos"]["z"].between(*map(float, slab)))
-    mass = F.aggregate(kept, F.lit(0.0), lambda acc, e: acc + G.lookup(K.MASSES[masses], e["elements"], 0.0))
+    mass = F.aggregate(kept, F.lit(0.0), lambda acc, e: acc + e["_mass"])
     grams = F.col("mass") * F.lit(K.AMU_GRAMS)
     return rows.select(*FRAME_KEY, mass.alias("mass")).withColumn(
         "density", grams / F.lit(volume) if volume > 0 else F.lit(0.0)

@@ -9,7 +9,7 @@ from __future__ import annotations
 import itertools
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinetrove.functions import geometry as G
@@ -30,44 +30,45 @@ def neighbor_pairs(
 ) -> DataFrame:
     """Pairs ``i < j`` (by ``ident``) within ``radius``: keys, i, j, d2 and ``carry`` columns as c_i, c_j.
 
-    With ``cell`` distances follow the minimum image and cells wrap around.
+    With ``cell`` distances follow the minimum image and cells wrap around. A frame's copies meet by
+    an equi-join on (keys, cell number).
     """
     cols, edge = ["x", "y", "z"], float(radius) * _SLACK
-    side = points.select(*keys, ident, *cols, *carry)
     if cell is None:
+        counts = [None] * 3
         index = [F.floor(F.col(c) / F.lit(edge)) for c in cols]
-        shell = _HALF_SHELL  # meets every unordered pair of cells exactly once
     else:
-        wrap = [max(1, int(length // edge)) for length in cell]
-        index = [F.pmod(F.floor(F.col(c) * n / F.lit(float(length))), F.lit(n)) for c, n, length in zip(cols, wrap, cell)]
-        shell = _FULL_SHELL
+        counts = [max(1, int(length // edge)) for length in cell]
+        index = [
+            F.pmod(F.floor(F.col(c) * n / F.lit(float(length))), F.lit(n)) for c, n, length in zip(cols, counts, cell)
+        ]
+    # With three or more cells along every axis half of the shell meets each pair of cells once.
+    # In a smaller periodic cell offsets coincide: all of them are used, each cell once.
+    half = all(n is None or n >= 3 for n in counts)
+    shell = _HALF_SHELL if half else _FULL_SHELL
+    side = points.select(*keys, ident, *cols, *carry, *[i.alias(f"_c{n}") for n, i in enumerate(index)])
 
-    def key_of(offset):
-        moved = [i + o for i, o in zip(index, offset)]
-        if cell is not None:
-            moved = [F.pmod(m, F.lit(n)) for m, n in zip(moved, wrap)]
-        return F.struct(*[m.cast("bigint").alias(n) for m, n in zip(moved, ("cx", "cy", "cz"))])
+    def key_of(offset) -> Column:
+        moved = [F.col(f"_c{n}") + o for n, o in enumerate(offset)]
+        moved = [m if n is None else F.pmod(m, F.lit(n)) for m, n in zip(moved, counts)]
+        # One number per cell. Far cells may share a number; the distance test tells them apart.
+        return moved[0] * F.lit(1 << 42) + moved[1] * F.lit(1 << 21) + moved[2]
 
+    def named(df, tag):
+        return df.select(*keys, "_k", *[F.col(c).alias(f"{c}_{tag}") for c in (ident, *cols, *carry)], *extra[tag])
+
+    extra = {1: [key_of((0, 0, 0)).alias("_own")] if half else [], 2: []}
     targets = F.array(*[key_of(o) for o in shell])
-    if cell is not None:
-        targets = F.array_distinct(targets)  # fewer than three cells along an axis make offsets coincide
-    left = side.withColumn("_k", F.explode(targets)).select(
-        *keys, F.col("_k.*"), *[F.col(c).alias(f"{c}_1") for c in (ident, *cols, *carry)]
-    )
-    right = side.withColumn("_k", key_of((0, 0, 0))).select(
-        *keys, F.col("_k.*"), *[F.col(c).alias(f"{c}_2") for c in (ident, *cols, *carry)]
-    )
-    if cell is None:
-        own = [F.floor(F.col(f"{c}_1") / F.lit(edge)) for c in cols]
-        same = (F.col("cx") == own[0]) & (F.col("cy") == own[1]) & (F.col("cz") == own[2])
-        once = ~same | (F.col(f"{ident}_1") < F.col(f"{ident}_2"))
-    else:
-        once = F.col(f"{ident}_1") < F.col(f"{ident}_2")
+    left = named(side.withColumn("_k", F.explode(targets if half else F.array_distinct(targets))), 1)
+    right = named(side.withColumn("_k", key_of((0, 0, 0))), 2)
+    once = F.col(f"{ident}_1") < F.col(f"{ident}_2")
+    if half:
+        once = once | (F.col("_own") != F.col("_k"))
     delta = [F.col(f"{c}_1") - F.col(f"{c}_2") for c in cols]
     if cell is not None:
         delta = [G.min_image(d, length) for d, length in zip(delta, cell)]
     pairs = (
-        left.join(right, [*keys, "cx", "cy", "cz"])
+        left.join(right, [*keys, "_k"])
         .where(once)
         .withColumn("d2", G.dot(delta, delta))
         .where(F.col("d2") <= F.lit(float(radius) * float(radius)))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinetrove.functions import geometry as G
@@ -15,10 +15,6 @@ from kinetrove.plans.prefix import CHUNK, explode_range, runs_of
 OBJECT_KEY = ["run_id", "object_id"]
 
 
-def _mass_of(label: Column, masses: str) -> Column:
-    return G.lookup(MASSES[masses], F.element_at(F.col("elements"), label))
-
-
 def occupancy(
     frames: DataFrame,
     reference: Sequence[int],
@@ -37,7 +33,14 @@ def occupancy(
     if cutoff <= 0:
         raise ValueError("cutoff must be positive")
     pos = F.col("pos")
-    weigh = lambda i: _mass_of(i, masses)
+    if "center_of_mass" == reference_mode or "group_list_com" == observed_mode:
+        frames = frames.withColumn("_mass", F.transform("elements", lambda e: G.lookup(MASSES[masses], e)))
+    else:
+        frames = frames.withColumn("_mass", F.lit(None).cast("array<double>"))
+
+    def weigh(label):
+        return F.element_at("_mass", label)
+
     if reference_mode == "single_atom":
         if len(reference) != 1:
             raise ValueError("single_atom needs exactly one reference label")
@@ -54,7 +57,7 @@ def occupancy(
     elif observed_mode in ("group_list_geometric", "group_list_com"):
         groups = F.array(*[F.array(*[F.lit(i) for i in group]) for group in observed])
         rows = frames.select(
-            "run_id", "frame_id", "pos", "elements", ref.alias("ref"), F.posexplode(groups).alias("_g", "ids")
+            "run_id", "frame_id", "pos", "_mass", ref.alias("ref"), F.posexplode(groups).alias("_g", "ids")
         ).withColumn("object_id", F.col("_g") + 1)
         point = G.weighted_center(pos, F.col("ids"), weigh if observed_mode == "group_list_com" else None)
     else:

@@ -405,7 +405,8 @@ def principal_axes(spark, sf):
 
 @query
 def clash_pairs(spark, sf):
-    c = clash.clash_pairs(T.traj_frames(spark, sf), F.expr("(atom_id - 1) div 3"), T.CELL, 0.3)
+    radii = {e: K.VDW_RADII[e] for e in T.ELEMENTS}
+    c = clash.clash_pairs(T.traj_frames(spark, sf), F.expr("(atom_id - 1) div 3"), T.CELL, 0.3, radii=radii)
     return _round(c, 6, "min_distance")
 
 

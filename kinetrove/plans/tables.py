@@ -22,26 +22,37 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def _component(k: int, scale: float = 1.0, shift: float = 0.0):
-    value = F.col("embedding").getItem(k).cast("double")
-    value = F.lit(scale) * value if scale != 1.0 else value
-    return value + F.lit(shift) if shift else value
+def _elements(n: int):
+    return F.expr("array(" + ", ".join(f"'{ELEMENTS[a % 4]}'" for a in range(n)) + ")").alias("elements")
 
 
-def _elements(n: int):
-    return F.array(*[F.lit(ELEMENTS[a % 4]) for a in range(n)]).alias("elements")
+def _atoms(n_atoms: int, fields: tuple[str, ...], scale: float = 1.0, shift: float = 0.0):
+    """ARRAY<STRUCT> of consecutive vector components, as one SQL expression."""
+
+    def component(k: int) -> str:
+        value = f"double(embedding[{k}])"
+        value = f"{scale!r}D * {value}" if scale != 1.0 else value
+        return f"{value} + {shift!r}D" if shift else value
+
+    step = len(fields)
+    atoms = (
+        "named_struct(" + ", ".join(f"'{c}', {component(step * a + n)}" for n, c in enumerate(fields)) + ")"
+        for a in range(n_atoms)
+    )
+    # Exploding a one-element array fixes the value of the frame, so that a later loop over bonds
+    # or atoms reads it instead of building it again for every element.
+    return F.explode(F.array(F.expr("array(" + ", ".join(atoms) + ")"))).alias("pos")
 
 
-def _positions(shift: float = 0.0):
-    return F.array(*[
-        F.struct(*[_component(3 * a + n, 10.0, shift).alias(c) for n, c in enumerate("xyz")]) for a in range(N_ATOMS)
-    ]).alias("pos")
+def _run():
+    """The one run of the table. Not a literal: joins on it stay hash joins."""
+    return F.expr("concat('r', vec_id div 1000000000000L)").alias("run_id")
 
 
 def traj_frames(spark: SparkSession, sf_dir: str, shift: float = 0.0) -> DataFrame:
     """One run of 21-atom frames; coordinates are ten times the vector components, in angstrom."""
     return read(spark, sf_dir, "embeddings").select(
-        F.lit("r0").alias("run_id"), F.col("vec_id").alias("frame_id"), _elements(N_ATOMS), _positions(shift)
+        _run(), F.col("vec_id").alias("frame_id"), _elements(N_ATOMS), _atoms(N_ATOMS, ("x", "y", "z"), 10.0, shift)
     )
 
 
@@ -51,18 +62,16 @@ def traj_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         read(spark, sf_dir, "embeddings").select("label", "vec_id", "embedding"), ["label"], "vec_id", "frame_id"
     )
     return numbered.select(
-        F.col("label").cast("string").alias("run_id"), "frame_id", _elements(N_ATOMS), _positions(), "vec_id"
+        F.col("label").cast("string").alias("run_id"), "frame_id", _elements(N_ATOMS),
+        _atoms(N_ATOMS, ("x", "y", "z"), 10.0), "vec_id",
     )
 
 
 def traj_vel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One run of 10-atom frames with positions and velocities."""
-    names = ("x", "y", "z", "vx", "vy", "vz")
-    pos = F.array(*[
-        F.struct(*[_component(6 * a + n).alias(c) for n, c in enumerate(names)]) for a in range(N_ATOMS_VEL)
-    ])
     return read(spark, sf_dir, "embeddings").select(
-        F.lit("r0").alias("run_id"), F.col("vec_id").alias("frame_id"), _elements(N_ATOMS_VEL), pos.alias("pos")
+        _run(), F.col("vec_id").alias("frame_id"), _elements(N_ATOMS_VEL),
+        _atoms(N_ATOMS_VEL, ("x", "y", "z", "vx", "vy", "vz")),
     )
 
 
