@@ -78,8 +78,10 @@ def _problem(words: Column, row: Column, n: Column) -> Column:
     count = word(words, 0).try_cast("int")
     coords = [number(word(words, k)) for k in (1, 2, 3)]
     where = F.concat(F.lit(" in frame "), (F.col("frame_id") + 1).cast("string"), F.lit(", line "), (F.col("line_no") + 1).cast("string"))
+    separator = (F.size(words) == 0) & (row >= n + 2)  # filtered too, but filters may run in any order
     return (
-        F.when((row == 0) & count.isNull(), F.concat(F.lit("invalid atom count"), where))
+        F.when(separator, F.lit(None).cast("string"))
+        .when((row == 0) & count.isNull(), F.concat(F.lit("invalid atom count"), where))
         .when((row == 0) & (count != n), F.concat(F.lit("atom count changes"), where))
         .when(row >= n + 2, F.concat(F.lit("unexpected line"), where))
         .when((row >= 2) & (F.size(words) < 4), F.concat(F.lit("atom line needs four words"), where))
@@ -103,7 +105,9 @@ def parse_xyz(lines: DataFrame, mode: str = "STRICT", normalise: bool = False) -
             F.col("_cut").isNull() | (F.col("frame_id") < F.col("_cut"))
         )
     else:
-        rows = rows.where(F.when(F.col("_problem").isNotNull(), F.raise_error("_problem").cast("boolean")).otherwise(True))
+        # One condition, so that a bad count line is met before count lines are filtered away.
+        failed = F.raise_error(F.col("_problem")).cast("boolean")
+        rows = rows.where(F.when(F.col("_problem").isNotNull(), failed).otherwise(row >= 2))
     w = F.col("_w")
     element = symbol(word(w, 0)) if normalise else word(w, 0)
     return rows.where(row >= 2).select(
