@@ -103,4 +103,5 @@ def unit_rows(category: str) -> list[tuple[str, str, float]]:
 
 
 def unit_table(spark: SparkSession, category: str) -> DataFrame:
-    return spark.createDataFrame(unit_rows(category), "name string, key string, factor double")
+    rows = ", ".join(f"('{name}', '{key}', {factor!r}D)" for name, key, factor in unit_rows(category))
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS units(name, key, factor)")

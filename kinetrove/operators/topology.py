@@ -49,19 +49,22 @@ def angles(edges: DataFrame) -> DataFrame:
 
 def dihedrals(edges: DataFrame, df: DataFrame) -> DataFrame:
     """Quadruplets i-j-k-l over each bond j-k, without those that are collinear in the first frame."""
+    points = first_atoms(df).select("run_id", "atom_id", G.vec(F.col("x"), F.col("y"), F.col("z")).alias("p"))
     e = _both_ways(edges)
-    middle = edges.select("run_id", F.col("i").alias("j"), F.col("j").alias("k"))
-    left = e.select("run_id", F.col("at").alias("j"), F.col("to").alias("i"))
-    right = e.select("run_id", F.col("at").alias("k"), F.col("to").alias("l"))
+    for end in ("at", "to"):
+        e = e.join(points.select("run_id", F.col("atom_id").alias(end), F.col("p").alias(f"p_{end}")), ["run_id", end])
+
+    def named(**names):
+        return e.select("run_id", *[F.col(old).alias(new) for new, old in names.items()])
+
+    middle = named(j="at", k="to", p_j="p_at", p_k="p_to").where(F.col("j") < F.col("k"))
+    left, right = named(j="at", i="to", p_i="p_to"), named(k="at", l="to", p_l="p_to")
     quads = (
         middle.join(left, ["run_id", "j"])
         .where(F.col("i") != F.col("k"))
         .join(right, ["run_id", "k"])
         .where((F.col("l") != F.col("j")) & (F.col("l") != F.col("i")))
     )
-    points = first_atoms(df).select("run_id", "atom_id", G.vec(F.col("x"), F.col("y"), F.col("z")).alias("p"))
-    for c in ("i", "j", "k", "l"):
-        quads = quads.join(points.select("run_id", F.col("atom_id").alias(c), F.col("p").alias(f"p_{c}")), ["run_id", c])
     shaped = G.add_dihedral(quads, *[F.col(f"p_{c}") for c in ("i", "j", "k", "l")])
     return shaped.where(F.col("value").isNotNull()).select("run_id", "i", "j", "k", "l")
 

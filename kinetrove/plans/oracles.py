@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from kinetrove.functions import constants as K
 from kinetrove.functions.units import unit_rows
-from kinetrove.plans.queries import BLOCK, CONNECT, OBSERVED, SHELL_CUTOFF
+from kinetrove.plans.queries import BLOCK, CONNECT, OBSERVED, SHELL_CUTOFF, STRUCTURE_DIGITS
 
 ORACLES: dict[str, str] = {}
 
@@ -411,3 +411,15 @@ a3 AS (SELECT frame_id, ux, uy, uz, sz*zx AS zx, sz*zy AS zy, sz*zz AS zz FROM a
 a4 AS (SELECT *, {_vectors({'y': _zx})} FROM a3)
 SELECT 'r0' AS run_id, c.frame_id, atom_id, element, round(qx*ux+qy*uy+qz*uz,5) AS x, round(qx*yx+qy*yy+qz*yz,5) AS y,
   round(qx*zx+qy*zy+qz*zz,5) AS z FROM c JOIN a4 USING (frame_id)"""
+
+# ---- text in and out -----------------------------------------------------------------------------
+ORACLES["xyz_roundtrip"] = f"WITH {TRAJ} SELECT run_id, frame_id, atom_id, element, round(x,7) AS x, round(y,7) AS y, round(z,7) AS z FROM traj"
+ORACLES["xyz_errors"] = """SELECT 'r0' AS run_id, vec_id*23+7 AS line_no, 'expected 4 items, found 3' AS error FROM embeddings WHERE vec_id%10=3
+UNION ALL SELECT 'r0', vec_id*23+10, 'non-numeric coordinate' FROM embeddings WHERE vec_id%15=4"""
+for _fmt, _digits in STRUCTURE_DIGITS.items():
+    ORACLES[f"structures_{_fmt}"] = f"""WITH {TRAJ} SELECT 'r0/'||frame_id AS run_id, 0::BIGINT AS frame_id, atom_id, element,
+  round(x,{_digits}) AS x, round(y,{_digits}) AS y, round(z,{_digits}) AS z FROM traj"""
+ORACLES["symbol_order_check"] = f"WITH {RUNS} SELECT run_id FROM runs GROUP BY run_id HAVING count(DISTINCT vec_id%97=5)>1"
+_FAR = f"SELECT 'r0' AS run_id, vec_id AS frame_id, round({_T0},6) AS time_ps, round({_dist(_p(1), _p(21))},6) AS value FROM embeddings"
+ORACLES["pack_frames"] = _FAR
+ORACLES["bond_series_atoms"] = _FAR

@@ -11,6 +11,8 @@ from kinetrove.functions import constants as K
 from kinetrove.operators import alignment, clash, correlation, energy, ensemble, frames, histogram, rdf, residence
 from kinetrove.operators import series, states, topology
 from kinetrove.plans import tables as T
+from kinetrove.sinks import render
+from kinetrove.sources import structures, xyz
 
 DT, SAMPLING, TEMPERATURE = 5.0, 1, 300.0
 MAX_R, BOND_WIDTH, ANGLE_WIDTH, DIHEDRAL_WIDTH = 6.0, 0.25, 5.0, 10.0
@@ -440,3 +442,65 @@ def force_magnitude(spark, sf):
     atoms = frames.unpack_frames(T.traj_vel(spark, sf))
     f = ensemble.force_magnitude(atoms, ("vx", "vy", "vz")).select("run_id", "frame_id", "atom_id", "force")
     return _round(f, 6, "force")
+
+
+# ---- text in and out -----------------------------------------------------------------------------
+def _xyz_lines(spark, sf):
+    """Frames rendered as XYZ text and cut into numbered lines again, as a file reader would see them."""
+    text = render.render_xyz(T.traj_frames(spark, sf))
+    lines = text.select("run_id", "frame_id", F.posexplode(F.split("text", "\n")).alias("k", "value"))
+    return lines.select(
+        "run_id", (F.col("frame_id") * (T.N_ATOMS + 2) + F.col("k")).alias("line_no"), "value",
+        F.lit(str(T.N_ATOMS)).alias("head"), "frame_id", "k",
+    )
+
+
+@query
+def xyz_roundtrip(spark, sf):
+    return xyz.parse_xyz(_xyz_lines(spark, sf))
+
+
+@query
+def xyz_errors(spark, sf):
+    """Every tenth frame loses the last word of its fifth atom line, every fifteenth has a word for a number."""
+    v, f = F.col("value"), F.col("frame_id")
+    broken = F.when((f % 10 == 3) & (F.col("k") == 6), F.regexp_replace(v, r"\S+$", "")).when(
+        (f % 15 == 4) & (F.col("k") == 9), F.regexp_replace(v, r"\S+$", "abc")
+    )
+    return xyz.validate_xyz(_xyz_lines(spark, sf).withColumn("value", F.coalesce(broken, v)))
+
+
+def _structure_query(fmt: str) -> Query:
+    def run(spark, sf):
+        text = render.render_structures(T.traj_frames(spark, sf), fmt)
+        files = text.select(F.concat("run_id", F.lit("/"), F.col("frame_id").cast("string")).alias("run_id"), F.col("text").alias("value"))
+        return structures.parse_structures(files, fmt)
+
+    run.__name__ = f"structures_{fmt}"
+    return run
+
+
+STRUCTURE_DIGITS = {"xyz": 8, "pdb": 3, "hin": 6, "mol": 4, "mol2": 4, "gaussian": 8}
+for _fmt in STRUCTURE_DIGITS:
+    query(_structure_query(_fmt))
+
+
+@query
+def symbol_order_check(spark, sf):
+    """One frame in 97 lists its elements backwards; runs that hold one are reported."""
+    f = T.traj_runs(spark, sf)
+    turned = F.when(F.col("vec_id") % 97 == 5, F.reverse("elements")).otherwise(F.col("elements"))
+    return frames.changed_symbol_order(f.withColumn("elements", turned))
+
+
+@query
+def pack_frames(spark, sf):
+    packed = frames.pack_frames(frames.unpack_frames(T.traj_frames(spark, sf)))
+    d = series.distance_series(packed, 1, 21, DT, SAMPLING)
+    return _round(d, 6, "time_ps", "value")
+
+
+@query
+def bond_series_atoms(spark, sf):
+    d = series.distance_series(frames.unpack_frames(T.traj_frames(spark, sf)), 1, 21, DT, SAMPLING)
+    return _round(d, 6, "time_ps", "value")

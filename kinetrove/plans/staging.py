@@ -18,8 +18,11 @@ def _checkpoint_ready(spark: SparkSession) -> None:
     if sc.getCheckpointDir():
         return
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    # Only a session that names no shared folder (a local test) falls back to a folder of its own.
-    sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    if folder is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")  # one machine, as in tests
+    sc.setCheckpointDir(folder)
 
 
 def stage(df: DataFrame) -> DataFrame:
@@ -35,15 +38,16 @@ def attach(
     how: str = "inner",
     spread: str = "frame_id",
     limit: int = BROADCAST_ROWS,
+    staged: bool = False,
 ) -> DataFrame:
     """Join a per-run table to per-frame rows.
 
     The per-run table is staged and counted. Up to ``limit`` rows it is broadcast and ``big`` does
     not move. Beyond that both sides are hashed on the key plus a salt drawn from ``spread``: the
     small side is copied once per salt, so a run holding a third of all frames is split over
-    ``SALTS`` tasks instead of landing in one.
+    ``SALTS`` tasks instead of landing in one. ``staged`` tells that ``small`` is materialised already.
     """
-    small = stage(small)
+    small = small if staged else stage(small)
     if small.count() <= limit:
         return big.join(F.broadcast(small), on, how)
     salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

@@ -41,11 +41,18 @@ def _body(layout: str, scale: float = 1.0) -> Column:
     return F.array_join(F.transform("pos", line), "\n")
 
 
-def render_xyz(frames: DataFrame, comment: Column | None = None, layout: str = "trajectory", scale: float = 1.0) -> DataFrame:
-    """run_id, frame_id, text: one XYZ frame per row. ``scale`` converts lengths on the way out."""
+def render_xyz(
+    frames: DataFrame,
+    comment: Column | None = None,
+    layout: str = "trajectory",
+    scale: float = 1.0,
+    keep: tuple[str, ...] = (),
+) -> DataFrame:
+    """run_id, frame_id, text: one XYZ frame per row. ``scale`` converts lengths on the way out,
+    ``keep`` names further columns to carry along."""
     note = F.concat(F.lit("Frame "), (F.col("frame_id") + 1).cast("string")) if comment is None else comment
     head = F.concat(F.size("pos").cast("string"), F.lit("\n"), note, F.lit("\n"))
-    return frames.select("run_id", "frame_id", F.concat(head, _body(layout, scale)).alias("text"))
+    return frames.select("run_id", "frame_id", *keep, F.concat(head, _body(layout, scale)).alias("text"))
 
 
 def render_structures(frames: DataFrame, fmt: str, header: str | None = None) -> DataFrame:
@@ -78,6 +85,14 @@ def write_text(rendered: DataFrame, path: str, by: tuple[str, ...] = ("run_id",)
     ranged.sortWithinPartitions(*order).select(*by, "text").write.partitionBy(*by).mode("overwrite").text(path)
 
 
+def write_frames_by_state(labelled: DataFrame, path: str, partitions: int | None = None) -> None:
+    """Frames with a ``state`` column as XYZ text, one folder per state over all runs.
+
+    A rerun replaces the folder; nothing is appended.
+    """
+    write_text(render_xyz(labelled, keep=("state",)), path, by=("state",), partitions=partitions)
+
+
 def write_series(df: DataFrame, path: str) -> None:
     """Series, histograms and curves as CSV with a header."""
     df.write.mode("overwrite").option("header", True).csv(path)

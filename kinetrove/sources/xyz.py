@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kinetrove.functions.text import number, symbol, tokens, word
 from kinetrove.plans.prefix import running
-from kinetrove.plans.staging import attach
+from kinetrove.plans.staging import attach, stage
 from kinetrove.sources.lines import number_lines
 
 _ROW = ["run_id", "frame_id", "row", "n_atoms", "line_no", "value"]
@@ -37,9 +37,13 @@ def frame_rows(lines: DataFrame) -> DataFrame:
         F.max(F.when(~filled & at_count, F.col("line_no"))).alias("_blank"),
     )
     odd = F.col("_bad").isNotNull() | (F.col("_blank") < F.col("last_line"))
-    marked = checks.select("run_id", "last_line", F.coalesce(odd, F.lit(False)).alias("odd"))
-    joined = attach(sized, marked, ["run_id"], spread="line_no").where(F.col("line_no") <= F.col("last_line"))
+    marked = stage(checks.select("run_id", "last_line", F.coalesce(odd, F.lit(False)).alias("odd")))
+    joined = attach(sized, marked, ["run_id"], spread="line_no", staged=True).where(
+        F.col("line_no") <= F.col("last_line")
+    )
     regular = _stride_rows(joined.where(~F.col("odd"))).select(*_ROW, "last_line")
+    if marked.where("odd").isEmpty():
+        return regular
     return regular.unionByName(_searched(joined.where("odd")).select(*_ROW, "last_line"))
 
 

@@ -203,3 +203,52 @@ def test_rate_against_formula(spark):
     r = energy.rate_constant(spark.createDataFrame([(50000.0, -10.0)], "ea double, entropy double"), 300.0).first()
     want = 1.380649e-23 * 300 / 6.62607015e-34 * math.exp(-10 / 8.3144621) * math.exp(-50000 / (8.3144621 * 300))
     assert r.rate == pytest.approx(want, rel=1e-12)
+
+
+def test_frames_written_by_state(spark, make_frames, tmp_path):
+    f = make_frames([PO4] * 6, run="r1")
+    log = spark.createDataFrame([("r1", k, k, 1 + k % 2) for k in range(5)], "run_id string, row_idx bigint, step int, state int")
+    for _ in range(2):
+        render.write_frames_by_state(states.frames_by_state(f, log), str(tmp_path / "s"))
+    counts = {s: xyz.read_xyz(spark, str(tmp_path / "s" / f"state={s}")).count() for s in ("1", "2", "unknown")}
+    assert counts == {"1": 15, "2": 10, "unknown": 5}
+
+
+def test_kinetic_energy_and_aim(spark):
+    names = ("x", "y", "z", "vx", "vy", "vz")
+    atoms = [(0, 0, 0, 0.001, 0, 0), (2, 0, 0, 0, 0.001, 0), (9, 9, 9, 1, 1, 1)]
+    f = spark.createDataFrame([("r", 0, ["H", "H", "O"], [dict(zip(names, map(float, a))) for a in atoms])],
+        "run_id string, frame_id bigint, elements array<string>, pos array<struct<%s>>" % ",".join(f"{c}:double" for c in names))
+    k = ensemble.kinetic_energy(f, [1, 2]).first()
+    v = 2.18769126379e6 * 0.001
+    assert k.kj_mol == pytest.approx(0.5 * 2 * 1.00784e-3 * (v * v / 2) / 1000)
+    assert k.kcal_mol == pytest.approx(k.kj_mol * 0.239005736)
+    aimed = {r.atom_id: r for r in ensemble.aim_velocity(f, [1, 2], (1.0, 5.0, 0.0), 0.01).collect()}
+    assert (aimed[1].vx, aimed[1].vy) == (pytest.approx(0.0005), pytest.approx(0.0095))
+    assert aimed[3].vx == 1.0
+    body = {r.atom_id: r for r in ensemble.aim_velocity(f, [1, 2], (1.0, 5.0, 0.0), 0.01, False, True).collect()}
+    assert (body[1].vx, body[2].vy, body[3].vz) == (0.0, pytest.approx(0.01), 0.0)
+
+
+def test_box_measures(spark, make_frames):
+    f = make_frames([[("O", 1, 1, 1), ("H", 9, 5, 5), ("H", 5, 5, 5)]])
+    got = {r.group_id: r.inside for r in ensemble.inside_box(f, [[1], [2, 3], [3]], (10, 10, 10), 1.5).collect()}
+    assert got == {1: False, 2: False, 3: True}
+    slab = {r.group_id: r.inside for r in ensemble.inside_box(f, [[1], [3]], (10, 10, 10), 1.0, slab=(0.0, 5.0)).collect()}
+    assert slab == {1: True, 2: True}
+    d = ensemble.density(f, (10, 10, 10)).first().density
+    assert d == pytest.approx((15.999 + 2 * 1.00784) * 1.66053906660e-24 / 1e-21)
+    specs = spark.createDataFrame([(30.0, 30.0, 30.0, 1.0, 100.0, 18.015)], "a double, b double, c double, density double, solute_mass double, molecule_mass double")
+    raw = (27000 * 1e-24 / 1.66053906660e-24 - 100) / 18.015
+    assert ensemble.target_molecules(specs).first().n_molecules == int(raw)
+    assert ensemble.target_molecules(specs, "round").first().n_molecules == round(raw)
+
+
+def test_uniform_points_have_flat_rdf(make_frames):
+    import numpy as np
+    from kinetrove.operators.rdf import rdf
+    rng = np.random.default_rng(0)
+    cloud = lambda: [("C", 5, 5, 5)] + [("O", *p) for p in rng.uniform(0, 10, size=(300, 3))]
+    got = rdf(make_frames([cloud() for _ in range(20)]), 1, "O", 4.5, 0.5, (10, 10, 10)).orderBy("bin").collect()
+    assert [r.g for r in got[2:]] == pytest.approx([1.0] * 7, abs=0.12)
+    assert got[-1].coordination == pytest.approx(300 * 4 / 3 * np.pi * 4.5**3 / 1000, rel=0.05)
