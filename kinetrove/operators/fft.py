@@ -41,6 +41,13 @@ def _outer(table: pa.Table) -> tuple[np.ndarray, int, int, int]:
     return np.fft.fft(x), n1, n2, k
 
 
+def _grouped(df: DataFrame, *keys: str):
+    """Group for a Python step. The partition count is fixed, because small rows that cost much CPU
+    would otherwise be merged into one task by their size."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys).groupBy(*keys)
+
+
 def _round_one(df: DataFrame, keys: list[str], key_types: str) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         y, n1, n2 = _inner(table, "v")
@@ -48,7 +55,7 @@ def _round_one(df: DataFrame, keys: list[str], key_types: str) -> DataFrame:
         return _columns(n1, **same, k1=np.arange(n1, dtype=np.int64), re=y.real, im=y.imag, n1=n1, n2=n2)
 
     schema = f"{key_types}, q bigint, k1 bigint, re double, im double, n1 bigint, n2 bigint"
-    return df.groupBy(*keys, "q").applyInArrow(run, schema)
+    return _grouped(df, *keys, "q").applyInArrow(run, schema)
 
 
 def autocorrelation_counts(ones: DataFrame, shape: DataFrame) -> DataFrame:
@@ -76,7 +83,7 @@ def autocorrelation_counts(ones: DataFrame, shape: DataFrame) -> DataFrame:
                         v=x.real**2 + x.imag**2, n1=n1, n2=n2)
 
     spectrum = (
-        turned.groupBy("run_id", "object_id", "k1")
+        _grouped(turned, "run_id", "object_id", "k1")
         .applyInArrow(power, "run_id string, k bigint, v double, n1 bigint, n2 bigint")
         .groupBy("run_id", "k", *_SIZES)
         .agg(F.sum("v").alias("v"))
@@ -88,10 +95,8 @@ def autocorrelation_counts(ones: DataFrame, shape: DataFrame) -> DataFrame:
         num = np.rint(x.real / (n1 * n2)).astype(np.int64)
         return _columns(n2, run_id=table["run_id"][0].as_py(), lag=k + n1 * np.arange(n2, dtype=np.int64), num=num)
 
-    lags = (
-        _round_one(back, ["run_id"], "run_id string")
-        .groupBy("run_id", "k1")
-        .applyInArrow(counts, "run_id string, lag bigint, num bigint")
+    lags = _grouped(_round_one(back, ["run_id"], "run_id string"), "run_id", "k1").applyInArrow(
+        counts, "run_id string, lag bigint, num bigint"
     )
     return lags.where(F.col("num") > 0).join(sizes.select("run_id", "n_frames"), ["run_id"]).where(
         F.col("lag") < F.col("n_frames")
@@ -122,7 +127,7 @@ def bounded_counts(ones: DataFrame, max_lag: int, block: int = 4096) -> DataFram
                         lag=np.arange(max_lag + 1, dtype=np.int64), num=num)
 
     return (
-        rows.groupBy("run_id", "object_id", "b")
+        _grouped(rows, "run_id", "object_id", "b")
         .applyInArrow(correlate, "run_id string, lag bigint, num bigint")
         .groupBy("run_id", "lag")
         .agg(F.sum("num").alias("num"))

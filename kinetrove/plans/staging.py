@@ -1,8 +1,9 @@
-"""Cutting lineage and attaching small tables without betting on their size."""
+"""Ending lineage and attaching small tables without betting on their size."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,22 +14,27 @@ BROADCAST_ROWS = 200_000
 SALTS = 64
 
 
-def _checkpoint_ready(spark: SparkSession) -> None:
+def _shared_folder(spark: SparkSession) -> str:
+    """The cluster's checkpoint folder; a session on one machine, as in tests, gets one of its own."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir():
-        return
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if folder is None:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")  # one machine, as in tests
-    sc.setCheckpointDir(folder)
+        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        sc.setCheckpointDir(folder)
+    return folder
 
 
 def stage(df: DataFrame) -> DataFrame:
-    """Materialise a derived table in the cluster's checkpoint folder, so later jobs read it back."""
-    _checkpoint_ready(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write a derived table to the shared folder and read it back.
+
+    Lineage ends at the files, which outlive any executor, and the planner sees their real size.
+    """
+    spark = df.sparkSession
+    path = f"{_shared_folder(spark)}/kinetrove-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def attach(
