@@ -6,10 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinetrove.operators.batches import flat_frames
 from kinetrove.operators.frames import FRAME_KEY
 
 
@@ -24,13 +24,7 @@ def _orient(axes: np.ndarray, points: np.ndarray, frame: np.ndarray, starts: np.
 
 def _rotate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A batch of frames at once: centre, second moments, 3x3 eigenvectors, projection."""
-    for batch in batches:
-        pos = batch.column("pos")
-        flat = pos.flatten()
-        q = np.stack([pc.struct_field(flat, c).to_numpy(zero_copy_only=False) for c in "xyz"], axis=1)
-        sizes = pc.list_value_length(pos).to_numpy(zero_copy_only=False).astype(np.int64)
-        starts = np.cumsum(sizes) - sizes
-        frame = np.repeat(np.arange(len(sizes)), sizes)
+    for batch, q, sizes, starts, frame in flat_frames(batches):
         q = q - (np.add.reduceat(q, starts) / sizes[:, None])[frame]
         moments = np.add.reduceat(q[:, :, None] * q[:, None, :], starts) / sizes[:, None, None]
         vectors = np.linalg.eigh(moments)[1]  # columns by rising spread

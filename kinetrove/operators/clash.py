@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from kinetrove.functions import geometry as G
 from kinetrove.functions.constants import DEFAULT_VDW_RADIUS, VDW_RADII
-from kinetrove.operators.frames import is_packed, unpack_frames
-from kinetrove.operators.neighbors import neighbor_pairs
+from kinetrove.operators.frames import is_packed
+from kinetrove.operators.neighbors import frame_pairs, neighbor_pairs
 
 
 def clash_pairs(
@@ -24,16 +24,20 @@ def clash_pairs(
 ) -> DataFrame:
     """Pairs of molecules of one frame with atoms closer than vdw_scale * (r_i + r_j) + extra.
 
-    ``molecule`` gives the molecule of an atom row. One row per clashing pair with the number of
+    ``molecule`` gives the molecule from ``atom_id``. One row per clashing pair with the number of
     atom contacts and the shortest distance.
     """
     radii = VDW_RADII if radii is None else radii
-    atoms = unpack_frames(df) if is_packed(df) else df
-    rated = atoms.withColumn("mol", molecule).withColumn("r", G.lookup(radii, F.col("element"), DEFAULT_VDW_RADIUS))
     reach = vdw_scale * 2.0 * max([*radii.values(), DEFAULT_VDW_RADIUS]) + extra
-    pairs = neighbor_pairs(
-        rated, reach, ["run_id", "frame_id"], carry=["mol", "r"], cell=cell if periodic else None
-    )
+    box = cell if periodic else None
+    if is_packed(df):
+        sized = F.transform("elements", lambda e: G.lookup(radii, e, DEFAULT_VDW_RADIUS))
+        pairs = frame_pairs(df, reach, {"r": sized}, box)
+        for end in ("i", "j"):
+            pairs = pairs.withColumn("atom_id", F.col(end)).withColumn(f"mol_{end}", molecule).drop("atom_id")
+    else:
+        rated = df.withColumn("mol", molecule).withColumn("r", G.lookup(radii, F.col("element"), DEFAULT_VDW_RADIUS))
+        pairs = neighbor_pairs(rated, reach, ["run_id", "frame_id"], carry=["mol", "r"], cell=box)
     limit = F.lit(float(vdw_scale)) * (F.col("r_i") + F.col("r_j")) + F.lit(float(extra))
     return (
         pairs.where((F.col("mol_i") != F.col("mol_j")) & (F.col("d2") < limit * limit))

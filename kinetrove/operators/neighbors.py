@@ -1,18 +1,25 @@
-"""All pairs of points closer than a radius, by an equi-join on grid cells.
+"""All pairs of points closer than a radius, by grid cells.
 
 No frame is ever crossed with itself: a point meets only the points of its own and adjacent cells.
-Keys contain the frame, so a run holding most of the data is spread over its frames.
+``neighbor_pairs`` is an equi-join for long tables; its keys contain the frame, so a run holding most
+of the data is spread over its frames. ``frame_pairs`` works on packed frames where they lie: only
+the pairs found leave the task, where the join would shuffle fifteen copies of every atom.
 """
 
 from __future__ import annotations
 
 import itertools
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinetrove.functions import geometry as G
+from kinetrove.operators.batches import Flat, flat_frames, list_values
+from kinetrove.operators.frames import FRAME_KEY
 
 #: cells are a little wider than the radius, so rounding cannot put a pair two cells apart
 _SLACK = 1.000001
@@ -87,3 +94,75 @@ def neighbor_pairs(
         *[ordered(c, True).alias(f"{c}_i") for c in carry],
         *[ordered(c, False).alias(f"{c}_j") for c in carry],
     )
+
+
+def _close(flat: Flat, radius: float, cell: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions a, b of close atoms of one frame in the flat arrays, each pair once, and d^2."""
+    q, edge = flat.points, radius * _SLACK
+    if cell is None:
+        index = np.floor(q / edge).astype(np.int64)
+        index -= index.min(axis=0) - 1
+        span, wrap = index.max(axis=0) + 2, None
+    else:
+        wrap = span = np.maximum(1, np.floor(cell / edge)).astype(np.int64)
+        index = np.floor(q * wrap / cell).astype(np.int64) % wrap
+    half = wrap is None or bool((wrap >= 3).all())
+    # A number that wraps around the integer range only adds candidates, and those are checked.
+    number = lambda k: ((flat.frame * span[0] + k[:, 0]) * span[1] + k[:, 1]) * span[2] + k[:, 2]
+    own = number(index)
+    order = np.argsort(own, kind="stable")
+    ranked = own[order]
+    shell = _HALF_SHELL if half else sorted({tuple(int(v) for v in np.mod(o, wrap)) for o in _FULL_SHELL})
+    found = []
+    for offset in shell:
+        moved = index + np.array(offset)
+        target = number(moved if wrap is None else moved % wrap)
+        low = np.searchsorted(ranked, target, "left")
+        count = np.searchsorted(ranked, target, "right") - low
+        a = np.repeat(np.arange(len(q)), count)
+        b = order[np.repeat(low - (np.cumsum(count) - count), count) + np.arange(count.sum())]
+        keep = flat.frame[a] == flat.frame[b]
+        if not half or not any(offset):
+            keep &= a < b
+        a, b = a[keep], b[keep]
+        d = q[a] - q[b]
+        if cell is not None:
+            d = d - cell * np.rint(d / cell)
+        d2 = d[:, 0] * d[:, 0] + d[:, 1] * d[:, 1] + d[:, 2] * d[:, 2]
+        near = d2 <= radius * radius
+        found.append((a[near], b[near], d2[near]))
+    return tuple(np.concatenate(part) for part in zip(*found))
+
+
+def frame_pairs(
+    frames: DataFrame, radius: float, carry: dict[str, Column] | None = None, cell: Sequence[float] | None = None
+) -> DataFrame:
+    """Like ``neighbor_pairs`` for packed frames: run_id, frame_id, i, j, d2 and carried values.
+
+    ``carry`` gives ARRAY<DOUBLE> columns with one value per atom, returned as name_i and name_j; a
+    missing value comes back as NaN. A narrow step over Arrow batches of frames.
+    """
+    carry = carry or {}
+    names = list(carry)  # the search runs on executors and takes plain values only
+    box = None if cell is None else np.array(cell, dtype=float)
+    reach = float(radius)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for flat in flat_frames(batches):
+            a, b, d2 = _close(flat, reach, box)
+            a, b = np.minimum(a, b), np.maximum(a, b)
+            rows = pa.array(flat.frame[a])
+            label = lambda k: (k - flat.starts[flat.frame[k]] + 1).astype(np.int32)
+            out = {c: flat.batch.column(c).take(rows) for c in FRAME_KEY}
+            out |= {"i": label(a), "j": label(b), "d2": d2}
+            for name in names:
+                values = list_values(flat.batch.column(name)).astype(float)
+                out |= {f"{name}_i": values[a], f"{name}_j": values[b]}
+            yield pa.RecordBatch.from_pydict(out)
+
+    points = F.transform("pos", lambda p: F.struct(*[p[c].alias(c) for c in G.AXES]))
+    ready = frames.where(F.size("pos") > 0).select(
+        *FRAME_KEY, points.alias("pos"), *[v.alias(n) for n, v in carry.items()]
+    )
+    extra = "".join(f", {n}_i double, {n}_j double" for n in carry)
+    return ready.mapInArrow(search, f"run_id string, frame_id bigint, i int, j int, d2 double{extra}")

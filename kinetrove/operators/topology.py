@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from kinetrove.functions import geometry as G
 from kinetrove.functions.constants import COVALENT_RADII, COVALENT_TOLERANCE
 from kinetrove.operators.frames import is_packed, unpack_frames
-from kinetrove.operators.neighbors import neighbor_pairs
+from kinetrove.operators.neighbors import frame_pairs, neighbor_pairs
 from kinetrove.plans.staging import attach
 
 
@@ -22,13 +22,16 @@ def first_atoms(df: DataFrame, frame_id: int = 0) -> DataFrame:
 
 def bonds(df: DataFrame, cutoff: float = 1.5, solute: Sequence[int] | None = None) -> DataFrame:
     """Pairs of first-frame atoms within ``cutoff``; ``solute`` limits both ends to listed labels."""
-    atoms = first_atoms(df)
+    if solute is not None and (not solute or len(set(solute)) != len(solute)):
+        raise ValueError("solute labels must be given once each, at least one")
+    if is_packed(df):
+        pairs = frame_pairs(df.where(F.col("frame_id") == 0), cutoff)
+    else:
+        pairs = neighbor_pairs(first_atoms(df), cutoff, ["run_id"])
     if solute is not None:
         wanted = list(solute)
-        if not wanted or len(set(wanted)) != len(wanted):
-            raise ValueError("solute labels must be given once each, at least one")
-        atoms = atoms.where(F.col("atom_id").isin(wanted))
-    return neighbor_pairs(atoms, cutoff, ["run_id"]).select("run_id", "i", "j")
+        pairs = pairs.where(F.col("i").isin(wanted) & F.col("j").isin(wanted))
+    return pairs.select("run_id", "i", "j")
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -102,7 +105,7 @@ def internal_stats(frames: DataFrame, topology: DataFrame, kind: str) -> DataFra
 
 
 def dynamic_bonds(
-    atoms: DataFrame,
+    df: DataFrame,
     max_distance: float = 1.5,
     tolerance: float = COVALENT_TOLERANCE,
     radii: dict[str, float] | None = None,
@@ -110,13 +113,14 @@ def dynamic_bonds(
     """Bonds of every frame: d <= min(max_distance, r_i + r_j + tolerance), or max_distance when a
     radius is unknown."""
     radii = COVALENT_RADII if radii is None else radii
-    atoms = unpack_frames(atoms) if is_packed(atoms) else atoms
-    rated = atoms.withColumn("r", G.lookup(radii, F.col("element")))
-    pairs = neighbor_pairs(rated, max_distance, ["run_id", "frame_id"], carry=["r"])
-    reach = F.least(
-        F.lit(float(max_distance)),
-        F.coalesce(F.col("r_i") + F.col("r_j") + tolerance, F.lit(float(max_distance))),
-    )
+    if is_packed(df):
+        known = F.transform("elements", lambda e: G.lookup(radii, e))
+        pairs = frame_pairs(df, max_distance, {"r": known})
+    else:
+        rated = df.withColumn("r", G.lookup(radii, F.col("element")))
+        pairs = neighbor_pairs(rated, max_distance, ["run_id", "frame_id"], carry=["r"])
+    limit = F.lit(float(max_distance))
+    reach = F.least(limit, F.nanvl(F.coalesce(F.col("r_i") + F.col("r_j") + tolerance, limit), limit))
     return pairs.where(F.col("d2") <= reach * reach).select(
         "run_id", "frame_id", "i", "j", F.sqrt("d2").alias("distance")
     )

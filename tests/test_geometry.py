@@ -148,6 +148,18 @@ def test_neighbor_pairs_against_brute_force(spark, cell):
     assert all(got[k] == pytest.approx(want[k]) for k in want)
 
 
+@pytest.mark.parametrize("cell", [None, (9.0, 7.0, 4.0), (1.7, 3.5, 20.0)])
+def test_packed_pairs_equal_joined_pairs(make_frames, cell):
+    rng = np.random.default_rng(4)
+    f = make_frames([[("C", *p) for p in rng.uniform(-4, 9, size=(n, 3))] for n in (60, 1, 35, 80)])
+    key = ["run_id", "frame_id"]
+    read = lambda d: sorted((r.frame_id, r.i, r.j, round(r.d2, 9)) for r in d.collect())
+    want = read(neighbors.neighbor_pairs(frames.unpack_frames(f), 1.6, key, cell=cell))
+    assert read(neighbors.frame_pairs(f, 1.6, cell=cell)) == want and len(want) > 20
+    a = read(topology.dynamic_bonds(f, 1.6).withColumnRenamed("distance", "d2"))
+    assert a == read(topology.dynamic_bonds(frames.unpack_frames(f), 1.6).withColumnRenamed("distance", "d2"))
+
+
 def test_neighbor_rows_are_unique(spark):
     df = spark.createDataFrame([("r", i, 0.1 * i, 0.0, 0.0) for i in range(12)], "run_id string, atom_id int, x double, y double, z double")
     pairs = neighbors.neighbor_pairs(df, 0.3, ["run_id"], cell=(1.2, 1.2, 1.2))
