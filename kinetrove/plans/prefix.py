@@ -97,13 +97,16 @@ def runs_of(points: DataFrame, keys: list[str], order: str, chunk: int = CHUNK)
     for span in (chunk, chunk * chunk):
         cell = F.expr(f"start div {span}L")
         merged = _merge_touching(level.withColumn("_c", cell), keys, ["_c"])
-        at_border = (F.col("start") == F.col("_c") * span) | (F.col("stop") == (F.col("_c") + 1) * span - 1)
+        # Null-safe, so that no "is not null" is derived and pushed below the shuffle in one branch
+        # only: the branches then share one exchange.
+        first, last = F.col("_c") * span, (F.col("_c") + 1) * span - 1
+        at_border = F.col("start").eqNullSafe(first) | F.col("stop").eqNullSafe(last)
         done.append(merged.where(~at_border).select(*keys, "start", "stop"))
         level = merged.where(at_border).select(*keys, "start", "stop")
-    last = _merge_touching(level, keys, []).select(*keys, "start", "stop")
+    runs = _merge_touching(level, keys, []).select(*keys, "start", "stop")
     for part in done:
-        last = last.unionByName(part)
-    return last
+        runs = runs.unionByName(part)
+    return runs
 
 
 def explode_range(df: DataFrame, low: str, high: str, name: str, block: int = CHUNK) -> DataFrame:
