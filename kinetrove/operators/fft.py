@@ -43,8 +43,12 @@ def _outer(table: pa.Table) -> tuple[np.ndarray, int, int, int]:
 
 def _grouped(df: DataFrame, *keys: str):
     """Group for a Python step. The partition count is fixed, because small rows that cost much CPU
-    would otherwise be merged into one task by their size."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    would otherwise be merged into one task by their size. On one machine more tasks than a few per
+    core only start Python more often."""
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if spark.sparkContext.master.startswith("local"):
+        n = min(n, 4 * spark.sparkContext.defaultParallelism)
     return df.repartition(n, *keys).groupBy(*keys)
 
 
