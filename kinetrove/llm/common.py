@@ -83,7 +83,7 @@ def open_output(path: str):
 
     store, name = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{os.path.abspath(path)}")
     store.create_dir(os.path.dirname(name), recursive=True)
-    return store.open_output_stream(name)
+    return store.open_output_stream(name, compression=None)
 
 
 def open_input(path: str):

@@ -1,3 +1,46 @@
 """SQL equivalents of the queries that SQL can express."""
 
-ORACLES: dict[str, str] = {}
+OP4 = r"""
+WITH d AS (
+  SELECT doc_id, length(coalesce(text, '')) AS n_points,
+         sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')) AS text_sha256
+  FROM documents),
+g AS (SELECT *, count(*) OVER (PARTITION BY text_sha256) AS group_size,
+        first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY n_points DESC, doc_id) AS keep_id FROM d)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
+"""
+
+OP5 = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+h AS (SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes, sha1(html) AS hex FROM p),
+g AS (SELECT *, first_value(page_id) OVER (PARTITION BY hex ORDER BY page_id) AS first_id FROM h)
+SELECT page_id, payload_bytes,
+       list_aggregate(list_transform(range(8), lambda i: list_aggregate(list_transform([15, 10, 5, 0], lambda s:
+           substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(hex, (5 * i + 1)::BIGINT, 5))::BIGINT >> s) & 31) + 1, 1)),
+           'string_agg', '')), 'string_agg', '') AS payload_digest,
+       CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM g
+"""
+
+OP10 = r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+w AS (SELECT *, [3.0, 1.0, 2.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::BIGINT]::DOUBLE AS weight,
+        2.0::DOUBLE * source_size AS most FROM s),
+o AS (SELECT *, row_number() OVER (ORDER BY most / weight, source NULLS LAST) AS k FROM w),
+l AS (SELECT *, (1.5::DOUBLE * (sum(source_size) OVER ())::DOUBLE - coalesce(sum(most) OVER before, 0)) /
+                (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS level
+      FROM o WINDOW before AS (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT source, source_size, least(most, (max(level) OVER ()) * weight) AS target,
+             ('0x' || substr(md5('mix' || coalesce(source, '')), 1, 5))::BIGINT / 1048576.0::DOUBLE AS shift FROM l),
+r AS (SELECT d.*, row_number() OVER (PARTITION BY source ORDER BY size, doc_id) AS rank FROM d),
+c AS (SELECT r.doc_id, r.size, t.source_size, t.target, t.shift, r.rank,
+             CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate
+      FROM r JOIN t ON r.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+       ((floor(rate * rank + shift) - floor(rate * (rank - 1) + shift)) * size)::BIGINT AS taken FROM c
+"""
+
+ORACLES: dict[str, str] = {"op4_exact_groups": OP4, "op5_warc": OP5, "op10_mixing": OP10}

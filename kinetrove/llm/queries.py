@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinetrove.llm import packing, token_files
-from kinetrove.llm.common import table
+from kinetrove.llm import exact, mixing, packing, secrets, simhash, token_files, warc
+from kinetrove.llm.common import table, word_count
 from kinetrove.llm.tokens import public_path
 
 
@@ -13,11 +13,39 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(table(spark, sf_dir, "documents"), public_path(), end_id=2)
 
 
+def op4_exact_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.groups(table(spark, sf_dir, "documents"))
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(table(spark, sf_dir, "pages"), min_bytes=0).drop("digest_ok")
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, bits=3)
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(secrets.scan(table(spark, sf_dir, "documents")))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_path(), end_id=1)
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Only what the report needs goes through the shuffle; the pipeline mixes whole documents.
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count("text").alias("words"))
+    mixed = mixing.mix(docs, docs["words"], weights=(3, 1, 2), share=1.5, cap=2.0)
+    return mixed.select(mixed["doc.doc_id"].alias("doc_id"), "size", "source_size", "target", "taken")
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
+    "op4_exact_groups": op4_exact_groups,
+    "op5_warc": op5_warc,
+    "op7_simhash": op7_simhash,
+    "op8_secrets": op8_secrets,
     "op9_packing": op9_packing,
+    "op10_mixing": op10_mixing,
 }
