@@ -70,7 +70,7 @@ def matches(text: Column, pattern: str) -> Column:
     kind = "array<struct<start:int,end:int,match:string>>"
 
     def step(seen: Column, pair: Column) -> Column:
-        start = F.coalesce(F.element_at(seen, -1)["end"], F.lit(0)) + F.length(pair["gap"])
+        start = F.coalesce(F.try_element_at(seen, F.lit(-1))["end"], F.lit(0)) + F.length(pair["gap"])
         return F.concat(seen, F.array(F.struct(start.alias("start"), (start + F.length(pair["match"])).alias("end"), pair["match"].alias("match"))))
 
     pairs = F.arrays_zip(F.slice(between, 1, F.size(found)).alias("gap"), found.alias("match"))
