@@ -74,7 +74,27 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, s
     for value in (0, 1):
         part = marks.where(F.col("label") == value).orderBy("_draw", "doc_id").limit(rows // 2)
         chosen = part if chosen is None else chosen.unionByName(part)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id", "label")), "doc_id")
+    # At most ``rows`` ids are broadcast. Of several rows with one id the smallest text counts.
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id", "label")), "doc_id")
+    return found.groupBy("doc_id", "label").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+
+
+class Memory(dict):
+    """Results by key, in two generations of ``most`` keys: what was not asked for in a whole generation is forgotten."""
+
+    def __init__(self, compute, most: int, longest: int = 40):
+        self.compute, self.most, self.longest, self.older = compute, most, longest, {}
+
+    def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None:
+            value = self.compute(key)
+        if len(key) <= self.longest:
+            if len(self) >= self.most:
+                self.older = dict(self)
+                self.clear()
+            self[key] = value
+        return value
 
 
 def open_output(path: str):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinetrove.llm import exact, mixing, packing, secrets, simhash, token_files, warc
+from kinetrove.llm import exact, mixing, neighbours, packing, quality, secrets, simhash, token_files, toxicity, warc
 from kinetrove.llm.common import table, word_count
 from kinetrove.llm.tokens import public_path
 
@@ -13,6 +13,14 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(table(spark, sf_dir, "documents"), public_path(), end_id=2)
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7)
+
+
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"), every=100, k=10)
+
+
 def op4_exact_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.groups(table(spark, sf_dir, "documents"))
 
@@ -21,6 +29,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages"), min_bytes=0).drop("digest_ok")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, bits=3)
 
@@ -42,8 +54,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_files": op1_token_files,
+    "op2_quality": op2_quality,
+    "op3_neighbours": op3_neighbours,
     "op4_exact_groups": op4_exact_groups,
     "op5_warc": op5_warc,
+    "op6_toxicity": op6_toxicity,
     "op7_simhash": op7_simhash,
     "op8_secrets": op8_secrets,
     "op9_packing": op9_packing,

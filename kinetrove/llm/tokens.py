@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from array import array
 
+from kinetrove.llm.common import Memory
+
 #: Fixed value: the split of the public byte-level vocabularies.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces in each of the two generations that a worker remembers, and the longest one: they bound its memory.
@@ -17,24 +19,6 @@ REMEMBERED, LONGEST = 500_000, 40
 _encoders: dict[str, Encoder] = {}
 
 
-class _Memory(dict):
-    """Pieces used lately; what was not used since the last change of generation is forgotten at the next."""
-
-    def __init__(self, encode):
-        self.encode, self.older = encode, {}
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.older.get(piece)
-        if ids is None:
-            ids = self.encode(piece)
-        if len(piece) <= LONGEST:
-            if len(self) >= REMEMBERED:
-                self.older = dict(self)
-                self.clear()
-            self[piece] = ids
-        return ids
-
-
 class Encoder:
     """ids of texts as little-endian unsigned 32-bit integers."""
 
@@ -46,7 +30,7 @@ class Encoder:
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.pieces = regex.compile(PIECES).findall
-        self.remembered = _Memory(self.whole).__getitem__
+        self.remembered = Memory(self.whole, REMEMBERED, LONGEST).__getitem__
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
