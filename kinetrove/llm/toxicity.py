@@ -110,7 +110,7 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, weight: np.ndarray, *, bucke
     return Machine(place, buckets, float(theta["b"][0]), theta["w"], theta["v"])
 
 
-def train(docs: DataFrame, labels: DataFrame, *, rows: int = 6000, buckets: int = 1 << 20, least_g: float = 18.0, features: int = 1 << 14, factors: int = 8, steps: int = 200, rate: float = 0.05, decay: float = 1e-5) -> Machine:
+def train(docs: DataFrame, labels: DataFrame, *, rows: int = 6000, buckets: int = 1 << 20, least_g: float = 18.0, features: int = 1 << 14, factors: int = 8, steps: int = 500, rate: float = 0.05, decay: float = 1e-6) -> Machine:
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [sorted({bucket(t, buckets) for w in set(WORDS.findall(x.as_py().lower())) for t in terms(w)}) for x in batch["text"]]
