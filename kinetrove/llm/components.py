@@ -11,14 +11,14 @@ from kinetrove.llm.common import stage
 def _large(links: DataFrame) -> DataFrame:
     """Each node's larger neighbours are linked to its smallest neighbour (itself included)."""
     both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u"), F.least("u", "m").alias("m"))
+    least = stage(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u"), F.least("u", "m").alias("m")), "least")
     return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
 def _small(links: DataFrame) -> DataFrame:
     """Each node and its smaller neighbours are linked to the smallest of them."""
     down = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = stage(down.groupBy("u").agg(F.min("v").alias("m")), "least")
     moved = down.join(least, "u")
     return moved.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
@@ -26,7 +26,8 @@ def _small(links: DataFrame) -> DataFrame:
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) of all linked nodes: the smallest node that can be reached. ``links``: u, v.
 
-    Every round is written to the shared folder. The end is reached when a round changes nothing, told by the number
+    Every round is written to the shared folder, and so are the smallest neighbours: their size is then known when
+    they are joined, and a node with very many links is broadcast to or split by Spark. The end is reached when a round changes nothing, told by the number
     of links and the sum of their hashes.
     """
     now = stage(_small(links.where("u <> v")), "links")

@@ -110,8 +110,13 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 3, bits: int = 3) -> Data
 
 
 def unique(docs: DataFrame, *, shingle: int = 3, bits: int = 3) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its component, with all columns. Rows that share it all stay."""
+    """The rows of ``docs`` whose doc_id is the smallest of its component, with all columns.
+
+    Rows that share it all stay, and so do rows without an id. Only the ids that go are joined with the texts.
+    """
     rows, named = classes(docs, shingle=shingle, bits=bits)
-    first = rows.join(named, "print").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    stay = stage(first.select(F.col("component_id").alias("_stay")).distinct(), "near-kept")
-    return docs.select(F.struct("*").alias("_doc")).join(stay, F.col("_doc.doc_id").eqNullSafe(F.col("_stay")), "left_semi").select("_doc.*")
+    marked = stage(rows.join(named, "print").where("doc_id IS NOT NULL").select("doc_id", (F.col("doc_id") == F.col("component_id")).alias("stays")), "near-marks")
+    gone = marked.where("NOT stays").select("doc_id").distinct()
+    # An id with several texts goes only if none of them stays.
+    gone = stage(gone.join(marked.where("stays"), "doc_id", "left_anti"), "near-dropped")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
