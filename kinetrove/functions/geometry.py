@@ -159,13 +159,31 @@ def lookup(table: dict[str, float], key: Column, default: float | None = None) -
     return value if default is None else F.coalesce(value, F.lit(default))
 
 
+def required(value: Column, key: Column) -> Column:
+    """A looked-up value, or an error that names the element it is missing for."""
+    message = F.concat(F.lit("unknown element "), F.coalesce(key, F.lit("NULL")))
+    return F.coalesce(value, F.raise_error(message).cast("double"))
+
+
+def labels(ids: Sequence[int]) -> list[int]:
+    """1-based atom labels of a group; anything else is refused before a plan is built."""
+    found = [int(i) for i in ids]
+    if not found:
+        raise ValueError("a group needs at least one atom label")
+    if min(found) < 1:
+        raise ValueError("atom labels start at 1")
+    return found
+
+
 def weighted_center(pos: Column, ids, weight=None, fields: Sequence[str] = AXES) -> Column:
     """Weighted mean of ``fields`` over the atoms ``ids`` (a Python list or an ARRAY<INT> column).
 
     ``weight`` maps a label to a Column; None means equal weights. A zero total weight falls back
     to the plain mean.
     """
-    if isinstance(ids, (list, tuple)) and len(ids) <= UNROLL_LIMIT:
+    if isinstance(ids, (list, tuple)):
+        ids = labels(ids)
+    if isinstance(ids, list) and len(ids) <= UNROLL_LIMIT:
         points = [atom(pos, i) for i in ids]
         plain = [reduce(Column.__add__, [p[f] for p in points]) / F.lit(float(len(points))) for f in fields]
         if weight is None:
@@ -176,7 +194,7 @@ def weighted_center(pos: Column, ids, weight=None, fields: Sequence[str] = AXES)
         return F.struct(*[
             F.when(total > 0.0, s / total).otherwise(c).alias(f) for s, c, f in zip(sums, plain, fields)
         ])
-    ids = F.array(*[F.lit(i) for i in ids]) if isinstance(ids, (list, tuple)) else ids
+    ids = F.array(*[F.lit(i) for i in ids]) if isinstance(ids, list) else ids
     count = F.size(ids).cast("double")
 
     def total_of(value):

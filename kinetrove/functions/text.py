@@ -24,7 +24,7 @@ def word(parts: Column, n: int) -> Column:
 def symbol(text: Column) -> Column:
     """Element symbol with an upper-case first letter; X when there is none."""
     t = F.trim(text)
-    cased = F.concat(F.upper(F.substring(t, 1, 1)), F.lower(F.substring(t, 2, 64)))
+    cased = F.concat(F.upper(F.substring(t, 1, 1)), F.lower(F.substr(t, F.lit(2))))
     return F.when(t.isNull() | (t == ""), "X").otherwise(cased)
 
 

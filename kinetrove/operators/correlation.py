@@ -10,16 +10,19 @@ from pyspark.sql import functions as F
 from kinetrove.functions import geometry as G
 from kinetrove.functions.constants import ATOMIC_TIME_FS
 from kinetrove.operators.fft import autocorrelation_counts, bounded_counts
-from kinetrove.operators.residence import residence_events
+from kinetrove.operators.residence import OBJECT_KEY, residence_events
 from kinetrove.plans.prefix import CHUNK, explode_range, running
 from kinetrove.plans.staging import attach, stage
 
 
 def occupancy_shape(occ: DataFrame) -> DataFrame:
-    """n_frames and the number of occupancy cells per run."""
-    return occ.groupBy("run_id").agg(
-        (F.max("frame_id") + 1).alias("n_frames"), F.count(F.lit(1)).alias("n_cells")
-    )
+    """n_frames and the number of occupancy cells per run. Frames must be consecutive from 0."""
+    per_object = occ.groupBy(*OBJECT_KEY).agg(F.min("frame_id").alias("_first"), F.max("frame_id").alias("_last"), F.count(F.lit(1)).alias("_n"))
+    gap = (F.min("_first") != 0) | (F.min(F.col("_last") + 1 - F.col("_n")) != 0) | (F.max(F.col("_last") + 1 - F.col("_n")) != 0)
+    gaps = F.raise_error(F.concat(F.lit("frames are not consecutive from 0 in run "), F.col("run_id"))).cast("bigint")
+    return per_object.groupBy("run_id").agg(
+        (F.max("_last") + 1).alias("n_frames"), F.sum("_n").alias("n_cells"), gap.alias("_gap")
+    ).select("run_id", F.when(F.col("_gap"), gaps).otherwise(F.col("n_frames")).alias("n_frames"), "n_cells")
 
 
 def _curve(events: DataFrame, shape: DataFrame, dt: float, max_lag: int | None) -> DataFrame:
@@ -96,6 +99,8 @@ def mrt_summary(occ: DataFrame, dt: float = 1.0) -> DataFrame:
 def autocorrelation(frames: DataFrame, start: int, stop: int | None, block: int) -> DataFrame:
     """PAF and VAF at lags 1 .. block-1, averaged over blocks and atoms, scaled by the largest value.
 
+    A curve that is zero throughout, as of a run at rest, is NULL.
+
     ``start`` is 1-based. A block of ``block`` frames is used while it starts no later than
     ``stop - block``; ``stop=None`` is the last frame of each run. Each block's first frame is joined to the frames of the block; the join key
     also carries a piece of the lag, so a very long block is spread over tasks.
@@ -127,7 +132,7 @@ def autocorrelation(frames: DataFrame, start: int, stop: int | None, block: int)
     )
     per_run = Window.partitionBy("run_id")  # at most block-1 rows
     return raw.select(
-        "run_id", "lag", *[(F.col(c) / F.max(F.abs(F.col(c))).over(per_run)).alias(c) for c in ("paf", "vaf")]
+        "run_id", "lag", *[F.try_divide(F.col(c), F.max(F.abs(F.col(c))).over(per_run)).alias(c) for c in ("paf", "vaf")]
     )
 
 

@@ -15,18 +15,19 @@ from pyspark.sql import functions as F
 from kinetrove.functions import constants as K
 from kinetrove.functions import geometry as G
 from kinetrove.operators.frames import FRAME_KEY
-from kinetrove.plans.staging import BROADCAST_ROWS, stage
+from kinetrove.plans.staging import BROADCAST_BYTES, stage, stored_bytes
 
 Groups = Sequence[Sequence[int]]
 
 
 def _weighed(frames: DataFrame, masses: str) -> DataFrame:
-    """Add ``_mass``, the mass of every atom of the frame, looked up once; unknown elements weigh nothing."""
-    return frames.withColumn("_mass", F.transform("elements", lambda e: G.lookup(K.MASSES[masses], e, 0.0)))
+    """Add ``_mass``, the mass of every atom of the frame, looked up once; NULL for unknown elements."""
+    return frames.withColumn("_mass", F.transform("elements", lambda e: G.lookup(K.MASSES[masses], e)))
 
 
 def _weight(label) -> Column:
-    return F.element_at("_mass", label)
+    """Mass of an atom; an unknown element is an error as soon as its mass is needed."""
+    return G.required(F.element_at("_mass", label), F.element_at("elements", label))
 
 
 def group_centers(df: DataFrame, groups: Groups | DataFrame, masses: str | None = None) -> DataFrame:
@@ -41,9 +42,9 @@ def group_centers(df: DataFrame, groups: Groups | DataFrame, masses: str | None
 
 def _long_centers(atoms: DataFrame, groups: DataFrame, masses: str | None) -> DataFrame:
     groups = stage(groups)
-    if groups.count() <= BROADCAST_ROWS:
+    if stored_bytes(groups) <= BROADCAST_BYTES:
         groups = F.broadcast(groups)
-    m = G.lookup(K.MASSES[masses], F.col("element"), 0.0) if masses else F.lit(1.0)
+    m = G.required(G.lookup(K.MASSES[masses], F.col("element")), F.col("element")) if masses else F.lit(1.0)
     members = atoms.join(groups, ["atom_id"]).withColumn("_m", m)
     sums = members.groupBy(*FRAME_KEY, "group_id").agg(
         F.sum("_m").alias("_m"),
@@ -70,7 +71,7 @@ def bounding_radius(
     """Largest distance of a group's atoms from its centre of mass, plus the atom's radius if given."""
     pos = F.col("pos")
     entries = F.array(*[
-        F.struct(F.array(*[F.lit(i) for i in g]).alias("ids"), G.weighted_center(pos, list(g), _weight).alias("c"))
+        F.struct(F.array(*[F.lit(i) for i in G.labels(g)]).alias("ids"), G.weighted_center(pos, list(g), _weight).alias("c"))
         for g in groups
     ])
     rows = _weighed(frames, masses).select(*FRAME_KEY, "pos", "elements", F.posexplode(entries).alias("_g", "_e"))
@@ -94,13 +95,14 @@ def _molar_kj(mass_kg: Column, v2_au: Column) -> Column:
 
 def atom_kinetic_energy(frames: DataFrame, group: Sequence[int], masses: str = "general") -> DataFrame:
     """Kinetic energy of every atom of a group; velocities in atomic units."""
-    ids = F.array(*[F.lit(i) for i in group])
+    ids = F.array(*[F.lit(i) for i in G.labels(group)])
     rows = frames.select(*FRAME_KEY, "pos", "elements", F.explode(ids).alias("atom_id")).select(
         *FRAME_KEY, "atom_id", F.element_at("elements", F.col("atom_id")).alias("element"),
         F.element_at("pos", F.col("atom_id")).alias("p"),
     )
     v = [F.col("p")[f"v{c}"] for c in G.AXES]
-    kj = _molar_kj(G.lookup(K.MASSES[masses], F.col("element")) / 1000.0, G.dot(v, v))
+    mass = G.required(G.lookup(K.MASSES[masses], F.col("element")), F.col("element"))
+    kj = _molar_kj(mass / 1000.0, G.dot(v, v))
     return rows.select(*FRAME_KEY, "atom_id", "element", kj.alias("kj_mol")).withColumn(
         "kcal_mol", F.col("kj_mol") * K.KJ_TO_KCAL
     )
@@ -108,7 +110,7 @@ def atom_kinetic_energy(frames: DataFrame, group: Sequence[int], masses: str = "
 
 def kinetic_energy(frames: DataFrame, group: Sequence[int], masses: str = "general") -> DataFrame:
     """Molar mass of a group and the kinetic energy of its centre of mass."""
-    kg = reduce(Column.__add__, [_weight(F.lit(i)) for i in group]) / 1000.0
+    kg = reduce(Column.__add__, [_weight(F.lit(i)) for i in G.labels(group)]) / 1000.0
     com = _weighed(frames, masses).select(
         *FRAME_KEY, kg.alias("molar_mass_kg"),
         G.weighted_center(F.col("pos"), list(group), _weight, ("vx", "vy", "vz")).alias("v"),
@@ -171,7 +173,7 @@ def inside_box(
     if slab is not None:
         low[2] = slab[0] + (pad if slab[0] == 0.0 else 0.0)
         high[2] = slab[1] - (pad if slab[1] == float(cell[2]) else 0.0)
-    ids = F.array(*[F.array(*[F.lit(i) for i in g]) for g in groups])
+    ids = F.array(*[F.array(*[F.lit(i) for i in G.labels(g)]) for g in groups])
     rows = frames.select(*FRAME_KEY, "pos", F.posexplode(ids).alias("_g", "ids"))
 
     def fits(i):
@@ -188,9 +190,9 @@ def density(
     a, b, c = (float(v) for v in cell)
     height = c if slab is None else slab[1] - slab[0]
     volume = a * b * height * 1e-24
-    rows = _weighed(frames, masses).select(*FRAME_KEY, F.arrays_zip("_mass", "pos").alias("_z"))
+    rows = _weighed(frames, masses).select(*FRAME_KEY, F.arrays_zip("_mass", "pos", "elements").alias("_z"))
     kept = F.col("_z") if slab is None else F.filter("_z", lambda e: e["pos"]["z"].between(*map(float, slab)))
-    mass = F.aggregate(kept, F.lit(0.0), lambda acc, e: acc + e["_mass"])
+    mass = F.aggregate(kept, F.lit(0.0), lambda acc, e: acc + G.required(e["_mass"], e["elements"]))
     grams = F.col("mass") * F.lit(K.AMU_GRAMS)
     return rows.select(*FRAME_KEY, mass.alias("mass")).withColumn(
         "density", grams / F.lit(volume) if volume > 0 else F.lit(0.0)

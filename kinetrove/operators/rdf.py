@@ -27,14 +27,20 @@ def shell_targets(frames: DataFrame, center: int, element: str, exclude: Sequenc
     )
 
 
+def _times(length: float):
+    return lambda k: k * F.lit(length)
+
+
 def _image_distances(targets: DataFrame, radius: float, cell: Sequence[float]) -> DataFrame:
-    """Distances to the 27 images that are within the radius, one axis at a time.
+    """Distances to the periodic images that are within the radius, one axis at a time.
 
-    An image too far along one axis is dropped before the next axis is expanded.
+    Along an axis one cell to either side, or as many as the radius reaches for displacements below a
+    cell length. An image too far along one axis is dropped before the next axis is expanded.
     """
     rows, reach = targets, F.lit(0.0)
     for axis, length in zip(G.AXES, cell):
-        shifts = F.array(F.lit(0.0), F.lit(float(length)), F.lit(-float(length)))
+        most = max(1, math.ceil(float(radius) / float(length)))
+        shifts = F.transform(F.sequence(F.lit(-most), F.lit(most)), _times(float(length)))
         rows = rows.withColumn("_s", F.explode(shifts)).withColumn(f"d{axis}", F.col(f"d{axis}") + F.col("_s"))
         reach = reach + F.col(f"d{axis}") * F.col(f"d{axis}")
         rows = rows.where(F.sqrt(reach) <= float(radius))

@@ -39,7 +39,7 @@ def occupancy(
         frames = frames.withColumn("_mass", F.lit(None).cast("array<double>"))
 
     def weigh(label):
-        return F.element_at("_mass", label)
+        return G.required(F.element_at("_mass", label), F.element_at("elements", label))
 
     if reference_mode == "single_atom":
         if len(reference) != 1:
@@ -51,13 +51,13 @@ def occupancy(
         raise ValueError(f"unknown reference mode {reference_mode!r}")
     singles = observed_mode in ("single_atom", "atom_list_individual")
     if singles:
-        labels = F.array(*[F.lit(group[0]) for group in observed])
+        labels = F.array(*[F.lit(G.labels(group)[0]) for group in observed])
         rows = frames.select("run_id", "frame_id", "pos", ref.alias("ref"), F.explode(labels).alias("object_id"))
         point = G.atom(pos, F.col("object_id"))
     elif observed_mode in ("group_list_geometric", "group_list_com"):
-        groups = F.array(*[F.array(*[F.lit(i) for i in group]) for group in observed])
+        groups = F.array(*[F.array(*[F.lit(i) for i in G.labels(group)]) for group in observed])
         rows = frames.select(
-            "run_id", "frame_id", "pos", "_mass", ref.alias("ref"), F.posexplode(groups).alias("_g", "ids")
+            "run_id", "frame_id", "pos", "_mass", "elements", ref.alias("ref"), F.posexplode(groups).alias("_g", "ids")
         ).withColumn("object_id", F.col("_g") + 1)
         point = G.weighted_center(pos, F.col("ids"), weigh if observed_mode == "group_list_com" else None)
     else:

@@ -5,12 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinetrove.plans.staging import attach
 
-def valid_states(states: DataFrame, n_states: int) -> DataFrame:
-    """Drop every run that holds a malformed or out-of-range state."""
+
+def valid_states(states: DataFrame, n_states: int, trajectory_errors: DataFrame | None = None) -> DataFrame:
+    """Drop every run that holds a malformed or out-of-range state, or one of ``trajectory_errors`` (run_id)."""
     s = F.col("state")
-    bad = states.where(s.isNull() | (s < 0) | (s > n_states)).select("run_id").distinct()
-    return states.join(bad, ["run_id"], "left_anti")
+    bad = states.where(s.isNull() | (s < 0) | (s > n_states)).select("run_id")
+    if trajectory_errors is not None:
+        bad = bad.unionByName(trajectory_errors.select("run_id"))
+    # One row per bad run; the states of a run are spread over tasks where there are many such runs.
+    marked = attach(states, bad.distinct().withColumn("_bad", F.lit(True)), ["run_id"], "left", spread="row_idx")
+    return marked.where(F.col("_bad").isNull()).drop("_bad")
 
 
 def state_population(states: DataFrame, n_states: int, pseudo_count: int = 1) -> DataFrame:

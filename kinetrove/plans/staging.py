@@ -2,39 +2,59 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: rows a build side may have before it is no longer broadcast
-BROADCAST_ROWS = 200_000
-#: copies of a build side that is too big to broadcast, so that one hot key is spread over tasks
-SALTS = 64
+#: stored bytes a build side may have to be broadcast; compressed columns take several times that in memory
+BROADCAST_BYTES = 8 << 20
 
 
-def _shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a session on one machine, as in tests, gets one of its own."""
-    sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if folder is None:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        sc.setCheckpointDir(folder)
-    return folder
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir; where none is set, one beside the warehouse's tables.
+
+    Both are shared by the driver and all executors.
+    """
+    folder = (
+        spark.conf.get("spark.checkpoint.dir", None)
+        or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        or spark.sparkContext.getCheckpointDir()
+        or spark.conf.get("spark.sql.warehouse.dir") + "/_staged"
+    )
+    return folder.rstrip("/")
+
+
+def _store(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def stage(df: DataFrame) -> DataFrame:
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is written there is removed when the session ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    at, store = _store(spark, path)
+    store.deleteOnExit(at)
+    return path
+
+
+def stage(df: DataFrame, name: str = "kinetrove") -> DataFrame:
     """Write a derived table to the shared folder and read it back.
 
     Lineage ends at the files, which outlive any executor, and the planner sees their real size.
     """
-    spark = df.sparkSession
-    path = f"{_shared_folder(spark)}/kinetrove-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stored_bytes(df: DataFrame) -> int:
+    """Bytes of the files that a staged table is read from."""
+    total = 0
+    for file in df.inputFiles():
+        at, store = _store(df.sparkSession, file)
+        total += store.getFileStatus(at).getLen()
+    return total
 
 
 def attach(
@@ -43,19 +63,20 @@ def attach(
     on: list[str],
     how: str = "inner",
     spread: str = "frame_id",
-    limit: int = BROADCAST_ROWS,
+    limit: int = BROADCAST_BYTES,
     staged: bool = False,
 ) -> DataFrame:
     """Join a per-run table to per-frame rows.
 
-    The per-run table is staged and counted. Up to ``limit`` rows it is broadcast and ``big`` does
-    not move. Beyond that both sides are hashed on the key plus a salt drawn from ``spread``: the
-    small side is copied once per salt, so a run holding a third of all frames is split over
-    ``SALTS`` tasks instead of landing in one. ``staged`` tells that ``small`` is materialised already.
+    The per-run table is staged. Up to ``limit`` stored bytes it is broadcast and ``big`` does not
+    move. Beyond that both sides are hashed on the key plus a salt drawn from ``spread``: the small
+    side is copied once per salt, so a run holding a third of all frames is split over as many tasks
+    as a shuffle has. ``staged`` tells that ``small`` is materialised already.
     """
     small = small if staged else stage(small)
-    if small.count() <= limit:
+    if stored_bytes(small) <= limit:
         return big.join(F.broadcast(small), on, how)
-    salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    keyed = big.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+    salts = int(big.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    keyed = big.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     return keyed.join(salted, [*on, "_salt"], how).drop("_salt")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from kinetrove.functions import constants as K
 from kinetrove.functions.text import number, symbol, tokens, word
 from kinetrove.plans.prefix import ordinal
-from kinetrove.plans.staging import attach
+from kinetrove.plans.staging import attach, stage
 from kinetrove.sources.lines import RUN_BY_FOLDER, number_lines
 
 
@@ -18,34 +18,55 @@ def _required(value, what: str):
     return F.coalesce(value, F.raise_error(message).cast("double"))
 
 
-def _strided(lines: DataFrame, n_atoms: int, titles: int) -> DataFrame:
-    """Complete frames of ``titles`` + n_atoms lines."""
-    step = n_atoms + titles
-    return lines.where(F.col("line_no") < F.expr(f"n_lines div {step}") * step).select(
-        "run_id", "line_no", F.expr(f"line_no div {step}").alias("frame_id"),
+def _strided(lines: DataFrame, sizes: DataFrame | int, titles: int) -> DataFrame:
+    """Complete frames of ``titles`` + n_atoms lines; ``sizes``: n_atoms of all runs, or (run_id, n_atoms)."""
+    if isinstance(sizes, int):
+        sized = lines.withColumn("n_atoms", F.lit(sizes).cast("bigint"))
+    else:
+        sized = attach(lines, sizes.select("run_id", F.col("n_atoms").cast("bigint").alias("n_atoms")), ["run_id"], spread="line_no")
+    step = F.col("n_atoms") + titles
+    return sized.where(F.col("line_no") < F.floor(F.col("n_lines") / step) * step).select(
+        "run_id", "line_no", F.floor(F.col("line_no") / step).alias("frame_id"),
         (F.col("line_no") % step - titles + 1).cast("int").alias("atom_id"), tokens(F.col("value")).alias("w"),
     ).where(F.col("atom_id") >= 1)
 
 
+def _by_run(symbols: DataFrame) -> bool:
+    return "run_id" in symbols.columns
+
+
+def _sizes(symbols: DataFrame) -> DataFrame | int:
+    """Atoms per run; without run_id one count that holds for all."""
+    if _by_run(symbols):
+        return symbols.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_atoms"))
+    return symbols.count()
+
+
 def _labelled(rows: DataFrame, symbols: DataFrame) -> DataFrame:
-    return attach(rows, symbols.select("atom_id", "element"), ["atom_id"])
+    """Elements by atom, of the run's own symbols where they have a run_id. Runs without symbols give no rows."""
+    key = ["run_id", "atom_id"] if _by_run(symbols) else ["atom_id"]
+    return attach(rows, symbols.select(*key, "element"), key)
 
 
-def read_phase_space(spark: SparkSession, path, symbols: DataFrame, to_angstrom: bool = False, run_pattern: str | None = None) -> DataFrame:
-    """Headerless ``idx x y z vx vy vz`` rows; a frame is as many rows as ``symbols`` (atom_id, element) has.
+def parse_phase_space(lines: DataFrame, symbols: DataFrame, to_angstrom: bool = False) -> DataFrame:
+    """Headerless ``idx x y z vx vy vz`` lines; a frame is as many lines as ``symbols`` ([run_id,] atom_id, element) has.
 
     A last, incomplete frame is left out. ``to_angstrom`` converts positions from bohr.
     """
-    rows = _strided(number_lines(spark, path, run_pattern), symbols.count(), 0)
+    rows = _strided(lines, _sizes(symbols), 0)
     scale = K.BOHR_ANGSTROM_PHASE_SPACE if to_angstrom else 1.0
     values = [_required(number(word(F.col("w"), k)), "invalid line format") for k in range(1, 7)]
     placed = [(v * scale if n < 3 else v).alias(c) for n, (v, c) in enumerate(zip(values, ("x", "y", "z", "vx", "vy", "vz")))]
     return _labelled(rows, symbols).select("run_id", "frame_id", "atom_id", "element", *placed)
 
 
-def validate_phase_space(spark: SparkSession, path, n_atoms: int, run_pattern: str | None = None) -> DataFrame:
-    """Frames whose rows do not share one numeric first word: run_id, frame_id (from 1), error."""
-    rows = _strided(number_lines(spark, path, run_pattern), n_atoms, 0).withColumn("idx", word(F.col("w"), 0))
+def read_phase_space(spark: SparkSession, path, symbols: DataFrame, to_angstrom: bool = False, run_pattern: str | None = None) -> DataFrame:
+    return parse_phase_space(number_lines(spark, path, run_pattern), symbols, to_angstrom)
+
+
+def phase_space_errors(lines: DataFrame, n_atoms: DataFrame | int) -> DataFrame:
+    """Frames whose lines do not share one numeric first word: run_id, frame_id (from 1), error."""
+    rows = _strided(lines, n_atoms, 0).withColumn("idx", word(F.col("w"), 0))
     per = rows.groupBy("run_id", "frame_id").agg(
         F.count_if(~F.col("idx").rlike("^[0-9]+$") | F.col("idx").isNull()).alias("bad"),
         (F.min("idx") != F.max("idx")).alias("mixed"),
@@ -54,23 +75,40 @@ def validate_phase_space(spark: SparkSession, path, n_atoms: int, run_pattern: s
     return per.select("run_id", (F.col("frame_id") + 1).alias("frame_id"), error.alias("error")).where(F.col("error").isNotNull())
 
 
-def read_cp_labels(spark: SparkSession, path: str) -> DataFrame:
-    """Atom labels of a plane-wave input deck: the ``nat`` rows after ATOMIC_POSITIONS."""
-    lines = number_lines(spark, path).withColumn("w", tokens(F.col("value")))
+def validate_phase_space(spark: SparkSession, path, n_atoms: DataFrame | int, run_pattern: str | None = None) -> DataFrame:
+    return phase_space_errors(number_lines(spark, path, run_pattern), n_atoms)
+
+
+def parse_cp_labels(lines: DataFrame) -> DataFrame:
+    """Atom labels of plane-wave input decks, one deck per run: the ``nat`` lines after ATOMIC_POSITIONS."""
+    lines = lines.withColumn("w", tokens(F.col("value")))
     nat = F.when(F.array_contains("w", "nat"), F.regexp_replace(word(F.col("w"), 2), ",", "").try_cast("int"))
     start = F.when(F.array_contains("w", "ATOMIC_POSITIONS"), F.col("line_no"))
     where = lines.groupBy("run_id").agg(F.max(nat).alias("nat"), F.min(start).alias("start"))
     at = (F.col("line_no") - F.col("start")).cast("int")
     return attach(lines, where, ["run_id"], spread="line_no").where(at.between(F.lit(1), F.col("nat"))).select(
-        at.alias("atom_id"), word(F.col("w"), 0).alias("element")
+        "run_id", at.alias("atom_id"), word(F.col("w"), 0).alias("element")
     )
 
 
-def read_cp_frames(spark: SparkSession, path, labels: DataFrame, kind: str = "pos", run_pattern: str | None = None) -> DataFrame:
-    """Title line and ``x y z`` rows per frame: positions in angstrom ("pos") or force magnitudes ("for")."""
+def read_cp_labels(spark: SparkSession, path, run_pattern: str | None = None) -> DataFrame:
+    """Labels by run where ``run_pattern`` names runs; otherwise of one deck that holds for all of them."""
+    labels = parse_cp_labels(number_lines(spark, path, run_pattern))
+    if run_pattern is not None:
+        return labels
+    unlike = F.raise_error(F.lit("decks with different labels need run names")).cast("string")
+    one = F.when(F.min("element") == F.max("element"), F.min("element")).otherwise(unlike)
+    return labels.groupBy("atom_id").agg(one.alias("element"))
+
+
+def parse_cp_frames(lines: DataFrame, labels: DataFrame, kind: str = "pos") -> DataFrame:
+    """Title line and ``x y z`` lines per frame: positions in angstrom ("pos") or force magnitudes ("for").
+
+    ``labels``: ([run_id,] atom_id, element).
+    """
     if kind not in ("pos", "for"):
         raise ValueError(f"unknown kind {kind!r}")
-    rows = _labelled(_strided(number_lines(spark, path, run_pattern), labels.count(), 1), labels)
+    rows = _labelled(_strided(lines, _sizes(labels), 1), labels)
     x, y, z = (_required(number(word(F.col("w"), k)), "incomplete atomic data") for k in range(3))
     key = ["run_id", "frame_id", "atom_id", "element"]
     if kind == "for":
@@ -78,13 +116,16 @@ def read_cp_frames(spark: SparkSession, path, labels: DataFrame, kind: str = "po
     return rows.select(*key, *[(v * K.BOHR_ANGSTROM_CP).alias(c) for v, c in zip((x, y, z), "xyz")])
 
 
-def read_snapshot(spark: SparkSession, path, unit: str = "au", run_pattern: str | None = None) -> DataFrame:
+def read_cp_frames(spark: SparkSession, path, labels: DataFrame, kind: str = "pos", run_pattern: str | None = None) -> DataFrame:
+    return parse_cp_frames(number_lines(spark, path, run_pattern), labels, kind)
+
+
+def parse_snapshots(lines: DataFrame, unit: str = "au") -> DataFrame:
     """Geometry with velocities and optional forces, one frame per file.
 
     With a count line the atoms start at the third line; without, every line that is neither blank
     nor a ``#`` comment is an atom. ``unit="angstrom_fs"`` converts velocities to atomic units.
     """
-    lines = number_lines(spark, path, run_pattern)
     n = F.trim("head").try_cast("int")
     counted = lines.where(n.isNotNull() & F.col("line_no").between(F.lit(2), n + 1)).select(
         "run_id", "line_no", (F.col("line_no") - 1).cast("int").alias("atom_id"), "value"
@@ -105,9 +146,13 @@ def read_snapshot(spark: SparkSession, path, unit: str = "au", run_pattern: str
     )
 
 
-def read_states(spark: SparkSession, path, n_states: int, run_pattern: str = RUN_BY_FOLDER) -> DataFrame:
-    """State logs, one run per folder: run_id, row_idx, step, state and what is wrong with the line."""
-    rows = number_lines(spark, path, run_pattern).withColumn("w", tokens(F.col("value")))
+def read_snapshot(spark: SparkSession, path, unit: str = "au", run_pattern: str | None = None) -> DataFrame:
+    return parse_snapshots(number_lines(spark, path, run_pattern), unit)
+
+
+def parse_states(lines: DataFrame, n_states: int) -> DataFrame:
+    """State logs: run_id, row_idx, step, state and what is wrong with the line."""
+    rows = lines.withColumn("w", tokens(F.col("value")))
     step, state = (word(F.col("w"), k).try_cast("int") for k in range(2))
     error = (
         F.when(F.size("w") != 2, F.concat(F.lit("expected 2 items, found "), F.size("w").cast("string")))
@@ -120,44 +165,79 @@ def read_states(spark: SparkSession, path, n_states: int, run_pattern: str = RUN
     )
 
 
+def read_states(spark: SparkSession, path, n_states: int, run_pattern: str = RUN_BY_FOLDER) -> DataFrame:
+    """State logs, one run per folder."""
+    return parse_states(number_lines(spark, path, run_pattern), n_states)
+
+
 ENERGY_COLUMNS = ("e_fict", "temperature", "e_ks", "c4", "e_total", "c6", "cpu_s")
 
 
-def read_energy(spark: SparkSession, path, run_pattern: str | None = None) -> DataFrame:
-    """Energy log of exactly eight columns per line."""
-    rows = number_lines(spark, path, run_pattern).withColumn("w", tokens(F.col("value")))
+def parse_energy(lines: DataFrame) -> DataFrame:
+    """Energy logs of exactly eight columns per line."""
+    rows = lines.withColumn("w", tokens(F.col("value")))
     value = lambda k: _required(F.when(F.size("w") == 8, number(word(F.col("w"), k))), "invalid format")
     return rows.select(
         "run_id", value(0).cast("bigint").alias("step"), *[value(k + 1).alias(c) for k, c in enumerate(ENERGY_COLUMNS)]
     )
 
 
-def read_energy_headered(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Energy table with a header line: (rows of doubles, error rows line_no and error).
+def read_energy(spark: SparkSession, path, run_pattern: str | None = None) -> DataFrame:
+    return parse_energy(number_lines(spark, path, run_pattern))
+
+
+#: a comma outside of quotes
+_COMMA = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+
+
+def _cells(line, comma):
+    """Words of a line, or its comma-separated cells without blanks and quotes."""
+    bare = lambda c: F.regexp_replace(F.regexp_replace(F.trim(c), r'^"(.*)"$', "$1"), '""', '"')
+    return F.when(comma, F.transform(F.split(line, _COMMA), bare)).otherwise(tokens(line))
+
+
+def parse_energy_headered(lines: DataFrame) -> DataFrame:
+    """Energy tables, each run with its own header line: run_id, line_no, names, values and what is wrong with the line.
+
+    The first non-blank line of a run names its columns. Cells are comma-separated (quotes allowed) if that
+    line has a comma, else separated by blanks. Missing or repeated names and runs without a header are errors.
+    """
+    filled = lines.where(F.length(F.trim("value")) > 0)
+    tops = filled.groupBy("run_id").agg(F.min("line_no").alias("_top"), F.min_by("value", "line_no").alias("_header"))
+    comma = F.contains(F.col("_header"), F.lit(","))
+    tops = tops.withColumn("_comma", comma).withColumn("names", F.transform(_cells(F.col("_header"), comma), F.trim))
+    wrong = F.when(F.exists("names", lambda n: n == ""), "empty column name").when(
+        F.size(F.array_distinct("names")) != F.size("names"), "duplicate column names"
+    )
+    tops = tops.select("run_id", "_top", "_comma", "names", F.when(wrong.isNotNull(), F.concat(wrong, F.lit(" in "), F.col("run_id"))).alias("_wrong"))
+    rows = attach(filled.select("run_id", "line_no", "value"), tops, ["run_id"], spread="line_no")
+    failed = F.raise_error(F.col("_wrong")).cast("boolean")
+    rows = rows.where(F.when(F.col("_wrong").isNotNull(), failed).otherwise(F.col("line_no") > F.col("_top")))
+    rows = rows.withColumn("w", _cells(F.col("value"), F.col("_comma"))).withColumn("values", F.transform("w", lambda c: c.try_cast("double")))
+    first = F.array_position(F.transform("values", lambda v: v.isNull()), True).cast("int")
+    error = (
+        F.when(F.size("w") != F.size("names"), F.concat(F.size("w").cast("string"), F.lit(" values for "), F.size("names").cast("string"), F.lit(" columns")))
+        .when(first > 0, F.concat(F.lit("column '"), F.get("names", first - 1), F.lit("' is not numeric")))
+    )
+    return rows.select("run_id", (F.col("line_no") + 1).alias("line_no"), "names", "values", error.alias("error"))
+
+
+def energy_column(rows: DataFrame, name: str):
+    """The values of one named column, NULL in runs whose header does not have it."""
+    at = F.array_position("names", name).cast("int")
+    return F.when(at > 0, F.get("values", at - 1))
+
+
+def read_energy_headered(spark: SparkSession, path, run_pattern: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows: run_id, line_no and one column of doubles per name, error rows: run_id, line_no, error).
 
-    Comma-separated if the first non-blank line has a comma, else by whitespace. Names must be
-    there and differ.
+    Files may have different headers; a column that a file does not have is NULL there.
     """
-    lines = number_lines(spark, path).where(F.length(F.trim("value")) > 0)
-    top = lines.orderBy("line_no").select("line_no", "value").first()
-    if top is None:
-        raise ValueError("the energy file is empty")
-    comma = "," in top["value"]
-    names = [n.strip() for n in top["value"].split(",")] if comma else top["value"].split()
-    if not all(names):
-        raise ValueError("empty column name")
-    if len(set(names)) != len(names):
-        raise ValueError("duplicate column names")
-    w = F.transform(F.split("value", ","), F.trim) if comma else tokens(F.col("value"))
-    rows = lines.where(F.col("line_no") > top["line_no"]).withColumn("w", w)
-    cells = [word(F.col("w"), k).try_cast("double") for k in range(len(names))]
-    missing = F.lit(None).cast("string")
-    for name, cell in reversed(list(zip(names, cells))):
-        missing = F.when(cell.isNull(), F.lit(f"column '{name}' is not numeric")).otherwise(missing)
-    error = F.when(F.size("w") != len(names), F.concat(F.size("w").cast("string"), F.lit(f" values for {len(names)} columns"))).otherwise(missing)
-    checked = rows.withColumn("error", error)
-    good = checked.where(F.col("error").isNull()).select(*[c.alias(n) for n, c in zip(names, cells)])
-    return good, checked.where(F.col("error").isNotNull()).select((F.col("line_no") + 1).alias("line_no"), "error")
+    rows = stage(parse_energy_headered(number_lines(spark, path, run_pattern)))
+    # Column names become part of the plan; there are as many as the headers hold.
+    names = [r["n"] for r in rows.select(F.explode("names").alias("n")).groupBy("n").count().orderBy("n").collect()]
+    good = rows.where(F.col("error").isNull()).select("run_id", "line_no", *[energy_column(rows, n).alias(n) for n in names])
+    return good, rows.where(F.col("error").isNotNull()).select("run_id", "line_no", "error")
 
 
 def symbols_of(atoms: DataFrame) -> DataFrame:

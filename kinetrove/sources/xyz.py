@@ -6,116 +6,146 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinetrove.functions.text import number, symbol, tokens, word
-from kinetrove.plans.prefix import running
+from kinetrove.plans.prefix import ordinal, running
 from kinetrove.plans.staging import attach, stage
 from kinetrove.sources.lines import number_lines
 
-_ROW = ["run_id", "frame_id", "row", "n_atoms", "line_no", "value"]
+_ROW = ["run_id", "frame_id", "row", "count", "n_atoms", "line_no", "value", "last_line"]
 
 
-def _stride_rows(lines: DataFrame) -> DataFrame:
-    """Place every line by arithmetic: a frame is n_atoms + 2 lines."""
-    step = F.col("n_atoms") + 2
-    return lines.withColumn("frame_id", F.expr("line_no div (n_atoms + 2)")).withColumn(
-        "row", (F.col("line_no") % step).cast("int")
-    )
+def _first_word(value: Column) -> Column:
+    return word(tokens(value), 0).try_cast("int")
+
+
+def _reached(pointers: DataFrame, runs: DataFrame) -> DataFrame:
+    """Lines on the chain that starts at line 0 of each run: run_id, line_no.
+
+    ``pointers`` (run_id, line_no, next) names the line that follows a frame or a skipped line. Each
+    round doubles the jumps and finds as many lines as all before, none of them twice, so a chain of a
+    million frames takes twenty rounds; what a round finds is written.
+    """
+    jumps = stage(pointers.where("next IS NOT NULL").select("run_id", F.col("line_no").alias("a"), F.col("next").alias("b")))
+    known = stage(runs.select("run_id", F.lit(0).cast("bigint").alias("a")))
+    while True:
+        found = stage(known.join(jumps, ["run_id", "a"]).select("run_id", F.col("b").alias("a")))
+        if found.isEmpty():
+            return known.withColumnRenamed("a", "line_no")
+        known = known.unionByName(found)
+        far = jumps.select("run_id", F.col("a").alias("b"), F.col("b").alias("c"))
+        jumps = stage(jumps.join(far, ["run_id", "b"]).select("run_id", "a", F.col("c").alias("b")))
+
+
+def _chained(lines: DataFrame, runs: DataFrame, count: Column, skip: Column) -> DataFrame:
+    """Frames whose own count lines give their lengths, read one after another: frame_id, row, count per line.
+
+    ``skip`` marks lines that are passed over where a frame may begin. A line there that is no count
+    ends the chain; it is a frame of its own that all later lines belong to.
+    """
+    length = F.when(count.isNotNull(), F.greatest(count, F.lit(0)) + 2)
+    after = F.col("line_no") + F.when(skip, F.lit(1)).otherwise(length)
+    sized = lines.withColumns({"count": count.cast("bigint"), "_skip": skip}).withColumn("_after", after)
+    on = _reached(sized.select("run_id", "line_no", F.col("_after").alias("next")), runs)
+    starts = on.join(sized.select("run_id", "line_no", "count", "_skip"), ["run_id", "line_no"]).where(~F.col("_skip"))
+    starts = ordinal(starts.select("run_id", "line_no", "count"), ["run_id"], "line_no", "frame_id")
+    starts = stage(starts.select("run_id", F.col("line_no").alias("_begin"), F.col("count"), "frame_id"))
+    flags = starts.select("run_id", F.col("_begin").alias("line_no"), F.col("_begin").alias("_start"))
+    marked = sized.drop("count", "_after").join(flags, ["run_id", "line_no"], "left")
+    placed = running(marked, ["run_id"], "line_no", {"_begin": ("max", F.col("_start"))})
+    return placed.where(F.col("_begin").isNotNull()).join(starts, ["run_id", "_begin"]).withColumn("row", F.col("line_no") - F.col("_begin"))
 
 
 def frame_rows(lines: DataFrame) -> DataFrame:
-    """Lines with their frame, their row in the frame (0 count, 1 comment, 2.. atoms) and n_atoms.
+    """Lines with their frame, their row in the frame (0 count, 1 comment, 2.. atoms), count and n_atoms.
 
-    ``lines``: run_id, line_no, value, head. Runs whose count lines are not where the stride puts
-    them are placed by search instead.
+    ``lines``: run_id, line_no, value, head. ``count`` is what the frame's own count line says,
+    ``n_atoms`` what the first one of the run does. Lines are placed by arithmetic; runs whose count
+    lines are not where that puts them (blank lines before frames, changing or damaged counts) are
+    followed from frame to frame instead.
     """
-    sized = lines.withColumn("n_atoms", word(tokens(F.col("head")), 0).try_cast("int"))
     filled = F.length(F.trim("value")) > 0
-    count = word(tokens(F.col("value")), 0).try_cast("int")
-    at_count = F.col("line_no") % (F.col("n_atoms") + 2) == 0
+    sized = lines.withColumn("_n", _first_word(F.col("head")))
+    step = F.when(F.col("_n") > 0, F.col("_n") + 2)
+    at_count = F.col("line_no") % step == 0
     checks = sized.groupBy("run_id").agg(
         F.max(F.when(filled, F.col("line_no"))).alias("last_line"),
-        F.max(F.when(filled & at_count & ~count.eqNullSafe(F.col("n_atoms")), F.col("line_no"))).alias("_bad"),
+        F.min_by(_first_word(F.col("value")), F.when(filled, F.col("line_no"))).alias("n_atoms"),
+        F.max(F.when(filled & at_count & ~_first_word(F.col("value")).eqNullSafe(F.col("_n")), F.col("line_no"))).alias("_bad"),
         F.max(F.when(~filled & at_count, F.col("line_no"))).alias("_blank"),
-    )
-    odd = F.col("_bad").isNotNull() | (F.col("_blank") < F.col("last_line"))
-    marked = stage(checks.select("run_id", "last_line", F.coalesce(odd, F.lit(False)).alias("odd")))
-    joined = attach(sized, marked, ["run_id"], spread="line_no", staged=True).where(
-        F.col("line_no") <= F.col("last_line")
-    )
-    regular = _stride_rows(joined.where(~F.col("odd"))).select(*_ROW, "last_line")
-    if marked.where("odd").isEmpty():
-        return regular
-    return regular.unionByName(_searched(joined.where("odd")).select(*_ROW, "last_line"))
-
-
-def _searched(lines: DataFrame) -> DataFrame:
-    """Place lines when blank ones stand between frames.
-
-    A frame starts at a line of fewer than four words, the first an integer, whose previous
-    non-blank line is an atom (four words or more) or missing. Running values over line numbers,
-    cut into chunks, find that neighbour and number the frames.
-    """
-    words = tokens(F.col("value"))
-    sized = lines.withColumn("_w", F.size(words)).withColumn("_count", word(words, 0).try_cast("int"))
-    # Line number and word count in one number; the largest up to the line before is the neighbour.
-    code = F.when(F.col("_w") > 0, F.col("line_no") * 8 + F.least(F.col("_w"), F.lit(7)))
-    shifted = sized.select("run_id", (F.col("line_no") + 1).alias("line_no"), code.alias("_code"))
-    known = sized.join(shifted, ["run_id", "line_no"], "left")
-    known = running(known, ["run_id"], "line_no", {"_prev": ("max", F.col("_code"))})
-    starts = (F.col("_w") < 4) & F.col("_count").isNotNull() & (
-        F.col("_prev").isNull() | (F.col("_prev") % 8 >= 4)
-    )
-    known = known.withColumn("_start", F.when(starts, F.col("line_no")))
-    framed = running(known, ["run_id"], "line_no", {
-        "_begin": ("max", F.col("_start")),
-        "_frame": ("sum", F.when(starts, 1).otherwise(0).cast("bigint")),
+        F.max("_n").alias("_n"),
+    ).where(F.col("last_line").isNotNull())
+    odd = F.col("_n").isNull() | (F.col("_n") < 1) | F.col("_bad").isNotNull() | (F.col("_blank") < F.col("last_line"))
+    marked = stage(checks.select("run_id", "last_line", "n_atoms", F.coalesce(odd, F.lit(False)).alias("odd")))
+    joined = attach(lines.select("run_id", "line_no", "value"), marked, ["run_id"], spread="line_no", staged=True)
+    joined = joined.where(F.col("line_no") <= F.col("last_line"))
+    length = F.when(F.col("n_atoms") > 0, F.col("n_atoms") + 2)
+    regular = joined.where(~F.col("odd")).withColumns({
+        "frame_id": F.floor(F.col("line_no") / length), "row": F.col("line_no") % length, "count": F.col("n_atoms").cast("bigint"),
     })
-    row = (F.col("line_no") - F.col("_begin")).cast("int")
-    # A blank line past the atoms of its frame separates frames.
-    between = (F.col("_w") == 0) & (row >= F.col("n_atoms") + 2)
-    return framed.where(F.col("_begin").isNotNull() & ~between).select(
-        "run_id", (F.col("_frame") - 1).alias("frame_id"), row.alias("row"), "n_atoms", "line_no", "value", "last_line"
-    )
+    runs = marked.where("odd").select("run_id")
+    if runs.isEmpty():
+        return regular.select(*_ROW)
+    count = F.when(_first_word(F.col("value")) >= 1, _first_word(F.col("value")))
+    followed = _chained(joined.where("odd"), runs, count, ~filled)
+    # Blank lines between frames belong to none; after a damaged count line nothing can be placed.
+    followed = followed.where((F.col("row") < F.col("count") + 2) | (F.col("count").isNull() & (F.col("row") == 0)))
+    return regular.select(*_ROW).unionByName(followed.select(*_ROW))
 
 
-def _problem(words: Column, row: Column, n: Column) -> Column:
+def _problem(words: Column) -> Column:
     """What is wrong with a line, or NULL."""
-    count = word(words, 0).try_cast("int")
+    row, n = F.col("row"), F.col("count")
     coords = [number(word(words, k)) for k in (1, 2, 3)]
     where = F.concat(F.lit(" in frame "), (F.col("frame_id") + 1).cast("string"), F.lit(", line "), (F.col("line_no") + 1).cast("string"))
-    separator = (F.size(words) == 0) & (row >= n + 2)  # filtered too, but filters may run in any order
+    # Lines outside of frames are filtered away too, but filters may run in any order.
+    outside = (row > 0) & (n.isNull() | (row >= n + 2))
     return (
-        F.when(separator, F.lit(None).cast("string"))
-        .when((row == 0) & count.isNull(), F.concat(F.lit("invalid atom count"), where))
-        .when((row == 0) & (count != n), F.concat(F.lit("atom count changes"), where))
-        .when(row >= n + 2, F.concat(F.lit("unexpected line"), where))
+        F.when(outside | (F.col("line_no") > F.col("last_line")), F.lit(None).cast("string"))
+        .when((row == 0) & n.isNull(), F.concat(F.lit("invalid atom count"), where))
+        .when((row == 0) & ~n.eqNullSafe(F.col("n_atoms").cast("bigint")), F.concat(F.lit("atom count changes"), where))
+        .when((row == 0) & (F.col("line_no") + n + 1 > F.col("last_line")), F.concat(F.lit("truncated frame"), where))
         .when((row >= 2) & (F.size(words) < 4), F.concat(F.lit("atom line needs four words"), where))
         .when((row >= 2) & (coords[0].isNull() | coords[1].isNull() | coords[2].isNull()),
               F.concat(F.lit("coordinate is not a number"), where))
-        .when((F.col("line_no") == F.col("last_line")) & (row != n + 1), F.concat(F.lit("truncated frame"), where))
+    )
+
+
+def _checked(lines: DataFrame) -> DataFrame:
+    return frame_rows(lines).withColumn("_w", tokens(F.col("value"))).withColumn("_problem", _problem(F.col("_w")))
+
+
+def corrupt_frames(lines: DataFrame) -> DataFrame:
+    """What PERMISSIVE leaves out: run_id, frame_id (from 0), line_no (from 1) and error of the first bad line of
+    each run, and the number of frames from there on that could be placed."""
+    rows = _checked(lines)
+    first = rows.where(F.col("_problem").isNotNull()).groupBy("run_id").agg(
+        F.min(F.struct("frame_id", "line_no", F.col("_problem").alias("error"))).alias("e")
+    )
+    last = rows.groupBy("run_id").agg(F.max("frame_id").alias("_last"))
+    return first.join(last, ["run_id"]).select(
+        "run_id", "e.frame_id", (F.col("e.line_no") + 1).alias("line_no"), "e.error", (F.col("_last") - F.col("e.frame_id") + 1).alias("dropped_frames")
     )
 
 
 def parse_xyz(lines: DataFrame, mode: str = "STRICT", normalise: bool = False) -> DataFrame:
-    """Numbered lines -> atoms. STRICT fails on the first bad line met; PERMISSIVE keeps the frames
-    before the first bad one of each run."""
+    """Numbered lines -> atoms. STRICT fails on a bad line; PERMISSIVE keeps the frames before the
+    first bad one of each run, and ``corrupt_frames`` tells which it left out."""
     if mode not in ("STRICT", "PERMISSIVE"):
         raise ValueError(f"unknown mode {mode!r}")
-    words = tokens(F.col("value"))
-    row, n = F.col("row"), F.col("n_atoms")
-    rows = frame_rows(lines).withColumn("_w", words).withColumn("_problem", _problem(F.col("_w"), row, n))
+    row = F.col("row")
+    rows = _checked(lines)
     if mode == "PERMISSIVE":
         first = rows.where(F.col("_problem").isNotNull()).groupBy("run_id").agg(F.min("frame_id").alias("_cut"))
-        rows = attach(rows, first, ["run_id"], "left", spread="frame_id").where(
-            F.col("_cut").isNull() | (F.col("frame_id") < F.col("_cut"))
+        rows = attach(rows, first, ["run_id"], "left", spread="line_no").where(
+            (F.col("_cut").isNull() | (F.col("frame_id") < F.col("_cut"))) & (row >= 2)
         )
     else:
-        # One condition, so that a bad count line is met before count lines are filtered away.
+        # One condition and no other after it, so that a bad count line is met before count lines are filtered away.
         failed = F.raise_error(F.col("_problem")).cast("boolean")
         rows = rows.where(F.when(F.col("_problem").isNotNull(), failed).otherwise(row >= 2))
     w = F.col("_w")
     element = symbol(word(w, 0)) if normalise else word(w, 0)
-    return rows.where(row >= 2).select(
-        "run_id", "frame_id", (row - 1).alias("atom_id"), element.alias("element"),
+    return rows.select(
+        "run_id", "frame_id", (row - 1).cast("int").alias("atom_id"), element.alias("element"),
         *[number(word(w, k)).alias(c) for k, c in ((1, "x"), (2, "y"), (3, "z"))],
     )
 
@@ -130,28 +160,37 @@ def read_xyz(
 def validate_xyz(lines: DataFrame) -> DataFrame:
     """Error rows (run_id, line_no from 1, error); atom lines must have exactly four words.
 
-    After a wrong atom count the lines of a run can no longer be placed, so nothing after it is
-    reported.
+    Each frame is as long as its own count line says. After a line that should hold a count and does
+    not the lines of a run can no longer be placed, so it is the last one reported.
     """
-    words = tokens(F.col("value"))
-    sized = lines.withColumn("n_atoms", word(tokens(F.col("head")), 0).try_cast("int"))
-    last = sized.groupBy("run_id").agg(F.max("line_no").alias("last_line"))
-    rows = _stride_rows(attach(sized, last, ["run_id"], spread="line_no").withColumn("_w", words))
-    w, row, n = F.col("_w"), F.col("row"), F.col("n_atoms")
+    whole = F.trim("value").try_cast("int")
+    sized = lines.withColumn("_n", F.trim("head").try_cast("int"))
+    at_count = F.col("line_no") % F.when(F.col("_n") > 0, F.col("_n") + 2) == 0
+    checks = sized.groupBy("run_id").agg(
+        F.max("line_no").alias("last_line"), F.max("_n").alias("n_atoms"),
+        F.coalesce(F.max(F.col("_n").isNull() | (F.col("_n") < 1) | (at_count & ~whole.eqNullSafe(F.col("_n")))), F.lit(True)).alias("odd"),
+    )
+    marked = stage(checks)
+    joined = attach(lines.select("run_id", "line_no", "value"), marked, ["run_id"], spread="line_no", staged=True)
+    length = F.when(F.col("n_atoms") > 0, F.col("n_atoms") + 2)
+    rows = joined.where(~F.col("odd")).withColumns({"row": F.col("line_no") % length, "count": F.col("n_atoms").cast("bigint")})
+    kept = ["run_id", "line_no", "value", "last_line", "row", "count"]
+    rows, runs = rows.select(*kept), marked.where("odd").select("run_id")
+    if not runs.isEmpty():
+        rows = rows.unionByName(_chained(joined.where("odd"), runs, whole, F.lit(False)).select(*kept))
+    rows = rows.withColumn("_w", tokens(F.col("value")))
+    w, row, n = F.col("_w"), F.col("row"), F.greatest("count", F.lit(0).cast("bigint"))
+    known = F.col("count").isNotNull()
     coords = [number(word(w, k)) for k in (1, 2, 3)]
-    count = word(w, 0).try_cast("int")
+    atom = known & (row >= 2) & (row < n + 2)
+    at_end = known & (F.col("line_no") == F.col("last_line"))
     error = (
-        F.when(n.isNull() & (F.col("line_no") == 0), "invalid number of atoms")
-        .when((row == 0) & ~count.eqNullSafe(n), "invalid number of atoms")
-        .when((row >= 2) & (F.size(w) != 4), F.concat(F.lit("expected 4 items, found "), F.size(w).cast("string")))
-        .when((row >= 2) & (coords[0].isNull() | coords[1].isNull() | coords[2].isNull()), "non-numeric coordinate")
-        .when((F.col("line_no") == F.col("last_line")) & (row == 0), "missing comment line")
-        .when((F.col("line_no") == F.col("last_line")) & (row < n + 1), "incomplete atom lines")
+        F.when((row == 0) & ~known, "invalid number of atoms")
+        .when(atom & (F.size(w) != 4), F.concat(F.lit("expected 4 items, found "), F.size(w).cast("string")))
+        .when(atom & (coords[0].isNull() | coords[1].isNull() | coords[2].isNull()), "non-numeric coordinate")
+        .when(at_end & (row == 0), "missing comment line")
+        .when(at_end & (row < n + 1), "incomplete atom lines")
     )
-    found = rows.withColumn("error", error).where(F.col("error").isNotNull())
-    stop = found.where(F.col("error") == "invalid number of atoms").groupBy("run_id").agg(F.min("line_no").alias("_stop"))
-    return (
-        attach(found, stop, ["run_id"], "left", spread="line_no")
-        .where(F.col("_stop").isNull() | (F.col("line_no") <= F.col("_stop")))
-        .select("run_id", (F.col("line_no") + 1).alias("line_no"), "error")
+    return rows.withColumn("error", error).where(F.col("error").isNotNull()).select(
+        "run_id", (F.col("line_no") + 1).alias("line_no"), "error"
     )

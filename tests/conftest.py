@@ -10,6 +10,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 @pytest.fixture(scope="session")
 def spark():
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     session = (
         SparkSession.builder.master("local[4]")
         .config("spark.sql.shuffle.partitions", "4")
@@ -17,7 +18,8 @@ def spark():
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.local.dir", tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        .config("spark.local.dir", folder)
+        .config("spark.checkpoint.dir", f"file://{folder}/shared")
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")

@@ -207,3 +207,58 @@ def test_selection(make_frames):
         frames.select_frames_phase_space(f, 1, 5, 0)
     assert frames.changed_symbol_order(f).count() == 0
     assert math.isclose(frames.range_summary(f, 1, 2, 0, 2).first().mean_distance, 1.0)
+
+
+# ---- unknown elements, labels, resting runs, cells smaller than the radius ------------------------
+@pytest.mark.parametrize("symbol", ["o", "Xx"])
+@pytest.mark.parametrize("size", [2, 80])
+def test_unknown_elements_are_named(make_frames, symbol, size):
+    from kinetrove.operators import ensemble
+    from kinetrove.operators.residence import occupancy
+    f = make_frames([[(symbol, 0, 0, 0), *[("H", i, 0, 0) for i in range(1, size)]]])
+    everyone = list(range(1, size + 1))
+    for run in (
+        lambda: ensemble.center_of_mass(f, [everyone]), lambda: ensemble.density(f, (9, 9, 9)),
+        lambda: occupancy(f, [2], [everyone], 1.0, observed_mode="group_list_com"), lambda: ensemble.bounding_radius(f, [everyone]),
+    ):
+        with pytest.raises(Exception, match=f"unknown element {symbol}"):
+            run().collect()
+    assert ensemble.center_of_mass(f, [everyone[1:]]).count() == 1
+    assert ensemble.geometric_center(f, [everyone]).count() == 1
+
+
+@pytest.mark.parametrize("size", [1, 64, 65])
+def test_bad_labels_are_refused(make_frames, size):
+    from kinetrove.operators import ensemble
+    from kinetrove.operators.residence import occupancy
+    f = make_frames([[("H", i, 0, 0) for i in range(70)]])
+    for bad in (-1, 0):
+        group = [*range(1, size), bad]
+        for run in (lambda: ensemble.geometric_center(f, [group]), lambda: ensemble.inside_box(f, [group], (9, 9, 9)), lambda: occupancy(f, [1], [group], 1.0, observed_mode="group_list_geometric")):
+            with pytest.raises(ValueError, match="start at 1"):
+                run()
+    with pytest.raises(ValueError):
+        occupancy(f, [1], [[-1]], 1.0)
+
+
+def test_a_run_at_rest_has_no_curve(spark):
+    from kinetrove.operators.correlation import autocorrelation
+    kind = "run_id string, frame_id bigint, pos array<struct<x:double,y:double,z:double,vx:double,vy:double,vz:double>>"
+    rows = [(run, n, [(1.0, 2.0, 3.0, v, 0.0, 0.0)]) for run, v in (("rest", 0.0), ("moves", 1.0)) for n in range(6)]
+    got = {(r.run_id, r.lag): r.vaf for r in autocorrelation(spark.createDataFrame(rows, kind), 1, None, 3).collect()}
+    assert got["moves", 1] == 1.0 and got["rest", 1] is None and got["rest", 2] is None
+
+
+def test_images_reach_the_radius(make_frames):
+    from kinetrove.operators.rdf import rdf
+    f = make_frames([[("C", 0, 0, 0), ("O", 1, 1, 1)]])
+    got = rdf(f, 1, "O", 10.0, 0.5, (4, 4, 4)).orderBy("bin").collect()
+    near = sum(1 for i in range(-4, 5) for j in range(-4, 5) for k in range(-4, 5) if (1 + 4 * i) ** 2 + (1 + 4 * j) ** 2 + (1 + 4 * k) ** 2 <= 100)
+    assert got[-1].coordination == near > 27
+
+
+def test_gaps_in_frames_are_told(spark):
+    from kinetrove.operators.correlation import occupancy_shape
+    occ = spark.createDataFrame([("r", 1, f, 1) for f in (0, 2, 4)], "run_id string, object_id int, frame_id bigint, h int")
+    with pytest.raises(Exception, match="not consecutive"):
+        occupancy_shape(occ).collect()
