@@ -8,7 +8,7 @@ draws from that alphabet:
 * the number of runs of symbols of the lower and upper half of the alphabet,
 * serial correlation of neighbouring symbols.
 
-A token is consistent with randomness if the smallest of the three p-values, times three, is at least ``reject``.
+A test that one repeated symbol, or symbols of one half only, leave undefined has p-value 0. A token is consistent with randomness if the smallest of the three p-values, times three, is at least ``reject``.
 Whether it could be text instead is a likelihood ratio: symbols drawn from the letter frequencies of text reach the
 ratio e**x with probability e**-x at most, whatever the length. These bounds are the p-values of a false-discovery
 control (Benjamini and Hochberg) within bands of length: in each band the lowest threshold is taken at which the
@@ -105,10 +105,11 @@ def battery(token: Column) -> Column:
         pairs = F.sequence(F.lit(1), n.cast("int") - 1)
         runs = F.aggregate(pairs, F.lit(1.0), lambda s, i: s + F.when(F.get(high, i) != F.get(high, i - 1), 1.0).otherwise(0.0))
         both = 2.0 * ones * zeros
-        z_runs = (runs - (1.0 + both / n)) / F.sqrt(both * (both - n) / (n * n * (n - 1)))
+        z_runs = F.try_divide(runs - (1.0 + both / n), F.sqrt(both * (both - n) / (n * n * (n - 1))))
         middle = F.aggregate(x, F.lit(0.0), lambda s, v: s + v) / n
         spread = F.aggregate(x, F.lit(0.0), lambda s, v: s + F.pow(v - middle, 2))
-        serial = F.aggregate(pairs, F.lit(0.0), lambda s, i: s + (F.get(x, i) - middle) * (F.get(x, i - 1) - middle)) / spread
+        serial = F.aggregate(pairs, F.lit(0.0), lambda s, i: s + (F.get(x, i) - middle) * (F.get(x, i - 1) - middle))
+        serial = F.try_divide(serial, spread)
         z_serial = (serial + 1.0 / n) * F.sqrt(n)
         ratio = F.aggregate(parts["c"], F.lit(0.0), lambda s, c: s - F.log(m) - F.element_at(logs, c))
         return F.struct(
