@@ -130,9 +130,10 @@ def autocorrelation(frames: DataFrame, start: int, stop: int | None, block: int)
     raw = pairs.groupBy("run_id", "lag").agg(
         F.avg(p[0] + p[1] + p[2]).alias("paf"), F.avg(v[0] + v[1] + v[2]).alias("vaf")
     )
-    per_run = Window.partitionBy("run_id")  # at most block-1 rows
-    return raw.select(
-        "run_id", "lag", *[F.try_divide(F.col(c), F.max(F.abs(F.col(c))).over(per_run)).alias(c) for c in ("paf", "vaf")]
+    raw = stage(raw)
+    peaks = raw.groupBy("run_id").agg(*[F.max(F.abs(F.col(c))).alias(f"_{c}") for c in ("paf", "vaf")])
+    return attach(raw, peaks, ["run_id"], spread="lag").select(
+        "run_id", "lag", *[F.try_divide(F.col(c), F.when(F.col(f"_{c}") > 0, F.col(f"_{c}"))).alias(c) for c in ("paf", "vaf")]
     )
 
 

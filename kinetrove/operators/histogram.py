@@ -86,6 +86,12 @@ def histogram(
                        normalised(F.col("count"), F.col("total"), bin_width, norm).alias(norm))
 
 
+def full_range_histogram(series: DataFrame, bin_width: float, norm: str = "pct", keys: Sequence[str] = ("run_id",), value: str = "value") -> DataFrame:
+    """Histogram of torsions in (-180, 180]; none is dropped, and centres keep their sign."""
+    shifted = series.withColumn(value, F.col(value) + 180.0)
+    return histogram(shifted, 360.0, bin_width, "clamp", norm, keys, value).withColumn("center", F.col("center") - 180.0)
+
+
 def center(bin_: Column, width, edge: str) -> Column:
     w = F.lit(width)
     return (bin_ * w + (bin_ + 1) * w) / 2.0 if edge == "closed" else w * (bin_ + 0.5)

@@ -23,6 +23,8 @@ from kinetrove.operators.frames import FRAME_KEY
 
 #: cells are a little wider than the radius, so rounding cannot put a pair two cells apart
 _SLACK = 1.000001
+#: candidate pairs that are made at once
+CANDIDATES = 2_000_000
 _HALF_SHELL = [o for o in itertools.product((-1, 0, 1), repeat=3) if o >= (0, 0, 0)]
 _FULL_SHELL = list(itertools.product((-1, 0, 1), repeat=3))
 
@@ -96,8 +98,22 @@ def neighbor_pairs(
     )
 
 
-def _close(flat: Flat, radius: float, cell: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions a, b of close atoms of one frame in the flat arrays, each pair once, and d^2."""
+def _slices(count: np.ndarray) -> Iterator[slice]:
+    """Ranges of atoms with about ``CANDIDATES`` candidate pairs together."""
+    upto = np.cumsum(count)
+    start = 0
+    while start < len(count):
+        done = upto[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(upto, done + CANDIDATES, "right")))
+        yield slice(start, stop)
+        start = stop
+
+
+def _close(flat: Flat, radius: float, cell: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Positions a, b of close atoms of one frame in the flat arrays, each pair once, and d^2.
+
+    Candidates are made and checked in slices, so a crowded cell costs time but no memory.
+    """
     q, edge = flat.points, radius * _SLACK
     if cell is None:
         index = np.floor(q / edge).astype(np.int64)
@@ -113,25 +129,26 @@ def _close(flat: Flat, radius: float, cell: np.ndarray | None) -> tuple[np.ndarr
     order = np.argsort(own, kind="stable")
     ranked = own[order]
     shell = _HALF_SHELL if half else sorted({tuple(int(v) for v in np.mod(o, wrap)) for o in _FULL_SHELL})
-    found = []
     for offset in shell:
         moved = index + np.array(offset)
         target = number(moved if wrap is None else moved % wrap)
         low = np.searchsorted(ranked, target, "left")
         count = np.searchsorted(ranked, target, "right") - low
-        a = np.repeat(np.arange(len(q)), count)
-        b = order[np.repeat(low - (np.cumsum(count) - count), count) + np.arange(count.sum())]
-        keep = flat.frame[a] == flat.frame[b]
-        if not half or not any(offset):
-            keep &= a < b
-        a, b = a[keep], b[keep]
-        d = q[a] - q[b]
-        if cell is not None:
-            d = d - cell * np.rint(d / cell)
-        d2 = d[:, 0] * d[:, 0] + d[:, 1] * d[:, 1] + d[:, 2] * d[:, 2]
-        near = d2 <= radius * radius
-        found.append((a[near], b[near], d2[near]))
-    return tuple(np.concatenate(part) for part in zip(*found))
+        for part in _slices(count):
+            n, first = count[part], low[part]
+            a = np.repeat(np.arange(part.start, part.stop), n)
+            b = order[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            keep = flat.frame[a] == flat.frame[b]
+            if not half or not any(offset):
+                keep &= a < b
+            a, b = a[keep], b[keep]
+            d = q[a] - q[b]
+            if cell is not None:
+                d = d - cell * np.rint(d / cell)
+            d2 = d[:, 0] * d[:, 0] + d[:, 1] * d[:, 1] + d[:, 2] * d[:, 2]
+            near = d2 <= radius * radius
+            if near.any():
+                yield a[near], b[near], d2[near]
 
 
 def frame_pairs(
@@ -149,16 +166,16 @@ def frame_pairs(
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for flat in flat_frames(batches):
-            a, b, d2 = _close(flat, reach, box)
-            a, b = np.minimum(a, b), np.maximum(a, b)
-            rows = pa.array(flat.frame[a])
-            label = lambda k: (k - flat.starts[flat.frame[k]] + 1).astype(np.int32)
-            out = {c: flat.batch.column(c).take(rows) for c in FRAME_KEY}
-            out |= {"i": label(a), "j": label(b), "d2": d2}
-            for name in names:
-                values = list_values(flat.batch.column(name)).astype(float)
-                out |= {f"{name}_i": values[a], f"{name}_j": values[b]}
-            yield pa.RecordBatch.from_pydict(out)
+            for a, b, d2 in _close(flat, reach, box):
+                a, b = np.minimum(a, b), np.maximum(a, b)
+                rows = pa.array(flat.frame[a])
+                label = lambda k: (k - flat.starts[flat.frame[k]] + 1).astype(np.int32)
+                out = {c: flat.batch.column(c).take(rows) for c in FRAME_KEY}
+                out |= {"i": label(a), "j": label(b), "d2": d2}
+                for name in names:
+                    values = list_values(flat.batch.column(name)).astype(float)
+                    out |= {f"{name}_i": values[a], f"{name}_j": values[b]}
+                yield pa.RecordBatch.from_pydict(out)
 
     points = F.transform("pos", lambda p: F.struct(*[p[c].alias(c) for c in G.AXES]))
     ready = frames.where(F.size("pos") > 0).select(

@@ -72,3 +72,17 @@ def series_stats(series: DataFrame, keys=("run_id",), ddof: int = 1, value: str
         F.coalesce(std(v), F.lit(0.0)).alias("std_dev"),
     )
 
+
+def circular_stats(series: DataFrame, keys=("run_id",), value: str = "value") -> DataFrame:
+    """Count, mean direction in (-180, 180], resultant length R and circular deviation of angles in degrees.
+
+    Angles that cancel out have no direction: mean and deviation are NULL there.
+    """
+    a = F.radians(F.col(value))
+    sums = series.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(F.sin(a)).alias("_s"), F.avg(F.cos(a)).alias("_c"))
+    r = F.least(F.lit(1.0), F.hypot("_s", "_c"))
+    some = r > 1e-12
+    return sums.select(
+        *keys, "n", F.when(some, F.degrees(F.atan2("_s", "_c"))).alias("mean"), r.alias("resultant"),
+        F.when(some, F.degrees(F.sqrt(-2.0 * F.ln(r)))).alias("std_dev"),
+    )

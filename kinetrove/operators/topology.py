@@ -11,7 +11,7 @@ from kinetrove.functions import geometry as G
 from kinetrove.functions.constants import COVALENT_RADII, COVALENT_TOLERANCE
 from kinetrove.operators.frames import is_packed, unpack_frames
 from kinetrove.operators.neighbors import frame_pairs, neighbor_pairs
-from kinetrove.plans.staging import attach
+from kinetrove.plans.staging import attach, stage
 
 
 def first_atoms(df: DataFrame, frame_id: int = 0) -> DataFrame:
@@ -52,6 +52,7 @@ def angles(edges: DataFrame) -> DataFrame:
 
 def dihedrals(edges: DataFrame, df: DataFrame) -> DataFrame:
     """Quadruplets i-j-k-l over each bond j-k, without those that are collinear in the first frame."""
+    edges = stage(edges)  # used three times below, and found by a search that is dearer than its result
     points = first_atoms(df).select("run_id", "atom_id", G.vec(F.col("x"), F.col("y"), F.col("z")).alias("p"))
     e = _both_ways(edges)
     for end in ("at", "to"):
@@ -124,3 +125,13 @@ def dynamic_bonds(
     return pairs.where(F.col("d2") <= reach * reach).select(
         "run_id", "frame_id", "i", "j", F.sqrt("d2").alias("distance")
     )
+
+
+def static_bonds(
+    frames: DataFrame, max_distance: float = 1.5, tolerance: float = COVALENT_TOLERANCE, radii: dict[str, float] | None = None
+) -> DataFrame:
+    """Bonds of the first frame of each run, with their distances in every packed frame."""
+    first = dynamic_bonds(frames.where(F.col("frame_id") == 0), max_distance, tolerance, radii).select("run_id", "i", "j")
+    rows = attach(frames.select("run_id", "frame_id", "pos"), first, ["run_id"])
+    pos = F.col("pos")
+    return G.add_distance(rows, G.atom(pos, F.col("i")), G.atom(pos, F.col("j")), "distance").select("run_id", "frame_id", "i", "j", "distance")

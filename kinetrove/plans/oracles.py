@@ -218,8 +218,8 @@ SELECT run_id, frame_id, i, j, round(sqrt(d2),6) AS distance FROM p WHERE d2<=re
 ORACLES["frame_stats"] = f"WITH {RUNS} SELECT run_id, count(*) AS n_frames, (count(*)*21)::BIGINT AS n_atom_rows, 21::BIGINT AS min_atoms, 21::BIGINT AS max_atoms FROM runs GROUP BY run_id"
 ORACLES["composition"] = f"WITH {TRAJ} SELECT run_id, element, count(*) AS n_atoms FROM traj WHERE frame_id=0 GROUP BY ALL"
 _ATOMS6 = "run_id, frame_id, atom_id, element, round(x,6) AS x, round(y,6) AS y, round(z,6) AS z"
-ORACLES["select_frames"] = f"WITH {TRAJ} SELECT {_ATOMS6} FROM traj WHERE frame_id>=10 AND (frame_id-10)%5=0"
-ORACLES["select_frames_b"] = f"WITH {VEL} SELECT {_ATOMS6}, round(vx,6) AS vx, round(vy,6) AS vy, round(vz,6) AS vz FROM vel WHERE frame_id+1>=5 AND (frame_id-4)%7=0"
+ORACLES["select_frames"] = f"WITH {TRAJ} SELECT {_ATOMS6} FROM traj WHERE frame_id BETWEEN 10 AND 302 AND (frame_id-10)%5=0"
+ORACLES["select_frames_b"] = f"WITH {VEL} SELECT {_ATOMS6}, round(vx,6) AS vx, round(vy,6) AS vy, round(vz,6) AS vz FROM vel WHERE frame_id+1>=5 AND frame_id+1<=306 AND (frame_id-4)%7=0"
 _KEPT = f"{_BOND}, kept AS (SELECT run_id, frame_id, value AS distance FROM s WHERE value BETWEEN 2.0::DOUBLE AND 4.0::DOUBLE)"
 ORACLES["range_frames"] = f"WITH {_KEPT} SELECT run_id, frame_id, round(distance,6) AS distance FROM kept"
 ORACLES["range_summary"] = f"""WITH {_KEPT} SELECT 'r0' AS run_id, (SELECT count(*) FROM s) AS total_frames, count(*) AS selected_frames,
@@ -318,8 +318,9 @@ ORACLES["psd"] = f"""WITH {_ACF} SELECT 'r0' AS run_id, k, round((CASE WHEN k<={
 ORACLES["state_population"] = f"""WITH {RUNS}, v AS (SELECT run_id, vec_id%4 AS state FROM runs), n AS (SELECT count(DISTINCT run_id) AS r FROM v),
 c AS (SELECT s.state::INT AS state, 1+(SELECT count(*) FROM v WHERE v.state=s.state) AS n FROM (SELECT unnest([1,2,3]) AS state) s)
 SELECT state, round(c.n/r::DOUBLE,6) AS average, round(c.n*100.0::DOUBLE/(SELECT sum(n) FROM c),6) AS percent FROM c, n"""
-ORACLES["state_frames"] = f"""WITH {RUNS} SELECT run_id, frame_id, (vec_id%4)::VARCHAR AS state, round(10.0::DOUBLE*embedding[1]::DOUBLE,6) AS x1,
-  round(10.0::DOUBLE*embedding[2]::DOUBLE,6) AS y1 FROM runs"""
+ORACLES["state_frames"] = f"""WITH {RUNS} SELECT run_id, frame_id, CASE WHEN frame_id<40 THEN (vec_id%4)::VARCHAR ELSE 'unknown' END AS state, (a+1)::INT AS atom_id,
+  round(10.0::DOUBLE*embedding[3*a+1]::DOUBLE,6) AS x, round(10.0::DOUBLE*embedding[3*a+2]::DOUBLE,6) AS y, round(10.0::DOUBLE*embedding[3*a+3]::DOUBLE,6) AS z
+  FROM runs, (SELECT unnest(range(21)) AS a)"""
 ORACLES["energy_columns"] = """WITH e AS (SELECT event_id AS step, value, -100.0::DOUBLE-value/100.0::DOUBLE AS ks FROM events),
 f AS (SELECT *, ks+value/500.0::DOUBLE AS c4 FROM e)
 SELECT step, round(step::DOUBLE*5.0::DOUBLE*0.024188::DOUBLE/1000.0::DOUBLE,9) AS x, round(value/1000.0::DOUBLE,6) AS fictitious, round(value,6) AS temperature,
@@ -421,5 +422,5 @@ for _fmt, _digits in STRUCTURE_DIGITS.items():
   round(x,{_digits}) AS x, round(y,{_digits}) AS y, round(z,{_digits}) AS z FROM traj"""
 ORACLES["symbol_order_check"] = f"WITH {RUNS} SELECT run_id FROM runs GROUP BY run_id HAVING count(DISTINCT vec_id%97=5)>1"
 _FAR = f"SELECT 'r0' AS run_id, vec_id AS frame_id, round({_T0},6) AS time_ps, round({_dist(_p(1), _p(21))},6) AS value FROM embeddings"
-ORACLES["pack_frames"] = _FAR
+ORACLES["pack_frames"] = f"WITH {TRAJ} SELECT run_id, frame_id, atom_id, element, round(x,6) AS x, round(y,6) AS y, round(z,6) AS z FROM traj"
 ORACLES["bond_series_atoms"] = _FAR

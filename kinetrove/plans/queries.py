@@ -200,13 +200,13 @@ def composition(spark, sf):
 
 @query
 def select_frames(spark, sf):
-    kept = frames.select_frames(T.traj_frames(spark, sf), 10, 10**12, 4)
+    kept = frames.select_frames(T.traj_frames(spark, sf), 10, 302, 4)
     return _round(frames.unpack_frames(kept), 6, "x", "y", "z")
 
 
 @query
 def select_frames_b(spark, sf):
-    kept = frames.select_frames_phase_space(T.traj_vel(spark, sf), 5, 10**12, 7, overshoot=True)
+    kept = frames.select_frames_phase_space(T.traj_vel(spark, sf), 5, 300, 7, overshoot=True)
     return _round(frames.unpack_frames(kept), 6, "x", "y", "z", "vx", "vy", "vz")
 
 
@@ -337,9 +337,11 @@ def state_population(spark, sf):
 
 @query
 def state_frames(spark, sf):
-    f = states.frames_by_state(T.traj_runs(spark, sf), T.sh_states(spark, sf))
-    first = F.col("pos").getItem(0)
-    return f.select("run_id", "frame_id", "state", F.round(first["x"], 6).alias("x1"), F.round(first["y"], 6).alias("y1"))
+    """Logs that end before the trajectory: later frames are unknown. Every atom comes along."""
+    log = T.sh_states(spark, sf).where(F.col("row_idx") < 40)
+    f = states.frames_by_state(T.traj_runs(spark, sf), log)
+    atoms = f.select("run_id", "frame_id", "state", F.posexplode("pos").alias("_a", "p"))
+    return atoms.select("run_id", "frame_id", "state", (F.col("_a") + 1).alias("atom_id"), *[F.round(F.col("p")[c], 6).alias(c) for c in "xyz"])
 
 
 @query
@@ -496,8 +498,10 @@ def symbol_order_check(spark, sf):
 @query
 def pack_frames(spark, sf):
     packed = frames.pack_frames(frames.unpack_frames(T.traj_frames(spark, sf)))
-    d = series.distance_series(packed, 1, 21, DT, SAMPLING)
-    return _round(d, 6, "time_ps", "value")
+    rows = packed.select("run_id", "frame_id", F.posexplode(F.arrays_zip("elements", "pos")).alias("_a", "e"))
+    return rows.select(
+        "run_id", "frame_id", (F.col("_a") + 1).alias("atom_id"), F.col("e.elements").alias("element"), *[F.round(F.col(f"e.pos.{c}"), 6).alias(c) for c in "xyz"]
+    )
 
 
 @query

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kinetrove.plans.oracles import ORACLES, RUNS, TRAJ, VEL
+from kinetrove.plans.oracles import _RCOV, _TORSION, ORACLES, RUNS, TRAJ, VEL
 
 _BAD_ATOM, _BAD_COUNT = "vec_id%89=7", "vec_id%97=3"
 # A frame that tells one atom more than it has takes the next count line for an atom; the last one of a run is cut.
@@ -58,3 +58,16 @@ h AS (SELECT bin, lo, hi, count(d.d) AS c FROM edges LEFT JOIN d ON d.d>=lo AND
 m AS (SELECT *, c/(SELECT count(*) FROM embeddings)::DOUBLE AS m, 4.0::DOUBLE/3.0*3.141592653589793::DOUBLE*(hi*hi*hi-lo*lo*lo) AS vol,
   (SELECT count(*) FROM traj WHERE frame_id=0 AND element='O')/1728.0::DOUBLE AS rho FROM h)
 SELECT 'r0' AS run_id, bin::INT AS bin, round(lo,5) AS r, round(m/vol/rho,5) AS g, round(sum(m) OVER (ORDER BY bin),5) AS coordination FROM m"""
+ORACLES["dihedral_full_range"] = f"""WITH {_TORSION}, hb AS (SELECT least(35,floor((angle+180.0::DOUBLE)/10.0::DOUBLE))::INT AS bin FROM raw WHERE angle IS NOT NULL),
+n AS (SELECT count(*) AS total FROM hb), e AS (SELECT unnest(range(36))::INT AS bin)
+SELECT 'r0' AS run_id, e.bin, round(10.0::DOUBLE*(e.bin+0.5::DOUBLE)-180.0::DOUBLE,6) AS center, count(hb.bin) AS count, round(count(hb.bin)*100.0::DOUBLE/any_value(total),6) AS pct
+FROM n, e LEFT JOIN hb USING (bin) GROUP BY e.bin"""
+ORACLES["dihedral_circular"] = f"""WITH {_TORSION}, m AS (SELECT count(angle) AS n, avg(sin(radians(angle))) AS s, avg(cos(radians(angle))) AS c FROM raw)
+SELECT 'r0' AS run_id, n, round(degrees(atan2(s,c)),6) AS mean, round(sqrt(s*s+c*c),6) AS resultant, round(degrees(sqrt(-2*ln(sqrt(s*s+c*c)))),6) AS std_dev FROM m"""
+_PAIR = "(a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)"
+_PAIRS = f"p AS (SELECT a.frame_id, a.atom_id AS i, b.atom_id AS j, a.element AS ea, b.element AS eb, {_PAIR} AS d2 FROM traj a JOIN traj b ON a.frame_id=b.frame_id AND a.atom_id<b.atom_id)"
+ORACLES["static_bonds"] = f"""WITH {TRAJ}, {_PAIRS}, k AS (SELECT i, j FROM p WHERE frame_id=0 AND sqrt(d2)<=least(1.5::DOUBLE,{_RCOV}[ea]+{_RCOV}[eb]+0.45::DOUBLE))
+SELECT 'r0' AS run_id, frame_id, i, j, round(sqrt(d2),6) AS distance FROM p JOIN k USING (i, j)"""
+ORACLES["solute_bonds"] = f"""WITH {TRAJ}, {_PAIRS}, k AS (SELECT i, j FROM p WHERE frame_id=0 AND d2<=2.25::DOUBLE AND i<=12 AND j<=12)
+SELECT 'r0' AS run_id, i, j, count(*) AS n, 0::BIGINT AS degenerate, round(avg(sqrt(d2)),6) AS mean, round(var_pop(sqrt(d2)),6) AS variance, round(stddev_pop(sqrt(d2)),6) AS std_dev
+FROM p JOIN k USING (i, j) GROUP BY i, j"""

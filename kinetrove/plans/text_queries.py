@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinetrove.operators import rdf, states
+from kinetrove.operators import histogram, rdf, series, states, topology
 from kinetrove.plans import tables as T
-from kinetrove.plans.queries import N_STATES, _round, query
+from kinetrove.plans.queries import CONNECT, DT, SAMPLING, N_STATES, _round, query
 from kinetrove.plans.staging import attach
 from kinetrove.sinks import render
 from kinetrove.sources import logs, structures, xyz
@@ -227,3 +227,29 @@ def coordination_wide(spark, sf):
     return _round(g, 5, "r", "g", "coordination")
 
 
+# ---- options beside the usual rules ------------------------------------------------------------------
+def _torsion(spark, sf) -> DataFrame:
+    return series.dihedral_series(T.traj_frames(spark, sf), 1, 2, 3, 4, DT, SAMPLING, wrap_180=True)
+
+
+@query
+def dihedral_full_range(spark, sf):
+    return _round(histogram.full_range_histogram(_torsion(spark, sf), 10.0), 6, "center", "pct")
+
+
+@query
+def dihedral_circular(spark, sf):
+    return _round(series.circular_stats(_torsion(spark, sf)), 6, "mean", "resultant", "std_dev")
+
+
+@query
+def static_bonds(spark, sf):
+    return _round(topology.static_bonds(T.traj_frames(spark, sf), CONNECT), 6, "distance")
+
+
+@query
+def solute_bonds(spark, sf):
+    """Bonds among the first twelve atoms only, averaged over all frames."""
+    f = T.traj_frames(spark, sf)
+    stats = topology.internal_stats(f, topology.bonds(f, CONNECT, solute=list(range(1, 13))), "bond")
+    return _round(stats, 6, "mean", "variance", "std_dev")

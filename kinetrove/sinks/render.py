@@ -16,20 +16,14 @@ _ATOM = {
     "mol2": "%1$7d %2$s%1$-3d %3$10.4f %4$10.4f %5$10.4f %2$-6s 1 MOL 0.0000",
     "gaussian": "%2$-2s %3$16.8f %4$16.8f %5$16.8f",
 }
-# --- fixed values: text before and after the atoms; %1$d is the number of atoms ----------------
+# --- fixed values: text before and after the atoms; %1$d is the number of atoms, %2$s a title --
 _FRAME = {
-    "xyz": ("%1$d\nConverted file\n", ""),
-    "pdb": ("REMARK   Converted file\n", "\nEND"),
-    "hin": ("mol 1 Converted file\n", "\nendmol 1"),
-    "mol": (
-        "Converted file\nfrom a trajectory frame\nGenerated from Cartesian coordinates\n"
-        "%1$3d  0  0  0  0  0            999 V2000\n",
-        "\nM  END",
-    ),
-    "mol2": (
-        "@<TRIPOS>MOLECULE\nConverted file\n%1$d 0 0 0 0\nSMALL\nNO_CHARGES\n\n@<TRIPOS>ATOM\n", "\n@<TRIPOS>BOND",
-    ),
-    "gaussian": ("%%chk=converted.chk\n#p hf/3-21g\n\nConverted structure\n\n0 1\n", "\n"),
+    "xyz": ("%1$d\n%2$s\n", ""),
+    "pdb": ("REMARK   %2$s\n", "\nEND"),
+    "hin": ("mol 1 %2$s\n", "\nendmol 1"),
+    "mol": ("%2$s\n\n\n%1$3d  0  0  0  0  0            999 V2000\n", "\nM  END"),
+    "mol2": ("@<TRIPOS>MOLECULE\n%2$s\n%1$d 0 0 0 0\nSMALL\nNO_CHARGES\n\n@<TRIPOS>ATOM\n", "\n@<TRIPOS>BOND"),
+    "gaussian": ("# sp\n\n%2$s\n\n0 1\n", "\n"),
 }
 
 
@@ -55,14 +49,14 @@ def render_xyz(
     return frames.select("run_id", "frame_id", *keep, F.concat(head, _body(layout, scale)).alias("text"))
 
 
-def render_structures(frames: DataFrame, fmt: str, header: str | None = None) -> DataFrame:
+def render_structures(frames: DataFrame, fmt: str, header: str | None = None, title: str = "kinetrove frame") -> DataFrame:
     """run_id, frame_id, text: every frame as one file of the format. ``header`` replaces the text
     before the atoms."""
     fmt = {"ent": "pdb"}.get(fmt.lower(), fmt.lower())
     if fmt not in _FRAME:
         raise ValueError(f"Unsupported format: {fmt}")
     top, bottom = _FRAME[fmt]
-    head = F.format_string(top, F.size("pos")) if header is None else F.lit(header)
+    head = F.format_string(top, F.size("pos"), F.lit(title)) if header is None else F.lit(header)
     return frames.select("run_id", "frame_id", F.concat(head, _body(fmt), F.lit(bottom)).alias("text"))
 
 

@@ -262,3 +262,30 @@ def test_gaps_in_frames_are_told(spark):
     occ = spark.createDataFrame([("r", 1, f, 1) for f in (0, 2, 4)], "run_id string, object_id int, frame_id bigint, h int")
     with pytest.raises(Exception, match="not consecutive"):
         occupancy_shape(occ).collect()
+
+
+def test_crowded_cells_are_checked_in_slices(make_frames, monkeypatch):
+    from kinetrove.operators import neighbors
+    rng = np.random.default_rng(5)
+    points = rng.uniform(0, 1, size=(400, 3))
+    flat = neighbors.Flat(None, points, np.array([400]), np.array([0]), np.zeros(400, np.int64))
+    whole = sorted((int(min(a, b)), int(max(a, b))) for part in neighbors._close(flat, 0.9, None) for a, b in zip(*part[:2]))
+    monkeypatch.setattr(neighbors, "CANDIDATES", 1000)
+    parts = list(neighbors._close(flat, 0.9, None))
+    assert max(len(p[0]) for p in parts) <= 1400 and len(parts) > 20
+    assert sorted((int(min(a, b)), int(max(a, b))) for part in parts for a, b in zip(*part[:2])) == whole
+    d = np.linalg.norm(points[:, None] - points[None], axis=2)
+    assert len(whole) == int((np.triu(d <= 0.9, 1)).sum())
+
+
+def test_circular_mean_of_angles_around_the_cut(spark):
+    rows = spark.createDataFrame([("a", 179.0), ("a", -179.0), ("b", 0.0), ("b", 180.0)], "run_id string, value double")
+    got = {r.run_id: r for r in series.circular_stats(rows).collect()}
+    assert abs(got["a"].mean) == pytest.approx(180.0) and got["a"].std_dev == pytest.approx(1.0, rel=1e-3)
+    assert got["b"].mean is None and got["b"].std_dev is None
+
+
+def test_full_range_keeps_negative_torsions(spark):
+    rows = spark.createDataFrame([("a", v) for v in (-180.0, -91.0, -0.5, 0.5, 180.0)], "run_id string, value double")
+    got = {r.center: r["count"] for r in histogram.full_range_histogram(rows, 90.0).collect()}
+    assert got == {-135.0: 2, -45.0: 1, 45.0: 1, 135.0: 1}
