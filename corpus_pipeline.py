@@ -33,7 +33,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(docs, word_count(docs["text"]), weights=(3, 1, 2), share=1.5, cap=2.0)
+    mixed = mixing.mix(docs, lambda doc: word_count(doc["text"]), weights=(3, 1, 2), share=1.5, cap=2.0)
     return mixed.select("doc", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select("doc.*")
 
 

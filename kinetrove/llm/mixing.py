@@ -4,7 +4,9 @@ Sources in code-point order (null last) get the weights in turn. Together they a
 no source gives more than ``cap`` times its own, and what one cannot give the others take over by weight. Within a
 source every document is expected ``target / source_size`` times. Documents are put in the order of their size, so
 that all sizes are drawn alike, the expected copies are summed up along that order from one random offset, and a
-document is taken once for every whole number that its own share crosses.
+document is taken once for every whole number that its own share crosses. Sources of more than ``STRATUM`` rows are
+cut into strata of about that many by a hash of the doc_id, each in the order of size, one after another: neighbouring
+rows then weigh about the same however large the source is, and no task gets the longest documents of all.
 
 The running sum is ``rate x rank``, so only ranks within the source are needed: rows are dealt by ranges of (source,
 size, doc_id, hash), which splits a source of any size, are written once with their place, and one small row per
@@ -17,13 +19,15 @@ that are equal are sampled one by one. An empty table gives no rows. Other colum
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinetrove.llm.common import stage
 
+#: Rows of a source that are put in the order of their size together.
+STRATUM = 16384
 #: Offsets are multiples of 2**-OFFSET_BITS, so that sums of whole rates stay exact.
 OFFSET_BITS = 20
 
@@ -53,13 +57,22 @@ def targets(totals: DataFrame, *, weights: Sequence[float] = (3, 1, 2), share: f
     )
 
 
-def mix(docs: DataFrame, size: Column, *, seed: str = "mix", weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
-    """(doc STRUCT of all columns, size, source_size, target, copies, taken), one row per row of ``docs``."""
-    rows = docs.select(
-        F.struct("*").alias("doc"), size.cast("long").alias("size"), F.col("source").isNull().alias("_none"),
-        F.coalesce("source", F.lit("")).alias("_source"), F.col("doc_id").alias("_id"), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("_tie"),
+def mix(docs: DataFrame, size: Callable[[Column], Column], *, seed: str = "mix", weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
+    """(doc STRUCT of all columns, size, source_size, target, copies, taken), one row per row of ``docs``.
+
+    ``size`` gives the words of a document from that struct.
+    """
+    keyed = docs.select(F.struct("*").alias("doc"), F.col("source").isNull().alias("_none"), F.coalesce("source", F.lit("")).alias("_source"))
+    # Large sources only, at most one for STRATUM rows; written, so that its size is known when the join is planned.
+    large = keyed.groupBy("_none", "_source").agg(F.count("*").alias("_rows")).where(F.col("_rows") >= STRATUM)
+    large = stage(large.select("_none", "_source", F.floor(F.col("_rows") / STRATUM).alias("_cuts")), "mix-large")
+    digits = F.substring(F.md5(F.coalesce(F.col("doc.doc_id").cast("string"), F.lit("")).cast("binary")), 1, 8)
+    stratum = F.conv(digits, 16, 10).cast("long") % (F.coalesce("_cuts", F.lit(0)) + 1)
+    columns = [F.col(f"doc.`{c}`") for c in docs.columns]
+    rows = keyed.join(large, ["_none", "_source"], "left").select(
+        "doc", size(F.col("doc")).cast("long").alias("size"), "_none", "_source", stratum.alias("_stratum"), F.col("doc.doc_id").alias("_id"), F.xxhash64(*columns).alias("_tie"),
     )
-    order = ["_none", "_source", "size", F.col("_id").asc_nulls_last(), "_tie"]
+    order = ["_none", "_source", "_stratum", "size", F.col("_id").asc_nulls_last(), "_tie"]
     placed = stage(
         rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc", "size", "_none", "_source", F.monotonically_increasing_id().alias("_at")),
         "mix-order",

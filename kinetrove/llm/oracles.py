@@ -35,7 +35,10 @@ l AS (SELECT *, (1.5::DOUBLE * (sum(source_size) OVER ())::DOUBLE - coalesce(sum
       FROM o WINDOW before AS (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 t AS (SELECT source, source_size, least(most, (max(level) OVER ()) * weight) AS target,
              ('0x' || substr(md5('mix' || coalesce(source, '')), 1, 5))::BIGINT / 1048576.0::DOUBLE AS shift FROM l),
-r AS (SELECT d.*, row_number() OVER (PARTITION BY source ORDER BY size, doc_id) AS rank FROM d),
+n AS (SELECT source, count(*) AS rows FROM d GROUP BY source),
+b AS (SELECT d.*, ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT % (1 + n.rows // 16384) AS stratum
+      FROM d JOIN n ON d.source IS NOT DISTINCT FROM n.source),
+r AS (SELECT b.*, row_number() OVER (PARTITION BY source ORDER BY stratum, size, doc_id) AS rank FROM b),
 c AS (SELECT r.doc_id, r.size, t.source_size, t.target, t.shift, r.rank,
              CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate
       FROM r JOIN t ON r.source IS NOT DISTINCT FROM t.source)

@@ -48,7 +48,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Only what the report needs goes through the shuffle; the pipeline mixes whole documents.
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count("text").alias("words"))
-    mixed = mixing.mix(docs, docs["words"], weights=(3, 1, 2), share=1.5, cap=2.0)
+    mixed = mixing.mix(docs, lambda doc: doc["words"], weights=(3, 1, 2), share=1.5, cap=2.0)
     return mixed.select(mixed["doc.doc_id"].alias("doc_id"), "size", "source_size", "target", "taken")
 
 

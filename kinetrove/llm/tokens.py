@@ -16,7 +16,7 @@ from itertools import accumulate
 import numpy as np
 
 #: Runs in each of the two generations that a worker remembers, and the longest one: they bound its memory.
-REMEMBERED, LONGEST = 350_000, 40
+REMEMBERED, LONGEST = 250_000, 32
 
 _encoders: dict[str, Encoder] = {}
 

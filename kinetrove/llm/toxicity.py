@@ -30,7 +30,7 @@ from kinetrove.llm.common import Memory, held_out, labelled_sample
 
 WORDS = re.compile(r"[^\W\d_]+")
 STEMS = (4, 5)
-REMEMBERED = 200_000
+REMEMBERED = 150_000
 
 
 def terms(word: str) -> list[str]:

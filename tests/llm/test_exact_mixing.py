@@ -102,19 +102,18 @@ def test_targets_share_out_what_full_sources_cannot_take(spark):
 
 
 def test_mix_is_near_targets_and_repeatable(spark, documents, odd, empty):
-    words = word_count("text")
     for docs in (documents, odd):
-        first = mixing.mix(docs, words).select("doc.doc_id", "doc.source", "size", "source_size", "target", "copies", "taken").toPandas()
-        again = mixing.mix(docs.repartition(7), words).select("doc.doc_id", "doc.source", "size", "source_size", "target", "copies", "taken").toPandas()
+        first = mixing.mix(docs, lambda doc: word_count(doc["text"])).select("doc.doc_id", "doc.source", "size", "source_size", "target", "copies", "taken").toPandas()
+        again = mixing.mix(docs.repartition(7), lambda doc: word_count(doc["text"])).select("doc.doc_id", "doc.source", "size", "source_size", "target", "copies", "taken").toPandas()
         assert same(first, again)
         assert first.copies.between(0, 2).all() and len(first) == docs.count()
         for _, part in first.groupby("source", dropna=False):
             assert abs(part.taken.sum() - part.target.iloc[0]) <= 2 * part["size"].max() + 1
-    assert mixing.mix(empty, words).count() == 0
-    assert mixing.mix(odd, words).select("doc.*").columns == odd.columns
+    assert mixing.mix(empty, lambda doc: word_count(doc["text"])).count() == 0
+    assert mixing.mix(odd, lambda doc: word_count(doc["text"])).select("doc.*").columns == odd.columns
 
 
 def test_a_hot_source_is_sampled_evenly(spark):
-    docs = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit("one").alias("source"), F.lit("w w w").alias("text"))
-    mixed = mixing.mix(docs, word_count("text")).agg(F.sum("taken").alias("t"), F.max("target").alias("w")).first()
+    docs = spark.range(40_000).select(F.col("id").alias("doc_id"), F.lit("one").alias("source"), F.lit("w w w").alias("text"))
+    mixed = mixing.mix(docs, lambda doc: word_count(doc["text"])).agg(F.sum("taken").alias("t"), F.max("target").alias("w")).first()
     assert abs(mixed.t - mixed.w) <= 3
