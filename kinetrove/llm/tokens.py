@@ -1,22 +1,22 @@
-"""Whole texts to token ids: what the tokenizer makes of each run of characters between two blanks is remembered.
-
-A byte-level vocabulary encodes every piece of its pre-tokeniser's split by itself, and no piece goes on across a blank
-that follows another character than white space. So the ids of a text are those of its runs between such blanks, one
-after another, each run with the blank before it. The tokenizers library encodes the runs of a text that are not
-remembered, all in one call, and their offsets tell them apart; it encodes the whole text where two white space
-characters meet at a blank or a special token's string occurs. ``tests/llm`` holds the result against the library on
-whole texts.
+"""Whole texts to token ids: what the tokenizer makes of each word is remembered.
+
+A byte-level vocabulary encodes every piece of its pre-tokeniser's split by itself, so the ids of a text are those
+of its pieces, one after another. The tokenizers library encodes every piece that is not remembered yet, and whole
+texts where a special token's string occurs. ``tests/llm`` holds the result against the library on whole texts.
 """
 
 from __future__ import annotations
 
+import re
 from array import array
-from itertools import accumulate
 
-import numpy as np
+from kinetrove.llm.common import Memory
 
-#: Runs in each of the two generations that a worker remembers, and the longest one: they bound its memory.
-REMEMBERED, LONGEST = 250_000, 32
+#: Fixed value: the split of the public byte-level vocabularies, and what it comes to for ASCII texts.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
+#: Pieces in each of the two generations that a worker remembers, and the longest one: they bound its memory.
+REMEMBERED, LONGEST = 400_000, 32
 
 _encoders: dict[str, Encoder] = {}
 
@@ -25,52 +25,26 @@ class Encoder:
     """ids of texts as little-endian unsigned 32-bit integers."""
 
     def __init__(self, path: str):
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.now: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.pieces = regex.compile(PIECES).findall
+        self.remembered = Memory(self.whole, REMEMBERED, LONGEST).__getitem__
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _encode(self, runs: list[str]) -> dict[str, bytes]:
-        """The ids of each run with a blank before it, by one call."""
-        found = self.tokenizer.encode(" " + " ".join(runs), add_special_tokens=False)
-        ids = array("I", found.ids).tobytes()
-        begins = list(accumulate((len(r) + 1 for r in runs), initial=0))
-        cuts = 4 * np.searchsorted(np.array([a for a, _ in found.offsets]), begins)
-        cuts[-1] = len(ids)
-        return {run: ids[a:b] for run, a, b in zip(runs, cuts.tolist(), cuts[1:].tolist())}
-
-    def _remember(self, found: dict[str, bytes]) -> None:
-        if len(self.now) + len(found) > REMEMBERED:
-            self.older, self.now = self.now, {}
-        self.now |= found
-
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
         for special in self.special:
             if special in text:
                 return self.whole(text)
-        first, *runs = text.split(" ")
-        ids = list(map(self.now.get, runs))
-        if None in ids:
-            new = dict.fromkeys(r for r, x in zip(runs, ids) if x is None)
-            known = {r: self.older[r] for r in new if r in self.older}
-            new = [r for r in new if r not in known]
-            # A run like this is never remembered, so every text with one comes here.
-            if any(not r or r[-1].isspace() for r in new):
-                return self.whole(text)
-            known |= self._encode(new) if new else {}
-            ids = [known[r] if x is None else x for r, x in zip(runs, ids)]
-            self._remember({r: x for r, x in known.items() if len(r) <= LONGEST})
-        if first and first[-1].isspace() and runs:
-            return self.whole(text)
-        return (self.whole(first) if first else b"") + b"".join(ids)
+        pieces = ASCII_PIECES.findall(text) if text.isascii() else self.pieces(text)
+        return b"".join(map(self.remembered, pieces))
 
 
 def encoder(path: str) -> Encoder:
