@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from kinetrove.llm.common import small_batches
 from kinetrove.llm.tokens import encoder
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long"
@@ -34,7 +35,7 @@ PER_TASK = 1 << 36
 class Packer:
     """Pieces are (doc_id, start, ids, doc_tokens); ``take()`` gives the rows of closed sequences."""
 
-    def __init__(self, length: int = 2048, most_open: int = 4096, first_sequence: int = 0):
+    def __init__(self, length: int = 2048, most_open: int = 2048, first_sequence: int = 0):
         self.length, self.most_open, self.next = length, most_open, first_sequence
         self.open = np.zeros(length + 1, np.int64)
         self.windows: list[list] = [[] for _ in range(length + 1)]
@@ -134,7 +135,7 @@ class Packer:
         return rows
 
 
-def pack(docs: DataFrame, vocabulary: str, *, end_id: int = 1, length: int = 2048, most_open: int = 4096) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, *, end_id: int = 1, length: int = 2048, most_open: int = 2048) -> DataFrame:
     """One row per piece of each document of ``docs`` (doc_id, text); see ``SCHEMA``."""
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
@@ -154,4 +155,4 @@ def pack(docs: DataFrame, vocabulary: str, *, end_id: int = 1, length: int = 204
         if packer.rows:
             yield batch_of(packer.take())
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return small_batches(docs).select("doc_id", "text").mapInArrow(run, SCHEMA)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinetrove.llm.common import held_out, labelled_sample, text_bytes
+from kinetrove.llm.common import held_out, labelled_sample, small_batches, text_bytes
 
 CLASSES = 8
 FEATURES = CLASSES * CLASSES + 6
@@ -162,7 +162,7 @@ def train(docs: DataFrame, labels: DataFrame, *, rows: int = 4000, passage: int
                 found.append(x.reshape(-1))
             yield pa.record_batch([b["doc_id"], b["label"], pa.array(found, pa.list_(pa.float32()))], ["doc_id", "label", "bag"])
 
-    sample = labelled_sample(docs, labels, "quality", rows, "quality")
+    sample = labelled_sample(small_batches(docs), labels, "quality", rows, "quality")
     got = sample.select("doc_id", "label", "text").mapInArrow(bags, "doc_id long, label int, bag array<float>").toArrow().sort_by("doc_id")
     y = got["label"].to_numpy()
     if len(np.unique(y)) < 2:
@@ -181,7 +181,7 @@ def score(docs: DataFrame, model: Attention, threshold: float = 0.7, passage: in
             values = np.array([model.score(encode(t.as_buffer().to_pybytes(), passage)) for t in batch["text"]], float)
             yield pa.record_batch([batch["doc_id"], batch["held_out"], pa.array(values), pa.array((values >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out("doc_id").alias("held_out"), text_bytes("text").alias("text"))
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), held_out("doc_id").alias("held_out"), text_bytes("text").alias("text"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 

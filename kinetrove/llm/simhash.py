@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinetrove.llm import golay
-from kinetrove.llm.common import stage, text_bytes
+from kinetrove.llm.common import small_batches, stage, text_bytes
 from kinetrove.llm.components import components
 
 SEED = 42
@@ -57,7 +57,7 @@ def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
             found = np.array([fingerprint(t.as_buffer().to_pybytes(), shingle) for t in batch["text"]], np.uint64)
             yield pa.record_batch([batch["row"], batch["doc_id"], pa.array(found.view(np.int64))], ["row", "doc_id", "print"])
 
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_bytes("text").alias("text"))
+    rows = small_batches(docs).select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_bytes("text").alias("text"))
     return stage(rows.mapInArrow(run, "row long, doc_id long, print long"), "fingerprints")
 
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinetrove.llm.common import open_input, open_output, scratch, stage
+from kinetrove.llm.common import open_input, open_output, scratch, small_batches, stage
 from kinetrove.llm.tokens import encoder
 
 SHARD_SCHEMA = "shard int, path string, docs_path string, n_docs long, n_tokens long, n_sequences long"
@@ -135,7 +135,7 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str, *, end_id: int =
             yield pa.record_batch([pa.array([x], t) for x, t in zip(row, kinds)], names)
 
     ordered = (
-        docs.select("doc_id", "text", F.xxhash64("text").alias("_h"))
+        small_batches(docs).select("doc_id", "text", F.xxhash64("text").alias("_h"))
         .repartitionByRange("doc_id", "_h")
         .sortWithinPartitions("doc_id", "_h", "text")
         .select("doc_id", "text")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinetrove.llm.common import Memory, held_out, labelled_sample
+from kinetrove.llm.common import Memory, held_out, labelled_sample, small_batches
 
 WORDS = re.compile(r"[^\W\d_]+")
 STEMS = (4, 5)
@@ -116,7 +116,7 @@ def train(docs: DataFrame, labels: DataFrame, *, rows: int = 6000, buckets: int
             found = [sorted({bucket(t, buckets) for w in set(WORDS.findall(x.as_py().lower())) for t in terms(w)}) for x in batch["text"]]
             yield pa.record_batch([batch["doc_id"], batch["label"], pa.array(found, pa.list_(pa.int32()))], ["doc_id", "label", "bag"])
 
-    sample = labelled_sample(docs, labels, "toxic", rows, "toxicity")
+    sample = labelled_sample(small_batches(docs), labels, "toxic", rows, "toxicity")
     got = sample.select("doc_id", "label", "text").mapInArrow(bags, "doc_id long, label int, bag array<int>").toArrow().sort_by("doc_id")
     y = got["label"].to_numpy()
     empty = Machine({}, buckets, -30.0, np.zeros(0), np.zeros((0, factors)))
@@ -145,7 +145,7 @@ def score(docs: DataFrame, machine: Machine, threshold: float = 0.3) -> DataFram
             values = 1 / (1 + np.exp(-np.clip(np.array(logits, float), -30, 30)))
             yield pa.record_batch([batch["doc_id"], batch["held_out"], pa.array(values), pa.array((values >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out("doc_id").alias("held_out"), "text")
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), held_out("doc_id").alias("held_out"), "text")
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
@@ -168,7 +168,7 @@ def clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **options)
             found.append(machine.logit(np.array(sorted(features), np.int64)))
         return pd.Series(1 / (1 + np.exp(-np.clip(np.array(found, float), -30, 30))))
 
-    return docs.select(F.struct("*").alias("_doc")).where(rate(F.col("_doc.text")) < threshold).select("_doc.*")
+    return small_batches(docs).select(F.struct("*").alias("_doc")).where(rate(F.col("_doc.text")) < threshold).select("_doc.*")
 
 
 def _memory(machine: Machine) -> Memory:

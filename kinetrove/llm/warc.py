@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinetrove.llm.common import open_input, open_output, scratch, stage, text_bytes
+from kinetrove.llm.common import open_input, open_output, scratch, small_batches, stage, text_bytes
 
 CHUNK_SCHEMA = "path string, at long, length long"
 RECORD_SCHEMA = (
@@ -74,7 +74,7 @@ def records_of(page: dict, capture: str, date: str) -> list[bytes]:
 
 def write_archives(pages: DataFrame, folder: str, *, min_bytes: int = 0, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
     """Write ``pages`` (page_id, url, html); returns the committed list of chunks (path, at, length)."""
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", text_bytes("html").alias("payload"))
+    rows = small_batches(pages).select(F.col("page_id").cast("long").alias("page_id"), "url", text_bytes("html").alias("payload"))
     digests = rows.where(F.length("payload") >= min_bytes).select("page_id", "url", F.sha1("payload").alias("sha"))
     first = F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "url")).alias("first")
     groups = digests.groupBy("sha").agg(F.count("*").alias("copies"), first).where("copies > 1")
