@@ -33,8 +33,8 @@ BASE = [
     # A run of the class that is too short matches and fails, one that is long enough matches whole: the same spans.
     ("hex", "[0-9a-f]{32,}", 0, 32),
 ]
-#: Runs that are tested; the look-behind starts them only where they begin.
-TOKEN = "(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,512}(?![A-Za-z0-9+/_-])"
+#: Runs that are tested; the look-behind starts them only where they begin. A run may follow "=", as values do.
+TOKEN = "(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,512}(?![A-Za-z0-9+/_-])"
 #: Encodings in the order in which they are tried: name, pattern of a whole token, symbols in their order.
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ENCODINGS = [

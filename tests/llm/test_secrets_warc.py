@@ -63,6 +63,18 @@ def test_added_spans_leave_base_spans_alone(spark):
     assert r.spans.startswith("assign:0:31") and "random:0" not in r.spans and r.n_assign == 1
 
 
+def test_values_after_equals_signs_are_tested(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(120):
+        before = ("AWS_KEY=", "https://x.y?sig=", "export client_key=", "a==")[i % 4]
+        rows.append((i, before + "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(40)) + " end", len(before)))
+    found = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, at int")).collect()
+    at = {i: n for i, _, n in rows}
+    for kind in range(4):
+        assert sum([(s.start, s.end) for s in r.added] == [(at[r.doc_id], at[r.doc_id] + 40)] for r in found if r.doc_id % 4 == kind) >= 27
+
+
 PAGES = "page_id long, url string, html string, row string, payload string, sha string"
 
 
