@@ -1,6 +1,6 @@
 """Secrets in texts: fixed patterns, and tokens that pass a battery of randomness tests; DataFrame functions only.
 
-``base`` spans are those of three patterns. For further ones, every run of 20 to 512 characters of the base64
+``base`` spans are those of three patterns. For further ones, every run of 20 or more characters of the base64
 alphabets whose encoding can be told (hexadecimal, base32, letters with digits, base64) is tested against uniform
 draws from that alphabet:
 
@@ -13,7 +13,7 @@ Whether it could be text instead is a likelihood ratio: symbols drawn from the l
 ratio e**x with probability e**-x at most, whatever the length. These bounds are the p-values of a false-discovery
 control (Benjamini and Hochberg) within bands of length: in each band the lowest threshold is taken at which the
 expected number of false tokens is at most ``fdr`` of those found. Their counts come from a histogram over all texts,
-three bands by ``TOP`` whole values, so nothing else is shuffled.
+bands by ``TOP`` whole values, so nothing else is shuffled.
 
 Positions count code points, ends are exclusive. Null counts as empty. Spans that touch a base span are not added.
 Repeated rows and null ids are reported one by one; extra columns are ignored; an empty table gives no rows.
@@ -34,7 +34,7 @@ BASE = [
     ("hex", "[0-9a-f]{32,}", 0, 32),
 ]
 #: Runs that are tested; the look-behind starts them only where they begin. A run may follow "=", as values do.
-TOKEN = "(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,512}(?![A-Za-z0-9+/_-])"
+TOKEN = "(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}"
 #: Encodings in the order in which they are tried: name, pattern of a whole token, symbols in their order.
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ENCODINGS = [
@@ -51,7 +51,7 @@ LETTERS = [82, 15, 28, 43, 127, 22, 20, 61, 70, 2, 8, 40, 24, 67, 75, 19, 1, 60,
 #: Of the characters of text tokens: small letters, capitals (spread like small ones, half evenly), digits, others.
 SHARES = (0.85, 0.08, 0.05, 0.02)
 #: Lengths at which bands begin, and the largest whole log ratio that is told apart.
-BANDS, TOP = (20, 32, 64), 120
+BANDS, TOP = (20, 32, 64, 512, 4096), 120
 
 
 def text_model() -> dict[str, float]:
@@ -94,19 +94,35 @@ def battery(token: Column) -> Column:
         which = F.when(token.rlike(pattern), row) if which is None else which.when(token.rlike(pattern), row)
     logs = F.create_map(*[x for c, p in model.items() for x in (F.lit(c), F.log(F.lit(p)))])
 
-    def tests(parts: Column) -> Column:
+    # What a lambda reads is bound by a transform of its own first: the lambda would compute it again for every symbol.
+    def split(found: Column) -> Column:
+        return F.struct(found.alias("found"), F.filter(F.split(token, ""), lambda c: c != "").alias("c"))
+
+    def numbers(bound: Column) -> Column:
+        name, symbols = bound["found"]["name"], bound["found"]["symbols"]
+        return F.struct(
+            name.alias("name"), bound["c"].alias("c"), F.transform(bound["c"], lambda c: F.instr(symbols, c) - 1).alias("x"),
+            F.length(symbols).cast("double").alias("m"), F.size(bound["c"]).cast("double").alias("n"),
+        )
+
+    def halves(parts: Column) -> Column:
+        x, m, n = parts["x"], parts["m"], parts["n"]
+        high = F.transform(x, lambda v: (v * 2 >= m).cast("int"))
+        middle = F.aggregate(x, F.lit(0.0), lambda s, v: s + v) / n
+        pairs = F.sequence(F.lit(1), n.cast("int") - 1)
+        return F.struct(parts.alias("parts"), high.alias("high"), middle.alias("middle"), pairs.alias("pairs"))
+
+    def tests(bound: Column) -> Column:
+        parts, high, middle, pairs = bound["parts"], bound["high"], bound["middle"], bound["pairs"]
         x, m, n = parts["x"], parts["m"], parts["n"]
         squares = F.aggregate(F.sequence(F.lit(0), m.cast("int") - 1), F.lit(0.0), lambda s, k: s + F.pow(F.size(F.filter(x, lambda v: v == k)), 2))
         chi = squares * m / n - n
         z_chi = (chi - (m - 1)) / F.sqrt(2.0 * (m - 1) * (n - 1) / n)
-        high = F.transform(x, lambda v: (v * 2 >= m).cast("int"))
         ones = F.aggregate(high, F.lit(0), lambda s, v: s + v).cast("double")
         zeros = n - ones
-        pairs = F.sequence(F.lit(1), n.cast("int") - 1)
         runs = F.aggregate(pairs, F.lit(1.0), lambda s, i: s + F.when(F.get(high, i) != F.get(high, i - 1), 1.0).otherwise(0.0))
         both = 2.0 * ones * zeros
         z_runs = F.try_divide(runs - (1.0 + both / n), F.sqrt(both * (both - n) / (n * n * (n - 1))))
-        middle = F.aggregate(x, F.lit(0.0), lambda s, v: s + v) / n
         spread = F.aggregate(x, F.lit(0.0), lambda s, v: s + F.pow(v - middle, 2))
         serial = F.aggregate(pairs, F.lit(0.0), lambda s, i: s + (F.get(x, i) - middle) * (F.get(x, i - 1) - middle))
         serial = F.try_divide(serial, spread)
@@ -118,12 +134,10 @@ def battery(token: Column) -> Column:
             F.coalesce(_tail(z_runs), F.lit(0.0)).alias("p_runs"), F.coalesce(_tail(z_serial), F.lit(0.0)).alias("p_serial"),
         )
 
-    chars = F.filter(F.split(token, ""), lambda c: c != "")
-    parts = F.struct(
-        which["name"].alias("name"), chars.alias("c"), F.transform(chars, lambda c: F.instr(which["symbols"], c) - 1).alias("x"),
-        F.length(which["symbols"]).cast("double").alias("m"), F.length(token).cast("double").alias("n"),
-    )
-    return F.when(which.isNotNull(), F.element_at(F.transform(F.array(parts), tests), 1))
+    bound = F.array(which)
+    for step in (split, numbers, halves, tests):
+        bound = F.transform(bound, step)
+    return F.when(which.isNotNull(), F.element_at(bound, 1))
 
 
 def thresholds(candidates: DataFrame, fdr: float) -> dict[int, int]:

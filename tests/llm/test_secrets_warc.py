@@ -75,6 +75,17 @@ def test_values_after_equals_signs_are_tested(spark):
         assert sum([(s.start, s.end) for s in r.added] == [(at[r.doc_id], at[r.doc_id] + 40)] for r in found if r.doc_id % 4 == kind) >= 27
 
 
+def test_tokens_of_any_length_are_tested(spark):
+    rng = random.Random(9)
+    lengths = [511, 512, 513, 520, 2000, 20_000]
+    rows = [(i, "x " + "".join(rng.choice(string.ascii_letters + string.digits + "+/") for _ in range(n)) + " end") for i, n in enumerate(lengths * 5)]
+    rows += [(1000 + n, "x " + "ab1C/" * (n // 5) + " end") for n in (1000, 20_000)]
+    found = {r.doc_id: [(s.start, s.end) for s in r.added] for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, n in enumerate(lengths):
+        assert sum(found[k] == [(2, 2 + n)] for k in range(i, 30, 6)) >= 4
+    assert found[2000] == found[21_000] == []
+
+
 PAGES = "page_id long, url string, html string, row string, payload string, sha string"
 
 
