@@ -1,8 +1,8 @@
 """Secrets in texts: fixed patterns, and tokens that pass a battery of randomness tests; DataFrame functions only.
 
 ``base`` spans are those of three patterns. For further ones, every run of 20 or more characters of the base64
-alphabets whose encoding can be told (hexadecimal, base32, letters with digits, base64) is tested against uniform
-draws from that alphabet:
+alphabets is tested against uniform draws from the alphabet of its encoding, the first of ``ENCODINGS`` that it fits;
+the last one is the whole set of characters, so that no run goes untested:
 
 * chi-squared uniformity of the symbol counts, with the exact mean and variance for short tokens,
 * the number of runs of symbols of the lower and upper half of the alphabet,
@@ -10,7 +10,8 @@ draws from that alphabet:
 
 A test that one repeated symbol, or symbols of one half only, leave undefined has p-value 0. A token is consistent with randomness if the smallest of the three p-values, times three, is at least ``reject``.
 Whether it could be text instead is a likelihood ratio: symbols drawn from the letter frequencies of text reach the
-ratio e**x with probability e**-x at most, whatever the length. These bounds are the p-values of a false-discovery
+ratio e**x with probability e**-x at most, whatever the length. Text may be written in capitals, so the smaller ratio
+of two models counts, one with the shares of small letters and capitals swapped. These bounds are the p-values of a false-discovery
 control (Benjamini and Hochberg) within bands of length: in each band the lowest threshold is taken at which the
 expected number of false tokens is at most ``fdr`` of those found. Their counts come from a histogram over all texts,
 bands by ``TOP`` whole values, so nothing else is shuffled.
@@ -45,6 +46,15 @@ ENCODINGS = [
     ("base62", "^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[0-9A-Za-z]+$", UPPER + LOWER + DIGITS),
     ("base64", "^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[0-9A-Za-z+/]+$", UPPER + LOWER + DIGITS + "+/"),
     ("base64url", "^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[0-9A-Za-z_-]+$", UPPER + LOWER + DIGITS + "-_"),
+    ("decimal", "^[0-9]+$", DIGITS),
+    ("BASE36", "^(?=.*[0-9])[0-9A-Z]+$", DIGITS + UPPER),
+    ("lower", "^[a-z]+$", LOWER),
+    ("upper", "^[A-Z]+$", UPPER),
+    ("letters", "^[A-Za-z]+$", UPPER + LOWER),
+    # Tokens of the two alphabets that lack small letters, capitals or digits.
+    ("any64", "^[0-9A-Za-z+/]+$", UPPER + LOWER + DIGITS + "+/"),
+    ("any64url", "^[0-9A-Za-z_-]+$", UPPER + LOWER + DIGITS + "-_"),
+    ("mixed", "^[0-9A-Za-z+/_-]+$", UPPER + LOWER + DIGITS + "+/-_"),
 ]
 #: Occurrences of a ... z in 1,000 letters of ordinary text (rounded; the model of text, a parameter).
 LETTERS = [82, 15, 28, 43, 127, 22, 20, 61, 70, 2, 8, 40, 24, 67, 75, 19, 1, 60, 63, 91, 28, 10, 24, 2, 20, 1]
@@ -54,11 +64,12 @@ SHARES = (0.85, 0.08, 0.05, 0.02)
 BANDS, TOP = (20, 32, 64, 512, 4096), 120
 
 
-def text_model() -> dict[str, float]:
-    """Probability of each symbol in ordinary text."""
+def text_model(capitals: bool = False) -> dict[str, float]:
+    """Probability of each symbol in ordinary text, or in text written in capitals."""
     total = sum(LETTERS)
-    model = {c: SHARES[0] * n / total for c, n in zip(LOWER, LETTERS)}
-    model |= {c.upper(): SHARES[1] * (0.5 * n / total + 0.5 / 26) for c, n in zip(LOWER, LETTERS)}
+    main, other = (str.upper, str.lower) if capitals else (str.lower, str.upper)
+    model = {main(c): SHARES[0] * n / total for c, n in zip(LOWER, LETTERS)}
+    model |= {other(c): SHARES[1] * (0.5 * n / total + 0.5 / 26) for c, n in zip(LOWER, LETTERS)}
     model |= {c: SHARES[2] / 10 for c in DIGITS}
     return model | {c: SHARES[3] / 4 for c in "+/_-"}
 
@@ -86,13 +97,12 @@ def _tail(z: Column) -> Column:
 
 
 def battery(token: Column) -> Column:
-    """STRUCT(encoding, size, log_ratio, p_uniform, p_runs, p_serial) of a token; null if no encoding can be told."""
-    model = text_model()
+    """STRUCT(encoding, size, log_ratio, p_uniform, p_runs, p_serial) of a token; null if it has other characters."""
     which = None
     for name, pattern, symbols in ENCODINGS:
         row = F.struct(F.lit(name).alias("name"), F.lit(symbols).alias("symbols"))
         which = F.when(token.rlike(pattern), row) if which is None else which.when(token.rlike(pattern), row)
-    logs = F.create_map(*[x for c, p in model.items() for x in (F.lit(c), F.log(F.lit(p)))])
+    logs = [F.create_map(*[x for c, p in text_model(capitals).items() for x in (F.lit(c), F.log(F.lit(p)))]) for capitals in (False, True)]
 
     # What a lambda reads is bound by a transform of its own first: the lambda would compute it again for every symbol.
     def split(found: Column) -> Column:
@@ -127,7 +137,7 @@ def battery(token: Column) -> Column:
         serial = F.aggregate(pairs, F.lit(0.0), lambda s, i: s + (F.get(x, i) - middle) * (F.get(x, i - 1) - middle))
         serial = F.try_divide(serial, spread)
         z_serial = (serial + 1.0 / n) * F.sqrt(n)
-        ratio = F.aggregate(parts["c"], F.lit(0.0), lambda s, c: s - F.log(m) - F.element_at(logs, c))
+        ratio = F.least(*[F.aggregate(parts["c"], F.lit(0.0), lambda s, c: s - F.log(m) - F.element_at(model, c)) for model in logs])
         return F.struct(
             parts["name"].alias("encoding"), m.cast("int").alias("size"), ratio.alias("log_ratio"),
             F.coalesce(F.when(z_chi > 0, _tail(z_chi) / 2).otherwise(1.0), F.lit(0.0)).alias("p_uniform"),

@@ -86,6 +86,24 @@ def test_tokens_of_any_length_are_tested(spark):
     assert found[2000] == found[21_000] == []
 
 
+def test_tokens_of_every_alphabet_are_tested(spark):
+    rng = random.Random(10)
+    # Thirty characters: 32 digits would be a base span of their own.
+    alphabets = [string.ascii_uppercase + string.digits, string.ascii_letters, string.ascii_lowercase, string.ascii_uppercase, string.digits]
+    alphabets += [string.ascii_letters + string.digits + "+/-_", string.ascii_lowercase + string.digits + "-_"]
+    rows = [(i, "x " + "".join(rng.choice(alphabets[i % 7]) for _ in range(30)) + " end") for i in range(280)]
+    words = ["CONFIGURATIONMANAGERFACTORY", "INTERNATIONALIZATION2024", "donaudampfschifffahrtsgesellschaft", "ConfigurationManagerFactoryBean"]
+    words += ["http/path/to/some/thing/index", "the_quick-brown/fox+jumps_over", "-" * 40, "_" * 21, "THE-QUICK-BROWN-FOX-JUMPS", "1234567890" * 3, "20240102102233445566"]
+    rows += [(1000 + i, f"x {w} y") for i, w in enumerate(words * 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: [(s.start, s.end) for s in r.added] for r in secrets.scan(docs).collect()}
+    hits = [sum(found[i] == [(2, 32)] for i in range(kind, 280, 7)) for kind in range(7)]
+    assert min(hits[:6]) >= 34, hits
+    assert not any(found[i] for i in found if i >= 1000), {words[(i - 1000) % len(words)] for i in found if i >= 1000 and found[i]}
+    run = F.regexp_extract("text", secrets.TOKEN, 0)
+    assert docs.where(secrets.battery(run).isNull()).count() == 0
+
+
 PAGES = "page_id long, url string, html string, row string, payload string, sha string"
 
 
