@@ -160,22 +160,29 @@ def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
 
 
 def best_of(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query_id, vec_id, distance) of up to k nearest rows per query, by exact distances, in slices of queries."""
+    """(query_id, vec_id, distance) of up to k nearest ids per query, by exact distances, in slices of queries.
+
+    An id counts once, by its nearest row, and takes one of the k places only.
+    """
     out: tuple[list, list, list] = ([], [], [])
+    by_id = np.argsort(ids, kind="stable")
+    rows, ids = rows[by_id], ids[by_id]
+    starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
     for at in range(0, len(queries), 128):
         q = queries[at : at + 128]
         rough = squared(q, rows)
         rough[query_ids[at : at + 128, None] == ids[None, :]] = np.inf
-        n = min(k, len(rows))
-        limit = np.partition(rough, n - 1, axis=1)[:, n - 1]
+        n = min(k, len(starts))
+        nearest = rough if len(starts) == len(ids) else np.minimum.reduceat(rough, starts, axis=1)
+        limit = np.partition(nearest, n - 1, axis=1)[:, n - 1]
         # More than the error of the rough form, so that no row that could be among the best is missed.
         margin = 1e-9 * ((q**2).sum(axis=1) + (rows**2).sum(axis=1).max())
         for i in range(len(q)):
             near = np.flatnonzero((rough[i] <= limit[i] + margin[i]) & np.isfinite(rough[i]))
             exact = np.sqrt(((rows[near] - q[i]) ** 2).sum(axis=1))
-            _, once = np.unique(ids[near], return_index=True)
-            near, exact = near[once], exact[once]
-            order = np.lexsort((ids[near], exact))[:k]
+            order = np.lexsort((ids[near], exact))
+            _, once = np.unique(ids[near][order], return_index=True)
+            order = order[np.sort(once)][:k]
             out[0].append(np.full(len(order), query_ids[at + i]))
             out[1].append(ids[near][order])
             out[2].append(exact[order])
@@ -185,7 +192,10 @@ def best_of(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: n
 def search(vectors: DataFrame, *, every: int = 100, k: int = 10, sample: int = 5000, parts: int = 32, degree: int = 10, recall: float = 0.97, block: int = 16384, query_block: int = 1024) -> DataFrame:
     """query_id, rank, vec_id, score of the ``k`` nearest rows found for each row whose vec_id is divisible by ``every``."""
     rows = usable(vectors)
-    drawn = rows.orderBy(F.xxhash64(F.lit("ann"), "vec_id"), "vec_id").limit(sample).toArrow()
+    # Ids are drawn first, so that repeated rows do not fill the sample.
+    order = [F.xxhash64(F.lit("ann"), "vec_id"), F.col("vec_id")]
+    chosen = rows.select("vec_id").distinct().orderBy(*order).limit(sample)
+    drawn = rows.join(F.broadcast(chosen), "vec_id").groupBy("vec_id").agg(F.min("vector").alias("vector")).orderBy(*order).toArrow()
     out = "query_id long, rank int, vec_id long, score double"
     if not drawn.num_rows:
         return vectors.sparkSession.createDataFrame([], out)

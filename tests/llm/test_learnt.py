@@ -120,6 +120,28 @@ def test_odd_vectors(spark):
     assert neighbours.search(table.where("false")).count() == 0
 
 
+def test_repeated_rows_take_one_place(spark):
+    rng = np.random.default_rng(6)
+    x = {i: rng.normal(size=4) for i in range(1, 200)}
+    x[0] = x[7] + 0.01
+    rows = [(i, [float(c) for c in v]) for i, v in x.items()] + [(7, [float(c) for c in x[7]])] * 20
+    want = brute(rows, 100, 10)
+    ids, vectors = np.array([i for i, _ in rows]), np.array([v for _, v in rows])
+    for k in (1, 3, 10):
+        _, found, exact = neighbours.best_of(x[0][None, :], np.array([0]), vectors, ids, k)
+        assert found.tolist() == [i for _, i in want[0][:k]] and np.allclose(exact, [s for s, _ in want[0][:k]], rtol=0, atol=1e-12)
+    # An id with several vectors counts by its nearest one, whatever their order.
+    for order in (slice(None), slice(None, None, -1)):
+        two = np.array([[3.0, 0], [1, 0], [2, 0]])[order]
+        _, found, exact = neighbours.best_of(np.zeros((1, 2)), np.array([9]), two, np.array([5, 5, 6])[order], 2)
+        assert found.tolist() == [5, 6] and exact.tolist() == [1, 2]
+    got = {}
+    # The sample is smaller than the copies of one row.
+    for r in neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), sample=15, recall=1.1).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got[0] == [i for _, i in want[0]]
+
+
 def test_recall_on_the_given_vectors(spark):
     table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     rows = table.select("vec_id", "embedding").toPandas()
