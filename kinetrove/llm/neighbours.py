@@ -4,7 +4,7 @@ On a bounded sample of vectors the nearest-neighbour graph is cut into ``parts``
 along principal directions, vectors move to the part of most of their neighbours while there is room. A small network
 learns the part from the vector, with the parts of a vector's neighbours as soft targets. It then deals every vector of
 the table to its most probable part, and a query goes to the ``probes`` most probable ones. How many that takes for the
-wanted recall is measured with sample vectors that were kept out of the learning.
+wanted recall is measured among sample vectors that were kept out of the learning.
 
 Search: the rows of a part are dealt to blocks of about ``block`` rows and the queries that visit it to blocks of
 ``query_block``; every pair of blocks is one group, so a part of any size, copies of one vector included, is spread and
@@ -123,7 +123,10 @@ def learn(x: np.ndarray, target: np.ndarray, *, hidden: int = 64, epochs: int =
 
 
 def train(x: np.ndarray, *, parts: int, degree: int, k: int, recall: float) -> Router:
-    """A router whose probes reach the recall on every fifth row, which takes no part in the learning."""
+    """A router whose probes reach the recall on every fifth row, among those rows: none takes part in the learning.
+
+    Most rows of a large table are unseen like them. With too few of them all parts are visited.
+    """
     kept = np.arange(len(x)) % 5 != 4
     known = x[kept]
     graph = neighbour_graph(known, degree)
@@ -133,13 +136,12 @@ def train(x: np.ndarray, *, parts: int, degree: int, k: int, recall: float) -> R
     target[np.arange(len(known)), part] += max(1, graph.shape[1]) / 4
     router = learn(known, target / target.sum(axis=1, keepdims=True))
     asked = np.flatnonzero(~kept)
-    if len(asked) and len(x) > k:
-        d = squared(x[asked], x)
-        d[np.arange(len(asked)), asked] = np.inf
+    if len(asked) > k:
+        d = squared(x[asked], x[asked])
+        np.fill_diagonal(d, np.inf)
         near = np.argpartition(d, k - 1, axis=1)[:, :k]
-        home = router.rank(x)[:, 0]
-        place = np.argsort(router.rank(x[asked]), axis=1)
-        needed = np.take_along_axis(place, home[near], axis=1)
+        rank = router.rank(x[asked])
+        needed = np.take_along_axis(np.argsort(rank, axis=1), rank[:, 0][near], axis=1)
         found = [(needed < m).mean() for m in range(1, parts + 1)]
         router.probes = next(m for m in range(1, parts + 1) if found[m - 1] >= min(recall, found[-1]))
     return router

@@ -156,6 +156,18 @@ def test_recall_on_the_given_vectors(spark):
     assert len(got) == (ids % 100 == 0).sum() and hits / total >= 0.9
 
 
+def test_probes_reach_the_recall_among_unseen_rows(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").orderBy("vec_id").limit(1000).toPandas()
+    x = np.stack(rows.embedding).astype(float)
+    router = neighbours.train(x, parts=32, degree=10, k=10, recall=0.97)
+    y = x[np.arange(len(x)) % 5 == 4]
+    d = ((y[:, None, :] - y[None, :, :]) ** 2).sum(axis=2)
+    np.fill_diagonal(d, np.inf)
+    near, visited = np.argsort(d, axis=1)[:, :10], router.rank(y)[:, : router.probes]
+    home = router.rank(y)[:, 0]
+    assert np.mean([np.isin(home[n], v).mean() for n, v in zip(near, visited)]) >= 0.97
+
+
 def test_parts_are_balanced():
     rng = np.random.default_rng(4)
     x = np.concatenate([rng.normal(c, 0.1, (n, 8)) for c, n in ((0, 700), (3, 200), (-3, 100))])
