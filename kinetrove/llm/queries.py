@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinetrove.llm import exact, mixing, neighbours, packing, quality, secrets, simhash, token_files, toxicity, warc
+from kinetrove.llm import exact, minhash, mixing, neighbours, packing, quality, secrets, simhash, token_files, toxicity, warc
 from kinetrove.llm.common import table, word_count
 from kinetrove.llm.tokens import public_path
 
@@ -52,6 +52,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select(mixed["doc.doc_id"].alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=5, percent=85)
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_quality": op2_quality,
@@ -63,4 +67,5 @@ QUERIES = {
     "op8_secrets": op8_secrets,
     "op9_packing": op9_packing,
     "op10_mixing": op10_mixing,
+    "op13_minhash": op13_minhash,
 }
