@@ -46,4 +46,28 @@ SELECT doc_id, size, source_size, target,
        ((floor(rate * rank + shift) - floor(rate * (rank - 1) + shift)) * size)::BIGINT AS taken FROM c
 """
 
-ORACLES: dict[str, str] = {"op4_exact_groups": OP4, "op5_warc": OP5, "op10_mixing": OP10}
+OP12 = r"""
+WITH t AS (SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn NULLS FIRST) AS own
+           FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+          lambda crc, b: list_reduce(list_prepend(xor(crc, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+              lambda x, z: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END)), 4294967295::BIGINT) % 6 AS h FROM t),
+r AS (SELECT h.conv_id, list_concat(coalesce(b.own[1:h.h], []), h.own[h.h + 1:]) AS turns
+      FROM h LEFT JOIN t b ON b.conv_id = h.conv_id - h.conv_id % 100),
+p AS (SELECT conv_id, len(turns) AS total, unnest(range(len(turns) + 1)) AS depth, turns FROM r),
+k AS (SELECT conv_id, total, depth, sha256(turns[1:depth]::JSON::VARCHAR) AS node,
+             CASE WHEN depth > 0 THEN sha256(turns[1:depth - 1]::JSON::VARCHAR) END AS parent,
+             CASE WHEN depth > 0 THEN length(turns[depth].text) ELSE 0 END AS points FROM p),
+n AS (SELECT node, any_value(parent) AS parent, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(points) AS points,
+             sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE total = depth), '')) AS ends_sha256
+      FROM k GROUP BY node, depth),
+c AS (SELECT parent, count(*) AS n_children FROM n WHERE parent IS NOT NULL GROUP BY parent),
+m AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN c ON c.parent = n.node),
+a AS (SELECT k.node AS top, count(*) FILTER (WHERE m.n_children = 0) AS n_leaves, sum((m.n_convs - 1) * m.points) AS saved_tokens
+      FROM m JOIN k ON k.conv_id = m.conv_id AND k.depth <= m.depth GROUP BY k.node)
+SELECT m.conv_id, m.depth, u.conv_id AS parent_conv_id, m.n_convs, m.n_children, a.n_leaves::BIGINT AS n_leaves,
+       a.saved_tokens::BIGINT AS saved_tokens, m.ends_sha256
+FROM m JOIN a ON a.top = m.node LEFT JOIN m u ON u.node = m.parent
+"""
+
+ORACLES: dict[str, str] = {"op4_exact_groups": OP4, "op5_warc": OP5, "op10_mixing": OP10, "op12_prefix_trie": OP12}

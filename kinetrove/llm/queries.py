@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinetrove.llm import exact, minhash, mixing, neighbours, packing, quality, secrets, simhash, token_files, toxicity, warc
+from kinetrove.llm import exact, minhash, mixing, neighbours, packing, prefix_trie, quality, secrets, simhash, token_files, toxicity, warc, whitening
 from kinetrove.llm.common import table, word_count
 from kinetrove.llm.tokens import public_path
 
@@ -52,6 +52,14 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select(mixed["doc.doc_id"].alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), most=16)
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"), base=100, heads=6)
+
+
 def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=5, percent=85)
 
@@ -67,5 +75,7 @@ QUERIES = {
     "op8_secrets": op8_secrets,
     "op9_packing": op9_packing,
     "op10_mixing": op10_mixing,
+    "op11_whitening": op11_whitening,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_minhash": op13_minhash,
 }
