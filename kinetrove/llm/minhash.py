@@ -255,7 +255,7 @@ def joined_in_blocks(rows: DataFrame, compare: Callable, block: int) -> DataFram
     return meeting.mapInArrow(run, "u long, v long")
 
 
-def classes(docs: DataFrame, *, shingle: int = 5, percent: int = 85, block: int = 2048) -> tuple[DataFrame, DataFrame]:
+def classes(docs: DataFrame, *, shingle: int = 5, percent: int = 85, block: int = 256) -> tuple[DataFrame, DataFrame]:
     """The signature of every row, and (digest, component_id) of every distinct set."""
     if percent < 80:
         raise ValueError("the bands are made for similarities of 0.8 and more")
@@ -298,7 +298,7 @@ def _packed(words: Column) -> Column:
     return F.unhex(F.array_join(F.transform(words, lambda x: F.lpad(F.hex(x), 16, "0")), ""))
 
 
-def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 85, block: int = 2048) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 85, block: int = 256) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id that can be reached), kept for every row of ``docs``."""
     rows, named = classes(docs, shingle=shingle, percent=percent, block=block)
     least = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")

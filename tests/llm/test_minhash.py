@@ -58,7 +58,7 @@ def copies(spark):
     return spark.createDataFrame([(k, t) for k, t in enumerate(rows)], "doc_id long, text string")
 
 
-@pytest.mark.parametrize("block", [2048, 7])
+@pytest.mark.parametrize("block", [256, 7])
 def test_components_equal_brute_force_on_near_copies(copies, block):
     want = brute(copies.collect())
     assert found(minhash.near_duplicates(copies, block=block)) == want
