@@ -218,8 +218,8 @@ SELECT run_id, frame_id, i, j, round(sqrt(d2),6) AS distance FROM p WHERE d2<=re
 ORACLES["frame_stats"] = f"WITH {RUNS} SELECT run_id, count(*) AS n_frames, (count(*)*21)::BIGINT AS n_atom_rows, 21::BIGINT AS min_atoms, 21::BIGINT AS max_atoms FROM runs GROUP BY run_id"
 ORACLES["composition"] = f"WITH {TRAJ} SELECT run_id, element, count(*) AS n_atoms FROM traj WHERE frame_id=0 GROUP BY ALL"
 _ATOMS6 = "run_id, frame_id, atom_id, element, round(x,6) AS x, round(y,6) AS y, round(z,6) AS z"
-ORACLES["select_frames"] = f"WITH {TRAJ} SELECT {_ATOMS6} FROM traj WHERE frame_id BETWEEN 10 AND 302 AND (frame_id-10)%5=0"
-ORACLES["select_frames_b"] = f"WITH {VEL} SELECT {_ATOMS6}, round(vx,6) AS vx, round(vy,6) AS vy, round(vz,6) AS vz FROM vel WHERE frame_id+1>=5 AND frame_id+1<=306 AND (frame_id-4)%7=0"
+ORACLES["select_frames"] = f"WITH {TRAJ} SELECT {_ATOMS6} FROM traj WHERE frame_id BETWEEN 10 AND (SELECT count(*)*9//10 FROM embeddings) AND (frame_id-10)%5=0"
+ORACLES["select_frames_b"] = f"WITH {VEL} SELECT {_ATOMS6}, round(vx,6) AS vx, round(vy,6) AS vy, round(vz,6) AS vz FROM vel WHERE frame_id+1>=5 AND frame_id+1<(SELECT count(*)*9//10+7 FROM embeddings) AND (frame_id-4)%7=0"
 _KEPT = f"{_BOND}, kept AS (SELECT run_id, frame_id, value AS distance FROM s WHERE value BETWEEN 2.0::DOUBLE AND 4.0::DOUBLE)"
 ORACLES["range_frames"] = f"WITH {_KEPT} SELECT run_id, frame_id, round(distance,6) AS distance FROM kept"
 ORACLES["range_summary"] = f"""WITH {_KEPT} SELECT 'r0' AS run_id, (SELECT count(*) FROM s) AS total_frames, count(*) AS selected_frames,
@@ -318,7 +318,7 @@ ORACLES["psd"] = f"""WITH {_ACF} SELECT 'r0' AS run_id, k, round((CASE WHEN k<={
 ORACLES["state_population"] = f"""WITH {RUNS}, v AS (SELECT run_id, vec_id%4 AS state FROM runs), n AS (SELECT count(DISTINCT run_id) AS r FROM v),
 c AS (SELECT s.state::INT AS state, 1+(SELECT count(*) FROM v WHERE v.state=s.state) AS n FROM (SELECT unnest([1,2,3]) AS state) s)
 SELECT state, round(c.n/r::DOUBLE,6) AS average, round(c.n*100.0::DOUBLE/(SELECT sum(n) FROM c),6) AS percent FROM c, n"""
-ORACLES["state_frames"] = f"""WITH {RUNS} SELECT run_id, frame_id, CASE WHEN frame_id<40 THEN (vec_id%4)::VARCHAR ELSE 'unknown' END AS state, (a+1)::INT AS atom_id,
+ORACLES["state_frames"] = f"""WITH {RUNS} SELECT run_id, frame_id, CASE WHEN frame_id*10<9*count(*) OVER (PARTITION BY run_id, a) THEN (vec_id%4)::VARCHAR ELSE 'unknown' END AS state, (a+1)::INT AS atom_id,
   round(10.0::DOUBLE*embedding[3*a+1]::DOUBLE,6) AS x, round(10.0::DOUBLE*embedding[3*a+2]::DOUBLE,6) AS y, round(10.0::DOUBLE*embedding[3*a+3]::DOUBLE,6) AS z
   FROM runs, (SELECT unnest(range(21)) AS a)"""
 ORACLES["energy_columns"] = """WITH e AS (SELECT event_id AS step, value, -100.0::DOUBLE-value/100.0::DOUBLE AS ks FROM events),
@@ -331,6 +331,29 @@ ORACLES["unit_convert"] = f"""SELECT l_orderkey, l_linenumber, l_quantity AS qua
   CASE WHEN l_linestatus='O' THEN 'kilocalorie/mol' ELSE 'cal/mol' END AS to_unit,
   round(l_quantity*(CASE l_returnflag WHEN 'A' THEN {_d(_UNIT['hartree'])} WHEN 'N' THEN {_d(_UNIT['kcal/mol'])} ELSE {_d(_UNIT['ev'])} END)
   /(CASE WHEN l_linestatus='O' THEN {_d(_UNIT['kcal/mol'])} ELSE {_d(_UNIT['cal/mol'])} END),4) AS converted, NULL::VARCHAR AS unit_error FROM lineitem"""
+# --- fixed values: factors to the base unit of the names that the query uses -------------------------
+_FACTORS = {
+    "energy": {"hartree": 4.3597447222060e-18, "kcal/mol": 4184.0 / 6.02214076e23, "kilocalorie/mol": 4184.0 / 6.02214076e23, "ev": 1.602176634e-19, "j": 1.0, "cal/mol": 4.184 / 6.02214076e23},
+    "length": {"angstrom": 1e-10, "bohr": 5.29177210903e-11, "a0": 5.29177210903e-11, "nm": 1e-9, "mile": 1609.344, "km": 1000.0, "ly": 9.4607304725808e15},
+    "time": {"fs": 1e-15, "au": 2.4188843265857e-17, "week": 604800.0, "hr": 3600.0, "month": 2628000.0, "day": 86400.0, "s": 1.0},
+    "density": {"amu/angstrom^3": 1e24 / 6.02214076e23, "g/cm3": 1.0, "kg/liter": 1.0, "amu/a3": 1e24 / 6.02214076e23, "g/cm^3": 1.0, "kg/l": 1.0},
+    "velocity": {"mph": 1609.344 / 3600.0, "knot": 0.5144444444, "angstrom/fs": 1e5, "m/s": 1.0, "c": 299792458.0, "km/h": 1000.0 / 3600.0},
+}
+_PAIRS_OF = {
+    "energy": (("Hartree", "kcal/mol"), ("kilocalorie/mol", "eV"), ("ev", "J"), ("cal/mol", "rydberg")),
+    "length": (("Angstrom", "bohr"), ("a0", "nm"), ("mile", "km"), ("ly", "furlong")),
+    "time": (("fs", "au"), ("week", "hr"), ("month", "day"), ("fortnight", "s")),
+    "density": (("amu/angstrom^3", "g/cm3"), ("kg/liter", "amu/a3"), ("g/cm^3", "kg/L"), ("g/cm^3", "lb/ft3")),
+    "velocity": (("mph", "knot"), ("Angstrom/fs", "m/s"), ("c", "km/h"), ("warp", "m/s")),
+}
+_factor_rows = ",".join(f"('{c}','{n}',{f!r}::DOUBLE)" for c, names in _FACTORS.items() for n, f in names.items())
+_pair_rows = ",".join(f"('{c}',{k},'{a}','{b}')" for c, pairs in _PAIRS_OF.items() for k, (a, b) in enumerate(pairs))
+ORACLES["unit_categories"] = f"""WITH fac(category, name, f) AS (VALUES {_factor_rows}), pairs(category, k, from_unit, to_unit) AS (VALUES {_pair_rows}),
+c AS (SELECT p.category, l_orderkey, l_linenumber, from_unit, to_unit, l_quantity*a.f/b.f AS converted, a.f AS af, b.f AS bf
+  FROM lineitem JOIN pairs p ON (l_orderkey+l_linenumber)%4=p.k LEFT JOIN fac a ON a.category=p.category AND a.name=lower(from_unit)
+  LEFT JOIN fac b ON b.category=p.category AND b.name=lower(to_unit))
+SELECT category, l_orderkey, l_linenumber, from_unit, to_unit, round(converted/pow(10.0::DOUBLE,floor(log10(converted))),8) AS digits, floor(log10(converted))::INT AS power,
+  CASE WHEN af IS NULL THEN 'Unsupported unit '||from_unit WHEN bf IS NULL THEN 'Unsupported unit '||to_unit END AS unit_error FROM c"""
 _REACT = "re AS (SELECT s_suppkey AS reaction, (abs(s_acctbal)/200.0::DOUBLE+40.0::DOUBLE)*1000.0::DOUBLE AS ea, (-(s_suppkey%50))::DOUBLE AS entropy FROM supplier)"
 _LNK = f"ln({_d(K.BOLTZMANN_J)}*temperature/{_d(K.PLANCK_JS)}) + entropy/{_d(K.GAS_CONSTANT_J)} - ea/({_d(K.GAS_CONSTANT_J)}*temperature)"
 ORACLES["rate_constants"] = f"WITH {_REACT} SELECT reaction, round(({_LNK.replace('temperature', '300.0::DOUBLE')})/ln(10.0::DOUBLE),6) AS log10_rate FROM re"

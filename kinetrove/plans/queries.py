@@ -198,15 +198,20 @@ def composition(spark, sf):
     return frames.composition(T.traj_frames(spark, sf))
 
 
+def _nine_tenths(spark, sf) -> int:
+    """A stop that leaves out the last tenth of the frames, however many there are."""
+    return T.read(spark, sf, "embeddings").count() * 9 // 10
+
+
 @query
 def select_frames(spark, sf):
-    kept = frames.select_frames(T.traj_frames(spark, sf), 10, 302, 4)
+    kept = frames.select_frames(T.traj_frames(spark, sf), 10, _nine_tenths(spark, sf), 4)
     return _round(frames.unpack_frames(kept), 6, "x", "y", "z")
 
 
 @query
 def select_frames_b(spark, sf):
-    kept = frames.select_frames_phase_space(T.traj_vel(spark, sf), 5, 300, 7, overshoot=True)
+    kept = frames.select_frames_phase_space(T.traj_vel(spark, sf), 5, _nine_tenths(spark, sf), 7, overshoot=True)
     return _round(frames.unpack_frames(kept), 6, "x", "y", "z", "vx", "vy", "vz")
 
 
@@ -337,8 +342,8 @@ def state_population(spark, sf):
 
 @query
 def state_frames(spark, sf):
-    """Logs that end before the trajectory: later frames are unknown. Every atom comes along."""
-    log = T.sh_states(spark, sf).where(F.col("row_idx") < 40)
+    """Logs that end before the trajectory: the last tenth of each run is unknown. Every atom comes along."""
+    log = T.cut_states(spark, sf)
     f = states.frames_by_state(T.traj_runs(spark, sf), log)
     atoms = f.select("run_id", "frame_id", "state", F.posexplode("pos").alias("_a", "p"))
     return atoms.select("run_id", "frame_id", "state", (F.col("_a") + 1).alias("atom_id"), *[F.round(F.col("p")[c], 6).alias(c) for c in "xyz"])
@@ -356,6 +361,19 @@ def unit_convert(spark, sf):
     return _round(c, 4, "converted")
 
 
+@query
+def unit_categories(spark, sf):
+    """Units of every category in turn, names in any case, aliases, and names that no unit has."""
+    found = None
+    for category in T.UNIT_PAIRS:
+        part = energy.convert_units(T.unit_pairs(spark, sf, category), "quantity", "from_unit", "to_unit", category)
+        found = part if found is None else found.unionByName(part)
+    # Ten significant digits: values lie many powers of ten apart.
+    digits = F.col("converted") / F.pow(F.lit(10.0), F.floor(F.log10("converted")))
+    return found.select("category", "l_orderkey", "l_linenumber", "from_unit", "to_unit", F.round(digits, 8).alias("digits"),
+                        F.floor(F.log10("converted")).cast("int").alias("power"), "unit_error")
+
+
 @query
 def rate_constants(spark, sf):
     r = energy.rate_constant(T.reactions(spark, sf), TEMPERATURE)

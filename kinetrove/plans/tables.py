@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinetrove.plans.prefix import ordinal
+from kinetrove.plans.staging import attach
 
 ELEMENTS = ("C", "H", "O", "N")
 N_ATOMS = 21
@@ -84,6 +85,13 @@ def sh_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def cut_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """State logs that stop after nine tenths of their run."""
+    log = sh_states(spark, sf_dir)
+    lengths = log.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"))
+    return attach(log, lengths, ["run_id"], spread="row_idx").where(F.col("row_idx") * 10 < F.col("n") * 9).drop("n")
+
+
 def energy_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.col("value")
     e_ks = F.lit(-100.0) - v / 100.0
@@ -113,6 +121,27 @@ def unit_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Pairs of unit names of every category; the last pair of each has a name that no unit has.
+UNIT_PAIRS = {
+    "energy": (("Hartree", "kcal/mol"), ("kilocalorie/mol", "eV"), ("ev", "J"), ("cal/mol", "rydberg")),
+    "length": (("Angstrom", "bohr"), ("a0", "nm"), ("mile", "km"), ("ly", "furlong")),
+    "time": (("fs", "au"), ("week", "hr"), ("month", "day"), ("fortnight", "s")),
+    "density": (("amu/angstrom^3", "g/cm3"), ("kg/liter", "amu/a3"), ("g/cm^3", "kg/L"), ("g/cm^3", "lb/ft3")),
+    "velocity": (("mph", "knot"), ("Angstrom/fs", "m/s"), ("c", "km/h"), ("warp", "m/s")),
+}
+
+
+def unit_pairs(spark: SparkSession, sf_dir: str, category: str) -> DataFrame:
+    """A value for each line item, with units of a category in turn; some are unknown."""
+    pairs = UNIT_PAIRS[category]
+    turn = (F.col("l_orderkey") + F.col("l_linenumber")) % len(pairs)
+    pick = lambda k: F.element_at(F.array(*[F.lit(p[k]) for p in pairs]), (turn + 1).cast("int"))
+    return read(spark, sf_dir, "lineitem").select(
+        F.lit(category).alias("category"), "l_orderkey", "l_linenumber", F.col("l_quantity").alias("quantity"),
+        pick(0).alias("from_unit"), pick(1).alias("to_unit"),
+    )
+
+
 def box_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
     side = (F.col("p_size") + 10).cast("double")
     return read(spark, sf_dir, "part").select(

@@ -65,9 +65,15 @@ FROM n, e LEFT JOIN hb USING (bin) GROUP BY e.bin"""
 ORACLES["dihedral_circular"] = f"""WITH {_TORSION}, m AS (SELECT count(angle) AS n, avg(sin(radians(angle))) AS s, avg(cos(radians(angle))) AS c FROM raw)
 SELECT 'r0' AS run_id, n, round(degrees(atan2(s,c)),6) AS mean, round(sqrt(s*s+c*c),6) AS resultant, round(degrees(sqrt(-2*ln(sqrt(s*s+c*c)))),6) AS std_dev FROM m"""
 _PAIR = "(a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)"
-_PAIRS = f"p AS (SELECT a.frame_id, a.atom_id AS i, b.atom_id AS j, a.element AS ea, b.element AS eb, {_PAIR} AS d2 FROM traj a JOIN traj b ON a.frame_id=b.frame_id AND a.atom_id<b.atom_id)"
-ORACLES["static_bonds"] = f"""WITH {TRAJ}, {_PAIRS}, k AS (SELECT i, j FROM p WHERE frame_id=0 AND sqrt(d2)<=least(1.5::DOUBLE,{_RCOV}[ea]+{_RCOV}[eb]+0.45::DOUBLE))
-SELECT 'r0' AS run_id, frame_id, i, j, round(sqrt(d2),6) AS distance FROM p JOIN k USING (i, j)"""
-ORACLES["solute_bonds"] = f"""WITH {TRAJ}, {_PAIRS}, k AS (SELECT i, j FROM p WHERE frame_id=0 AND d2<=2.25::DOUBLE AND i<=12 AND j<=12)
+# The pairs of the first frame alone, and their atoms in all frames.
+_FIRST = f"p AS (SELECT a.atom_id AS i, b.atom_id AS j, a.element AS ea, b.element AS eb, {_PAIR} AS d2 FROM traj a JOIN traj b ON a.frame_id=0 AND b.frame_id=0 AND a.atom_id<b.atom_id)"
+_FOLLOWED = "k JOIN traj a ON a.atom_id=k.i JOIN traj b ON b.atom_id=k.j AND b.frame_id=a.frame_id"
+ORACLES["static_bonds"] = f"""WITH {TRAJ}, {_FIRST}, k AS (SELECT i, j FROM p WHERE sqrt(d2)<=least(1.5::DOUBLE,{_RCOV}[ea]+{_RCOV}[eb]+0.45::DOUBLE))
+SELECT 'r0' AS run_id, a.frame_id, i, j, round(sqrt({_PAIR}),6) AS distance FROM {_FOLLOWED}"""
+ORACLES["solute_bonds"] = f"""WITH {TRAJ}, {_FIRST}, k AS (SELECT i, j FROM p WHERE d2<=2.25::DOUBLE AND i<=12 AND j<=12), f AS (SELECT i, j, {_PAIR} AS d2 FROM {_FOLLOWED})
 SELECT 'r0' AS run_id, i, j, count(*) AS n, 0::BIGINT AS degenerate, round(avg(sqrt(d2)),6) AS mean, round(var_pop(sqrt(d2)),6) AS variance, round(stddev_pop(sqrt(d2)),6) AS std_dev
-FROM p JOIN k USING (i, j) GROUP BY i, j"""
+FROM f GROUP BY i, j"""
+ORACLES["series_csv"] = ORACLES["bond_series"]
+ORACLES["state_files"] = f"""WITH {RUNS}, s AS (SELECT *, CASE WHEN frame_id*10<9*count(*) OVER (PARTITION BY run_id) THEN (vec_id%4)::VARCHAR ELSE 'unknown' END AS state FROM runs)
+SELECT state, (a+1)::INT AS atom_id, ['C','H','O','N'][a%4+1] AS element, round(10.0::DOUBLE*embedding[3*a+1]::DOUBLE,7) AS x,
+  round(10.0::DOUBLE*embedding[3*a+2]::DOUBLE,7) AS y, round(10.0::DOUBLE*embedding[3*a+3]::DOUBLE,7) AS z FROM s, (SELECT unnest(range(21)) AS a)"""

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from kinetrove.operators import histogram, rdf, series, states, topology
 from kinetrove.plans import tables as T
-from kinetrove.plans.queries import CONNECT, DT, SAMPLING, N_STATES, _round, query
-from kinetrove.plans.staging import attach
+from kinetrove.plans.queries import CONNECT, DT, SAMPLING, N_STATES, _bond, _round, query
+from kinetrove.plans.staging import attach, scratch, stage
 from kinetrove.sinks import render
 from kinetrove.sources import logs, structures, xyz
 
@@ -17,8 +17,11 @@ WIDE_R, WIDE_BIN = 14.0, 0.2
 
 
 def _lines(rows: DataFrame, line_no: Column, value: Column) -> DataFrame:
-    """run_id, line_no, value with the head and number of lines of the run, as a file reader gives them."""
-    lines = rows.select("run_id", line_no.cast("bigint").alias("line_no"), value.alias("value"))
+    """run_id, line_no, value with the head and number of lines of the run, as a file reader gives them.
+
+    The text is written once, as a reader does, and not rendered again for every look at it.
+    """
+    lines = stage(rows.select("run_id", line_no.cast("bigint").alias("line_no"), value.alias("value")), "lines")
     per_run = lines.groupBy("run_id").agg(F.min_by("value", "line_no").alias("head"), (F.max("line_no") + 1).alias("n_lines"))
     return attach(lines, per_run, ["run_id"], spread="line_no")
 
@@ -197,6 +200,26 @@ def energy_headered(spark, sf):
     return _round(found.select("run_id", "line_no", *named, "error"), 6, "temperature", "e_ks")
 
 
+# ---- written results, read back --------------------------------------------------------------------
+@query
+def series_csv(spark, sf):
+    """A bond series as CSV with a header."""
+    rows = _bond(spark, sf)
+    path = scratch(spark, "series")
+    render.write_series(rows, path)
+    return _round(spark.read.schema(rows.schema).option("header", True).csv(path), 6, "time_ps", "value")
+
+
+@query
+def state_files(spark, sf):
+    """Frames of all runs, split by state and written as XYZ files, then read as trajectories."""
+    path = scratch(spark, "states")
+    render.write_frames_by_state(states.frames_by_state(T.traj_runs(spark, sf), T.cut_states(spark, sf)), path)
+    atoms = xyz.read_xyz(spark, f"{path}/*")
+    state = F.regexp_extract("run_id", "/state=([^/]+)/[^/]+$", 1).alias("state")
+    return _round(atoms.select(state, "atom_id", "element", "x", "y", "z"), 7, "x", "y", "z")
+
+
 # ---- decks and inputs ------------------------------------------------------------------------------
 @query
 def structures_cpmd(spark, sf):

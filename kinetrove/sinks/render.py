@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,14 +71,19 @@ def gaussian_inputs(
     return render_structures(frames, "gaussian", header)
 
 
-def write_text(rendered: DataFrame, path: str, by: tuple[str, ...] = ("run_id",), partitions: int | None = None) -> None:
-    """Write rendered frames under ``path``, one folder per value of ``by``, in frame order.
+def write_text(
+    frames: DataFrame, path: str, by: tuple[str, ...] = ("run_id",), partitions: int | None = None,
+    render: Callable[[DataFrame], DataFrame] | None = None,
+) -> None:
+    """Write frames under ``path``, one folder per value of ``by``, in frame order.
 
-    Rows are ranged by (by, frame_id), so a long run becomes many files that follow each other.
+    Rows are ranged by (by, frame_id), so a long run becomes many files that follow each other. ``render`` gives the
+    text of ranged frames, once; without it ``frames`` has a column ``text`` already.
     """
     order = [*by, *(c for c in ("run_id", "frame_id") if c not in by)]
-    ranged = rendered.repartitionByRange(*([partitions] if partitions else []), *order)
-    ranged.sortWithinPartitions(*order).select(*by, "text").write.partitionBy(*by).mode("overwrite").text(path)
+    ranged = frames.repartitionByRange(*([partitions] if partitions else []), *order).sortWithinPartitions(*order)
+    rendered = render(ranged) if render else ranged
+    rendered.select(*by, "text").write.partitionBy(*by).mode("overwrite").text(path)
 
 
 def write_frames_by_state(labelled: DataFrame, path: str, partitions: int | None = None) -> None:
@@ -84,7 +91,7 @@ def write_frames_by_state(labelled: DataFrame, path: str, partitions: int | None
 
     A rerun replaces the folder; nothing is appended.
     """
-    write_text(render_xyz(labelled, keep=("state",)), path, by=("state",), partitions=partitions)
+    write_text(labelled, path, by=("state",), partitions=partitions, render=lambda f: render_xyz(f, keep=("state",)))
 
 
 def write_series(df: DataFrame, path: str) -> None:

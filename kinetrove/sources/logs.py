@@ -23,7 +23,9 @@ def _strided(lines: DataFrame, sizes: DataFrame | int, titles: int) -> DataFrame
     if isinstance(sizes, int):
         sized = lines.withColumn("n_atoms", F.lit(sizes).cast("bigint"))
     else:
-        sized = attach(lines, sizes.select("run_id", F.col("n_atoms").cast("bigint").alias("n_atoms")), ["run_id"], spread="line_no")
+        sized = attach(lines, sizes.select("run_id", F.col("n_atoms").cast("bigint").alias("n_atoms")), ["run_id"], "left", spread="line_no")
+        unknown = F.raise_error(F.concat(F.lit("no symbols or size for run "), F.col("run_id"))).cast("bigint")
+        sized = sized.withColumn("n_atoms", F.coalesce("n_atoms", unknown))
     step = F.col("n_atoms") + titles
     return sized.where(F.col("line_no") < F.floor(F.col("n_lines") / step) * step).select(
         "run_id", "line_no", F.floor(F.col("line_no") / step).alias("frame_id"),
@@ -43,9 +45,11 @@ def _sizes(symbols: DataFrame) -> DataFrame | int:
 
 
 def _labelled(rows: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Elements by atom, of the run's own symbols where they have a run_id. Runs without symbols give no rows."""
+    """Elements by atom, of the run's own symbols where they have a run_id; an atom without one is an error."""
     key = ["run_id", "atom_id"] if _by_run(symbols) else ["atom_id"]
-    return attach(rows, symbols.select(*key, "element"), key)
+    what = F.concat(F.lit("no symbol for atom "), F.col("atom_id").cast("string"), F.lit(" of run "), F.col("run_id"))
+    found = attach(rows, symbols.select(*key, "element"), key, "left")
+    return found.withColumn("element", F.coalesce("element", F.raise_error(what).cast("string")))
 
 
 def parse_phase_space(lines: DataFrame, symbols: DataFrame, to_angstrom: bool = False) -> DataFrame:
@@ -123,11 +127,14 @@ def read_cp_frames(spark: SparkSession, path, labels: DataFrame, kind: str = "po
 def parse_snapshots(lines: DataFrame, unit: str = "au") -> DataFrame:
     """Geometry with velocities and optional forces, one frame per file.
 
-    With a count line the atoms start at the third line; without, every line that is neither blank
-    nor a ``#`` comment is an atom. ``unit="angstrom_fs"`` converts velocities to atomic units.
+    With a count line the atoms start at the third line, and a file with fewer lines than that is an error; without,
+    every line that is neither blank nor a ``#`` comment is an atom. ``unit="angstrom_fs"`` converts velocities to atomic units.
     """
     n = F.trim("head").try_cast("int")
-    counted = lines.where(n.isNotNull() & F.col("line_no").between(F.lit(2), n + 1)).select(
+    cut = F.raise_error(F.concat(F.lit("fewer atom lines than its count says in "), F.col("run_id"))).cast("boolean")
+    # The count line itself meets the check, so that a file without any atom line fails too.
+    short = n.isNotNull() & (F.col("n_lines") < F.greatest(n, F.lit(0)) + 2)
+    counted = lines.where(F.when(short, cut).otherwise(n.isNotNull() & F.col("line_no").between(F.lit(2), n + 1))).select(
         "run_id", "line_no", (F.col("line_no") - 1).cast("int").alias("atom_id"), "value"
     )
     bare = lines.where(n.isNull() & (F.length(F.trim("value")) > 0) & ~F.ltrim("value").startswith("#"))

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinetrove.functions.text import number, symbol, tokens, word
-from kinetrove.plans.prefix import ordinal, running
 from kinetrove.plans.staging import attach, stage
+from kinetrove.sources.chain import laid_over, starts
 from kinetrove.sources.lines import number_lines
 
 _ROW = ["run_id", "frame_id", "row", "count", "n_atoms", "line_no", "value", "last_line"]
@@ -17,41 +17,14 @@ def _first_word(value: Column) -> Column:
     return word(tokens(value), 0).try_cast("int")
 
 
-def _reached(pointers: DataFrame, runs: DataFrame) -> DataFrame:
-    """Lines on the chain that starts at line 0 of each run: run_id, line_no.
-
-    ``pointers`` (run_id, line_no, next) names the line that follows a frame or a skipped line. Each
-    round doubles the jumps and finds as many lines as all before, none of them twice, so a chain of a
-    million frames takes twenty rounds; what a round finds is written.
-    """
-    jumps = stage(pointers.where("next IS NOT NULL").select("run_id", F.col("line_no").alias("a"), F.col("next").alias("b")))
-    known = stage(runs.select("run_id", F.lit(0).cast("bigint").alias("a")))
-    while True:
-        found = stage(known.join(jumps, ["run_id", "a"]).select("run_id", F.col("b").alias("a")))
-        if found.isEmpty():
-            return known.withColumnRenamed("a", "line_no")
-        known = known.unionByName(found)
-        far = jumps.select("run_id", F.col("a").alias("b"), F.col("b").alias("c"))
-        jumps = stage(jumps.join(far, ["run_id", "b"]).select("run_id", "a", F.col("c").alias("b")))
-
-
-def _chained(lines: DataFrame, runs: DataFrame, count: Column, skip: Column) -> DataFrame:
+def _chained(lines: DataFrame, count: Column, skip: Column) -> DataFrame:
     """Frames whose own count lines give their lengths, read one after another: frame_id, row, count per line.
 
     ``skip`` marks lines that are passed over where a frame may begin. A line there that is no count
-    ends the chain; it is a frame of its own that all later lines belong to.
+    ends the chain; it is a frame of its own. Lines outside of frames are left out.
     """
-    length = F.when(count.isNotNull(), F.greatest(count, F.lit(0)) + 2)
-    after = F.col("line_no") + F.when(skip, F.lit(1)).otherwise(length)
-    sized = lines.withColumns({"count": count.cast("bigint"), "_skip": skip}).withColumn("_after", after)
-    on = _reached(sized.select("run_id", "line_no", F.col("_after").alias("next")), runs)
-    starts = on.join(sized.select("run_id", "line_no", "count", "_skip"), ["run_id", "line_no"]).where(~F.col("_skip"))
-    starts = ordinal(starts.select("run_id", "line_no", "count"), ["run_id"], "line_no", "frame_id")
-    starts = stage(starts.select("run_id", F.col("line_no").alias("_begin"), F.col("count"), "frame_id"))
-    flags = starts.select("run_id", F.col("_begin").alias("line_no"), F.col("_begin").alias("_start"))
-    marked = sized.drop("count", "_after").join(flags, ["run_id", "line_no"], "left")
-    placed = running(marked, ["run_id"], "line_no", {"_begin": ("max", F.col("_start"))})
-    return placed.where(F.col("_begin").isNotNull()).join(starts, ["run_id", "_begin"]).withColumn("row", F.col("line_no") - F.col("_begin"))
+    sized = lines.select("run_id", "line_no", count.cast("bigint").alias("count"), skip.alias("skip"), F.col("last_line").cast("bigint").alias("last_line"))
+    return laid_over(lines, stage(starts(sized), "frame-starts"))
 
 
 def frame_rows(lines: DataFrame) -> DataFrame:
@@ -81,13 +54,11 @@ def frame_rows(lines: DataFrame) -> DataFrame:
     regular = joined.where(~F.col("odd")).withColumns({
         "frame_id": F.floor(F.col("line_no") / length), "row": F.col("line_no") % length, "count": F.col("n_atoms").cast("bigint"),
     })
-    runs = marked.where("odd").select("run_id")
-    if runs.isEmpty():
+    if marked.where("odd").isEmpty():
         return regular.select(*_ROW)
     count = F.when(_first_word(F.col("value")) >= 1, _first_word(F.col("value")))
-    followed = _chained(joined.where("odd"), runs, count, ~filled)
     # Blank lines between frames belong to none; after a damaged count line nothing can be placed.
-    followed = followed.where((F.col("row") < F.col("count") + 2) | (F.col("count").isNull() & (F.col("row") == 0)))
+    followed = _chained(joined.where("odd"), count, ~filled)
     return regular.select(*_ROW).unionByName(followed.select(*_ROW))
 
 
@@ -175,9 +146,9 @@ def validate_xyz(lines: DataFrame) -> DataFrame:
     length = F.when(F.col("n_atoms") > 0, F.col("n_atoms") + 2)
     rows = joined.where(~F.col("odd")).withColumns({"row": F.col("line_no") % length, "count": F.col("n_atoms").cast("bigint")})
     kept = ["run_id", "line_no", "value", "last_line", "row", "count"]
-    rows, runs = rows.select(*kept), marked.where("odd").select("run_id")
-    if not runs.isEmpty():
-        rows = rows.unionByName(_chained(joined.where("odd"), runs, whole, F.lit(False)).select(*kept))
+    rows = rows.select(*kept)
+    if not marked.where("odd").isEmpty():
+        rows = rows.unionByName(_chained(joined.where("odd"), whole, F.lit(False)).select(*kept))
     rows = rows.withColumn("_w", tokens(F.col("value")))
     w, row, n = F.col("_w"), F.col("row"), F.greatest("count", F.lit(0).cast("bigint"))
     known = F.col("count").isNotNull()

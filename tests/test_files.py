@@ -125,6 +125,32 @@ def test_snapshots(spark, tmp_path):
     assert fast.vx == pytest.approx(1 / 21.8769126379)
 
 
+@pytest.mark.parametrize("text", ["3\nnote\nO 0 0 0 1 0 0\nH 1 0 0 0 2 0\n", "2\n", "1\nnote"])
+def test_cut_snapshots_fail(spark, tmp_path, text):
+    write(tmp_path, "s/whole", "1\nnote\nO 0 0 0 1 0 0\n")
+    write(tmp_path, "s/cut", text)
+    with pytest.raises(Exception, match="fewer atom lines.*cut"):
+        logs.read_snapshot(spark, str(tmp_path / "s")).collect()
+
+
+def test_runs_without_symbols_fail(spark, tmp_path):
+    for run in ("one", "two"):
+        write(tmp_path, f"{run}/T", "1 0 0 0 1 1 1\n1 1 0 0 1 1 1\n")
+        write(tmp_path, f"{run}/P", "t\n1 0 0\n1 0 1\n")
+    symbols = spark.createDataFrame([("one", 1, "O"), ("one", 2, "H")], "run_id string, atom_id int, element string")
+    sizes = symbols.groupBy("run_id").count().withColumnRenamed("count", "n_atoms")
+    path = [f"{tmp_path}/one/T", f"{tmp_path}/two/T"]
+    with pytest.raises(Exception, match="no symbols or size for run two"):
+        logs.read_phase_space(spark, path, symbols, run_pattern=L.RUN_BY_FOLDER).collect()
+    with pytest.raises(Exception, match="no symbols or size for run two"):
+        logs.validate_phase_space(spark, path, sizes, run_pattern=L.RUN_BY_FOLDER).collect()
+    with pytest.raises(Exception, match="no symbols or size for run two"):
+        logs.read_cp_frames(spark, f"{tmp_path}/*/P", symbols, run_pattern=L.RUN_BY_FOLDER).collect()
+    gap = spark.createDataFrame([(1, "O"), (3, "H")], "atom_id int, element string")
+    with pytest.raises(Exception, match="no symbol for atom 2 of run one"):
+        logs.read_phase_space(spark, path[0], gap, run_pattern=L.RUN_BY_FOLDER).collect()
+
+
 def test_states(spark, tmp_path):
     write(tmp_path, "r1/SH_STATE.dat", "0 1\n1 1\n2 2\n3 0\n")
     write(tmp_path, "r2/SH_STATE.dat", "0 1\n1 3\n")
