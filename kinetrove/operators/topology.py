@@ -76,6 +76,11 @@ def dihedrals(edges: DataFrame, df: DataFrame) -> DataFrame:
 _KINDS = {"bond": ("i", "j"), "angle": ("i", "j", "k"), "dihedral": ("i", "j", "k", "l")}
 
 
+def labels_of(kind: str) -> list[str]:
+    """The label columns of a kind of internal coordinate."""
+    return list(_KINDS[kind])
+
+
 def internal_stats(frames: DataFrame, topology: DataFrame, kind: str) -> DataFrame:
     """Mean, population variance and deviation of every internal coordinate over all frames.
 
