@@ -121,3 +121,10 @@ def test_few_windows_stay_open():
     rows = packer.take()
     assert sum(r[2] for r in rows) == 500 * 40
     assert len({r[5] for r in rows if r[7] < 64}) <= 6
+
+
+def test_other_vocabularies_go_through_the_whole_pipeline():
+    other = encoder(public_path("word_bpe_49k.json"))
+    assert not other.by_piece and encoder(PATH).by_piece
+    text = "Hello  World, it's 12 o'clock"
+    assert np.frombuffer(other(text), "<u4").tolist() == other.tokenizer.encode(text, add_special_tokens=False).ids
