@@ -68,7 +68,7 @@ def mix(docs: DataFrame, size: Callable[[Column], Column], *, seed: str = "mix",
     large = stage(large.select("_none", "_source", F.floor(F.col("_rows") / STRATUM).alias("_cuts")), "mix-large")
     digits = F.substring(F.md5(F.coalesce(F.col("doc.doc_id").cast("string"), F.lit("")).cast("binary")), 1, 8)
     stratum = F.conv(digits, 16, 10).cast("long") % (F.coalesce("_cuts", F.lit(0)) + 1)
-    columns = [F.col(f"doc.`{c}`") for c in docs.columns]
+    columns = [F.col("doc").getField(c) for c in docs.columns]
     rows = keyed.join(large, ["_none", "_source"], "left").select(
         "doc", size(F.col("doc")).cast("long").alias("size"), "_none", "_source", stratum.alias("_stratum"), F.col("doc.doc_id").alias("_id"), F.xxhash64(*columns).alias("_tie"),
     )

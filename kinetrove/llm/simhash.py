@@ -119,4 +119,5 @@ def unique(docs: DataFrame, *, shingle: int = 3, bits: int = 3) -> DataFrame:
     gone = marked.where("NOT stays").select("doc_id").distinct()
     # An id with several texts goes only if none of them stays.
     gone = stage(gone.join(marked.where("stays"), "doc_id", "left_anti"), "near-dropped")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = gone.withColumnRenamed("doc_id", "_gone")
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")

@@ -6,9 +6,11 @@ sigmoid(b + sum w_i + sum over pairs <v_i, v_j>): the pair terms weigh two words
 as an insult and the mention of a group.
 
 Labels are learnt from at most ``rows`` labelled rows (half toxic where there are as many) outside the held-out
-quarter; each counts by its label's share among all. Buckets that tell the labels apart (G statistic of at least
-``least_g``) take part, at most ``features`` of them. The learning is small and runs on the driver; every whole text
-is scored where it lies, without a shuffle.
+quarter; each counts by its label's share among all. Of the buckets in that sample those take part, at most
+``features`` of them, that tell the labels apart by themselves (G statistic of at least ``least_g``) or in a pair: the
+four cells of two buckets must tell at least ``least_pair_g`` more than either alone. Pairs are sought among the
+``pair_terms`` buckets whose presence varies most. So terms that say nothing alone, as in an exclusive or, are learnt as
+well. The learning is small and runs on the driver; every whole text is scored where it lies, without a shuffle.
 
 Null and empty texts get the score of a text without known terms. Without labels of both kinds every score is the share
 of toxic ones, or 0. Repeated rows and null ids are scored one by one. An empty table gives no rows.
@@ -76,9 +78,45 @@ def select(bags: list[np.ndarray], labels: np.ndarray, least_g: float, features:
     return ids[best[g[best] >= least_g]]
 
 
-def fit(bags: list[np.ndarray], labels: np.ndarray, weight: np.ndarray, *, buckets: int, least_g: float, features: int, factors: int, steps: int, rate: float, decay: float) -> Machine:
+def select_pairs(bags: list[np.ndarray], labels: np.ndarray, least_g: float, terms: int) -> np.ndarray:
+    """Buckets of pairs whose four cells tell the labels apart by ``least_g`` more than either bucket does, best first."""
+    ids, place, seen = np.unique(np.concatenate(bags), return_inverse=True, return_counts=True)
+    varied = np.lexsort((ids, -np.minimum(seen, len(bags) - seen)))[:terms]
+    column = np.full(len(ids), -1)
+    column[varied] = np.arange(len(varied))
+    rows = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
+    at = column[place]
+    x = np.zeros((len(bags), len(varied)), np.float32)
+    x[rows[at >= 0], at[at >= 0]] = 1
+    n = [int((labels == k).sum()) for k in (0, 1)]
+    parts = [x[labels == k] for k in (0, 1)]
+    alone = [p.sum(axis=0, dtype=np.float64) for p in parts]
+
+    def told(cells: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """G statistic of cells, each given as its count among either label."""
+        total, found = n[0] + n[1], 0.0
+        for both in cells:
+            for k in (0, 1):
+                expected = (both[0] + both[1]) * n[k] / total
+                found = found + 2 * both[k] * np.log(np.maximum(both[k], 1e-12) / np.maximum(expected, 1e-12))
+        return found
+
+    single = told([(alone[0], alone[1]), (n[0] - alone[0], n[1] - alone[1])])
+    best = np.zeros(len(varied))
+    for begin in range(0, len(varied), 128):
+        own = slice(begin, begin + 128)
+        both = [(p[:, own].T @ p).astype(np.float64) for p in parts]
+        a, b = [s[own, None] for s in alone], alone
+        cells = [tuple(both), tuple(a[k] - both[k] for k in (0, 1)), tuple(b[k] - both[k] for k in (0, 1)), tuple(n[k] - a[k] - b[k] + both[k] for k in (0, 1))]
+        best[own] = np.maximum(best[own], (told(cells) - np.maximum(single[own, None], single[None, :])).max(axis=1))
+    order = np.lexsort((ids[varied], -best))
+    return ids[varied][order[best[order] >= least_g]]
+
+
+def fit(bags: list[np.ndarray], labels: np.ndarray, weight: np.ndarray, *, buckets: int, least_g: float, features: int, factors: int, steps: int, rate: float, decay: float, least_pair_g: float = 40.0, pair_terms: int = 1024) -> Machine:
     """Adam over all rows at once; gradients of the weighted log loss."""
-    chosen = select(bags, labels, least_g, features)
+    alone, paired = select(bags, labels, least_g, features), select_pairs(bags, labels, least_pair_g, pair_terms)
+    chosen = np.concatenate([alone, paired[~np.isin(paired, alone)]])[:features]
     place = {int(b): i for i, b in enumerate(chosen)}
     rows = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
     cols = np.array([place.get(int(b), -1) for bag in bags for b in bag], np.int64)
@@ -110,7 +148,7 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, weight: np.ndarray, *, bucke
     return Machine(place, buckets, float(theta["b"][0]), theta["w"], theta["v"])
 
 
-def train(docs: DataFrame, labels: DataFrame, *, rows: int = 6000, buckets: int = 1 << 20, least_g: float = 18.0, features: int = 1 << 14, factors: int = 8, steps: int = 500, rate: float = 0.05, decay: float = 1e-6) -> Machine:
+def train(docs: DataFrame, labels: DataFrame, *, rows: int = 6000, buckets: int = 1 << 20, least_g: float = 12.0, features: int = 1 << 14, factors: int = 8, steps: int = 500, rate: float = 0.05, decay: float = 1e-4) -> Machine:
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [sorted({bucket(t, buckets) for w in set(WORDS.findall(x.as_py().lower())) for t in terms(w)}) for x in batch["text"]]

@@ -2,6 +2,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
 
@@ -20,9 +21,11 @@ def odd(spark):
         (None, "a b c", "u", 5), (None, None, None, None), (6, long, "s", len(long)), (7, long, "t", len(long)), (8, "<|endoftext|> x", "s", 1), (9, "é 漢字 🙂", "", 1),
     ]
     rows = [(*r, "x", 7, 1.5, "k", 9) for r in rows]
-    return spark.createDataFrame(
+    table = spark.createDataFrame(
         rows, "doc_id long, text string, source string, n_chars long, row string, size long, score double, sha string, maybe long"
     )
+    # Names that must be quoted.
+    return table.withColumn("meta.lang", F.lit("x")).withColumn("a`b", F.lit(1))
 
 
 @pytest.fixture(scope="session")

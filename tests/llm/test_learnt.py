@@ -60,6 +60,76 @@ def test_machine_learns_a_pair_that_single_terms_cannot_tell():
     assert v[0] @ v[1] != 0
 
 
+def production(name):
+    """Settings that training uses where none are given."""
+    import inspect
+
+    return {k: p.default for k, p in inspect.signature(toxicity.train).parameters.items() if k in name and p.default is not p.empty}
+
+
+@pytest.mark.parametrize("noise", [0, 20])
+def test_machine_learns_an_exclusive_or_with_production_settings(noise):
+    rng = np.random.default_rng(2)
+    a, b = rng.random((2, 4000)) < 0.5
+    bags = [np.array(sorted({*([1] * int(p)), *([2] * int(q)), *(int(x) for x in rng.integers(10, 400, noise)), 5})) for p, q in zip(a, b)]
+    y = (a ^ b).astype(int)
+    m = toxicity.fit(bags[:3000], y[:3000], np.ones(3000), **production(("buckets", "least_g", "features", "factors", "steps", "rate", "decay")))
+    assert {1, 2} <= set(m.place) and len(m.place) < 12
+    p = [m.logit(np.array([m.place[int(t)] for t in bag if int(t) in m.place], np.int64)) > 0 for bag in bags[3000:]]
+    assert (np.array(p) == y[3000:]).mean() > 0.99
+
+
+def test_no_pairs_are_found_in_noise():
+    rng = np.random.default_rng(4)
+    bags = [np.unique(rng.integers(0, 300, 40)) for _ in range(2000)]
+    assert len(toxicity.select_pairs(bags, (rng.random(2000) < 0.2).astype(int), 40.0, 1024)) == 0
+
+
+def test_score_equals_the_sum_over_all_pairs(labelled):
+    docs, labels = labelled
+    machine = toxicity.train(docs, labels)
+    scored = dict(toxicity.score(docs, machine).select("doc_id", "score").collect())
+    for r in docs.orderBy("doc_id").limit(60).collect():
+        found = {machine.place.get(toxicity.bucket(t, machine.buckets)) for w in set(toxicity.WORDS.findall((r.text or "").lower())) for t in toxicity.terms(w)}
+        found = sorted(f for f in found if f is not None)
+        z = machine.bias + sum(machine.weights[f] for f in found)
+        z += sum(float(machine.factors[f] @ machine.factors[g]) for n, f in enumerate(found) for g in found[:n])
+        assert abs(scored[r.doc_id] - 1 / (1 + np.exp(-np.clip(z, -30, 30)))) < 1e-9
+
+
+def test_held_out_recall_and_order(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    rows = toxicity.toxicity(docs, labels).join(labels, "doc_id").where("held_out").select("score", "predicted", "toxic").toPandas()
+    order = rows.score.rank()
+    n, m = (rows.toxic == 1).sum(), (rows.toxic == 0).sum()
+    assert (order[rows.toxic == 1].sum() - n * (n + 1) / 2) / (n * m) > 0.97
+    # One toxic label in ten stands at a text without any insult.
+    assert rows.predicted[rows.toxic == 1].mean() >= 0.85 and rows.predicted[rows.toxic == 0].mean() < 0.01
+
+
+def test_quality_score_equals_plain_attention(labelled):
+    docs, labels = labelled
+    model = quality.train(docs, labels)
+    scored = dict(quality.score(docs, model).select("doc_id", "score").collect())
+    p, sigmoid = model.p, lambda x: 1 / (1 + np.exp(-x))
+    for r in docs.orderBy("doc_id").limit(60).collect():
+        weights, passages = [], []
+        for row in quality.encode((r.text or "").encode(), 50):
+            e = np.tanh(np.clip((row - model.middle) / model.spread, -8, 8) @ p["W"] + p["c"])
+            weights.append(np.exp(float((np.tanh(e @ p["V"]) * sigmoid(e @ p["U"])) @ p["w"])))
+            passages.append(e)
+        z = sum(w * e for w, e in zip(weights, passages)) / sum(weights)
+        assert abs(scored[r.doc_id] - sigmoid(float(z @ p["u"] + p["b"][0]))) < 1e-9
+
+
+def test_held_out_order_of_quality(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    rows = quality.quality(docs, labels).join(labels, "doc_id").where("held_out").select("score", "quality").toPandas()
+    order = rows.score.rank()
+    n, m = (rows.quality == 1).sum(), (rows.quality == 0).sum()
+    assert (order[rows.quality == 1].sum() - n * (n + 1) / 2) / (n * m) > 0.98
+
+
 def test_attention_gradients():
     rng = np.random.default_rng(1)
     bags = [rng.normal(size=(n, quality.FEATURES)) for n in (1, 3, 5)]

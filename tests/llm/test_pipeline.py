@@ -34,5 +34,12 @@ def test_run_and_odd_rows(spark, odd, empty):
     assert corpus_pipeline.run(spark, SF).columns == [f.split()[0] for f in packing.SCHEMA.split(", ")]
     for docs in (odd, empty):
         for name, function in corpus_pipeline.STAGES:
-            docs = stage(function(spark, docs, SF), name)
+            before, docs = docs, stage(function(spark, docs, SF), name)
+            if name != "packing":
+                assert docs.columns == before.columns
+                assert set(docs.select("doc_id").collect()) <= set(before.select("doc_id").collect())
         assert "sequence_id" in docs.columns
+        if before.isEmpty():
+            assert docs.isEmpty()
+        else:
+            assert sum(r.length for r in docs.collect()) == sum(len(ids_of(r.text, 1)) for r in before.collect())
