@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinetrove.functions import geometry as G
@@ -120,6 +120,42 @@ def residence_events(occ: DataFrame, chunk: int = CHUNK) -> DataFrame:
     )
 
 
+def border_states(spark: SparkSession) -> DataFrame:
+    """The empty table of border states that the first frames are appended to."""
+    return spark.createDataFrame([], "run_id string, object_id int, next_frame long, start_frame long, stop_frame long")
+
+
+def append_events(occ: DataFrame, borders: DataFrame, tolerance: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(events that are final now, new border states) after further frames of growing runs.
+
+    ``borders``: per (run_id, object_id) the next frame and the event that was still open (NULL if none). Old frames are
+    not read again. The new frames of a run must go on at its border; any cut gives the events of the whole run.
+    """
+    seen = occ.groupBy(*OBJECT_KEY).agg(F.min("frame_id").alias("_from"), (F.max("frame_id") + 1).alias("_to"))
+    both = seen.join(borders, OBJECT_KEY, "full")
+    gap = F.concat(F.lit("frames do not go on at the border of run "), F.col("run_id"))
+    upto = F.when(F.col("_from") != F.coalesce("next_frame", F.lit(0)), F.raise_error(gap).cast("bigint")).otherwise(F.coalesce("_to", "next_frame"))
+    both = both.withColumn("_upto", upto)
+    found = residence_events(fill_gaps(occ, tolerance)).withColumn("stop_frame", F.col("start_frame") + F.col("n_frames") - 1)
+    news = found.select(*OBJECT_KEY, "start_frame", "stop_frame").join(
+        both.select(*OBJECT_KEY, "_upto", F.col("start_frame").alias("_open"), F.col("stop_frame").alias("_last")), OBJECT_KEY
+    )
+    # Events lie further apart than the tolerance, so only the first one can go on an open one.
+    goes_on = F.coalesce(F.col("start_frame") - F.col("_last") - 1 <= tolerance, F.lit(False))
+    news = news.select(*OBJECT_KEY, "_upto", F.when(goes_on, F.col("_open")).otherwise(F.col("start_frame")).alias("start_frame"), "stop_frame")
+    old = both.where("start_frame IS NOT NULL").select(*OBJECT_KEY, "_upto", "start_frame", "stop_frame")
+    merged = old.unionByName(news).groupBy(*OBJECT_KEY, "_upto", "start_frame").agg(F.max("stop_frame").alias("stop_frame"))
+    still_open = F.col("_upto") - 1 - F.col("stop_frame") <= tolerance
+    final = merged.where(~still_open).select(*OBJECT_KEY, "start_frame", (F.col("stop_frame") - F.col("start_frame") + 1).alias("n_frames"))
+    after = both.select(*OBJECT_KEY, F.col("_upto").alias("next_frame")).join(merged.where(still_open).drop("_upto"), OBJECT_KEY, "left")
+    return final, after
+
+
+def open_events(borders: DataFrame) -> DataFrame:
+    """The events that end with their runs."""
+    return borders.where("start_frame IS NOT NULL").select(*OBJECT_KEY, "start_frame", (F.col("stop_frame") - F.col("start_frame") + 1).alias("n_frames"))
+
+
 def survival(events: DataFrame, dt: float = 1.0) -> DataFrame:
     """S(lag) = fraction of events of at least ``lag`` frames, lag = 0 .. longest.
 

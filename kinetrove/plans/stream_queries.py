@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kinetrove.operators import topology
+from kinetrove.operators import residence, topology
 from kinetrove.plans import tables as T
 from kinetrove.plans.queries import CONNECT, _occ, _round, query
-from kinetrove.plans.staging import scratch
+from kinetrove.plans.staging import scratch, stage
+from kinetrove.sinks import render
+from kinetrove.sources import frame_index
 from kinetrove.streaming import moments
 from kinetrove.streaming import residence as online
 
@@ -36,6 +38,29 @@ def residence_events_online(spark, sf):
     return spark.read.schema(online.EVENTS).parquet(out).where("kind = 'event'").drop("kind")
 
 
+@query
+def residence_events_appended(spark, sf):
+    """Residence events of a run that grows drop by drop, with a tolerance; old frames are not read again."""
+    n = T.read(spark, sf, "embeddings").count()
+    occ, borders, found = _occ(spark, sf), residence.border_states(spark), None
+    for drop in range(DROPS):
+        final, after = residence.append_events(occ.where(_drop(n) == drop), borders, tolerance=2)
+        final, borders = stage(final, "final-events"), stage(after, "border-states")
+        found = final if found is None else found.unionByName(final)
+    return found.unionByName(residence.open_events(borders))
+
+
+@query
+def frames_by_offset(spark, sf):
+    """Every tenth frame of XYZ files, one file a run, read by its place in the file."""
+    path = scratch(spark, "run-files")
+    text = render.render_xyz(T.traj_runs(spark, sf))
+    text.repartition("run_id").sortWithinPartitions("run_id", "frame_id").select("run_id", "text").write.partitionBy("run_id").text(path)
+    index = stage(frame_index.index_frames(spark, f"{path}/*/*", run_pattern="run_id=([^/]+)/"), "frame-index")
+    atoms = frame_index.read_frames(index, index.where("frame_id % 10 = 3"))
+    return _round(atoms, 7, "x", "y", "z")
+
+
 @query
 def bond_moments_of_drops(spark, sf):
     """Bond statistics from moments that were stored drop by drop."""

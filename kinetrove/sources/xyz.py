@@ -84,6 +84,14 @@ def _checked(lines: DataFrame) -> DataFrame:
     return frame_rows(lines).withColumn("_w", tokens(F.col("value"))).withColumn("_problem", _problem(F.col("_w")))
 
 
+def placed_frames(lines: DataFrame) -> DataFrame:
+    """Count lines of the complete frames before the first damaged one of each run: run_id, frame_id, line_no, count."""
+    rows = _checked(lines)
+    first = rows.where(F.col("_problem").isNotNull() & ~F.col("_problem").startswith("atom count changes")).groupBy("run_id").agg(F.min("frame_id").alias("_cut"))
+    kept = attach(rows.where("row = 0"), first, ["run_id"], "left", spread="line_no")
+    return kept.where(F.col("_cut").isNull() | (F.col("frame_id") < F.col("_cut"))).select("run_id", "frame_id", "line_no", "count")
+
+
 def corrupt_frames(lines: DataFrame) -> DataFrame:
     """What PERMISSIVE leaves out: run_id, frame_id (from 0), line_no (from 1) and error of the first bad line of
     each run, and the number of frames from there on that could be placed."""
