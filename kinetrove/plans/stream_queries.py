@@ -9,7 +9,8 @@ from kinetrove.plans import tables as T
 from kinetrove.plans.queries import CONNECT, _occ, _round, query
 from kinetrove.plans.staging import scratch, stage
 from kinetrove.sinks import render
-from kinetrove.sources import frame_index
+from kinetrove.operators import frames
+from kinetrove.sources import frame_index, frame_store
 from kinetrove.streaming import moments
 from kinetrove.streaming import residence as online
 
@@ -61,6 +62,16 @@ def frames_by_offset(spark, sf):
     return _round(atoms, 7, "x", "y", "z")
 
 
+@query
+def stored_frames(spark, sf):
+    """A stride over a stored ensemble that was appended to drop by drop; folders without a pick are not read."""
+    runs, path = T.traj_runs(spark, sf).drop("vec_id"), scratch(spark, "frame-store")
+    for part in range(2):
+        frame_store.append(runs.where(F.col("frame_id") % 32 < 16 if part == 0 else F.col("frame_id") % 32 >= 16), path, size=16)
+    kept = frame_store.select(spark, path, start=5, stop=10**12, skip=35, size=16)
+    return _round(frames.unpack_frames(kept), 6, "x", "y", "z")
+
+
 @query
 def bond_moments_of_drops(spark, sf):
     """Bond statistics from moments that were stored drop by drop."""
