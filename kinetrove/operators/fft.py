@@ -65,6 +65,7 @@ def autocorrelation_counts(ones: DataFrame, shape: DataFrame) -> DataFrame:
     spectra are added over objects before the one inverse transform per run. Counts are rounded to
     integers: they are exact while the rounding error of the transform, about 1e-16 * log2(N) * the largest
     count, stays below one half (a largest count of 10**12 leaves a margin of more than a hundred).
+    A value more than a quarter away from an integer is an error.
     """
     bits = F.ceil(F.log2(F.col("n_frames") * 2)).cast("int")
     half = F.expr("_b div 2").cast("int")
@@ -94,7 +95,10 @@ def autocorrelation_counts(ones: DataFrame, shape: DataFrame) -> DataFrame:
 
     def counts(table: pa.Table) -> pa.Table:
         x, n1, n2, k = _outer(table)
-        num = np.rint(x.real / (n1 * n2)).astype(np.int64)
+        exact = x.real / (n1 * n2)
+        num = np.rint(exact).astype(np.int64)
+        if np.abs(exact - num).max() > 0.25:
+            raise ArithmeticError(f"counts of {table['run_id'][0].as_py()} are too large for double precision; bound the lag")
         return _columns(n2, run_id=table["run_id"][0].as_py(), lag=k + n1 * np.arange(n2, dtype=np.int64), num=num)
 
     lags = _grouped(_round_one(back, ["run_id"], "run_id string"), "run_id", "k1").applyInArrow(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,16 +13,19 @@ BROADCAST_BYTES = 8 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where none is set, one beside the warehouse's tables.
+    """The folder named by spark.checkpoint.dir, which the driver and all executors share.
 
-    Both are shared by the driver and all executors.
+    A session on one machine may do without: it uses a folder beside the warehouse's tables.
     """
     folder = (
         spark.conf.get("spark.checkpoint.dir", None)
         or spark.sparkContext.getConf().get("spark.checkpoint.dir")
         or spark.sparkContext.getCheckpointDir()
-        or spark.conf.get("spark.sql.warehouse.dir") + "/_staged"
     )
+    if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = spark.conf.get("spark.sql.warehouse.dir") + "/_staged"
     return folder.rstrip("/")
 
 
@@ -50,10 +54,10 @@ def stage(df: DataFrame, name: str = "kinetrove") -> DataFrame:
 
 def stored_bytes(df: DataFrame) -> int:
     """Bytes of the files that a staged table is read from."""
-    total = 0
-    for file in df.inputFiles():
-        at, store = _store(df.sparkSession, file)
-        total += store.getFileStatus(at).getLen()
+    total, files = 0, set(df.inputFiles())
+    for folder in {file.rpartition("/")[0] for file in files}:
+        at, store = _store(df.sparkSession, folder)
+        total += sum(status.getLen() for status in store.listStatus(at) if status.isFile())
     return total
 
 
