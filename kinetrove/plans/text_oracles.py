@@ -77,3 +77,6 @@ ORACLES["series_csv"] = ORACLES["bond_series"]
 ORACLES["state_files"] = f"""WITH {RUNS}, s AS (SELECT *, CASE WHEN frame_id*10<9*count(*) OVER (PARTITION BY run_id) THEN (vec_id%4)::VARCHAR ELSE 'unknown' END AS state FROM runs)
 SELECT state, (a+1)::INT AS atom_id, ['C','H','O','N'][a%4+1] AS element, round(10.0::DOUBLE*embedding[3*a+1]::DOUBLE,7) AS x,
   round(10.0::DOUBLE*embedding[3*a+2]::DOUBLE,7) AS y, round(10.0::DOUBLE*embedding[3*a+3]::DOUBLE,7) AS z FROM s, (SELECT unnest(range(21)) AS a)"""
+_NEAREST = "+".join(f"pow((a.{c}-b.{c})-12.0::DOUBLE*round_even((a.{c}-b.{c})/12.0::DOUBLE,0),2)" for c in "xyz")
+ORACLES["tiled_pairs"] = f"""WITH {TRAJ}, p AS (SELECT a.run_id, a.frame_id, a.atom_id::BIGINT AS i, b.atom_id::BIGINT AS j, {_NEAREST} AS d2
+  FROM traj a JOIN traj b ON a.frame_id=b.frame_id AND a.atom_id<b.atom_id) SELECT run_id, frame_id, i, j, round(d2,6) AS d2 FROM p WHERE d2<=2.25::DOUBLE"""

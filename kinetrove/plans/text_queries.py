@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinetrove.operators import histogram, rdf, series, states, topology
+from kinetrove.operators import histogram, rdf, series, states, tiles, topology
+from kinetrove.operators.frames import unpack_frames
 from kinetrove.plans import tables as T
 from kinetrove.plans.queries import CONNECT, DT, SAMPLING, N_STATES, _bond, _round, query
 from kinetrove.plans.staging import attach, scratch, stage
@@ -270,6 +271,13 @@ def static_bonds(spark, sf):
     return _round(topology.static_bonds(T.traj_frames(spark, sf), CONNECT), 6, "distance")
 
 
+@query
+def tiled_pairs(spark, sf):
+    """Close pairs in a periodic cell, each frame cut into tiles."""
+    pairs = tiles.tile_pairs(unpack_frames(T.traj_frames(spark, sf)), CONNECT, edge=4.0, cell=T.CELL)
+    return pairs.select("run_id", "frame_id", "i", "j", F.round("d2", 6).alias("d2"))
+
+
 @query
 def solute_bonds(spark, sf):
     """Bonds among the first twelve atoms only, averaged over all frames."""
