@@ -4,8 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kinetrove.operators import residence, topology
+from kinetrove.operators import residence, states, topology
 from kinetrove.streaming import moments
+from kinetrove.streaming import states as growing
 from kinetrove.streaming import residence as online
 
 OCCUPANCY = "run_id string, object_id long, frame_id long, h int"
@@ -139,3 +140,35 @@ def test_running_stats_in_update_mode(spark, make_frames, tmp_path):
     again = spark.readStream.schema(frames.schema).option("maxFilesPerTrigger", 1).parquet(folder)
     assert moments.stream_moments(again, bonds, "bond", path, str(tmp_path / "c")).awaitTermination(200)
     assert close(moments.statistics(moments.read_moments(spark, path), "bond").collect(), want)
+
+
+@pytest.mark.parametrize("log_first", [True, False])
+def test_states_and_frames_that_both_grow(spark, tmp_path, log_first):
+    frames = spark.createDataFrame([(r, f, float(f)) for r in ("a", "b") for f in range(30)], "run_id string, frame_id long, x double")
+    # Run a's log is complete, b's ends early and lacks one row.
+    log = spark.createDataFrame([(r, f, f % 3) for r, n in (("a", 30), ("b", 20)) for f in range(n) if (r, f) != ("b", 7)], "run_id string, row_idx long, state int")
+    folders, out = [str(tmp_path / x) for x in ("frames", "log")], str(tmp_path / "out")
+
+    def drop(which, low, high, end=False):
+        rows, number = ((frames, "frame_id"), (log, "row_idx"))[which]
+        part = rows.where((F.col(number) >= low) & (F.col(number) < high))
+        part = part.unionByName(growing.closing_row(rows, number, 30, 10)) if end else part
+        part.coalesce(1).write.mode("append").parquet(folders[which])
+
+    def run():
+        read = lambda df, folder: spark.readStream.schema(df.schema).parquet(folder)
+        joined = growing.frames_by_state_stream(read(frames, folders[0]), read(log, folders[1]), delay=10)
+        query = joined.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        assert query.awaitTermination(200)
+
+    one, two = (1, 0) if log_first else (0, 1)
+    drop(one, 0, 15)
+    drop(two, 0, 8)
+    run()
+    drop(two, 8, 30, end=True)
+    drop(one, 15, 30, end=True)
+    run()
+    want = states.frames_by_state(frames, log)
+    got = spark.read.parquet(out).where("run_id <> ''")
+    assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
+    assert got.where("state = 'unknown'").count() == 11
