@@ -113,7 +113,7 @@ def select_pairs(bags: list[np.ndarray], labels: np.ndarray, least_g: float, ter
     return ids[varied][order[best[order] >= least_g]]
 
 
-def fit(bags: list[np.ndarray], labels: np.ndarray, weight: np.ndarray, *, buckets: int, least_g: float, features: int, factors: int, steps: int, rate: float, decay: float, least_pair_g: float = 40.0, pair_terms: int = 1024) -> Machine:
+def fit(bags: list[np.ndarray], labels: np.ndarray, weight: np.ndarray, *, buckets: int, least_g: float, features: int, factors: int, steps: int, rate: float, decay: float, least_pair_g: float = 100.0, pair_terms: int = 1024) -> Machine:
     """Adam over all rows at once; gradients of the weighted log loss."""
     alone, paired = select(bags, labels, least_g, features), select_pairs(bags, labels, least_pair_g, pair_terms)
     chosen = np.concatenate([alone, paired[~np.isin(paired, alone)]])[:features]
@@ -148,7 +148,7 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, weight: np.ndarray, *, bucke
     return Machine(place, buckets, float(theta["b"][0]), theta["w"], theta["v"])
 
 
-def train(docs: DataFrame, labels: DataFrame, *, rows: int = 6000, buckets: int = 1 << 20, least_g: float = 12.0, features: int = 1 << 14, factors: int = 8, steps: int = 500, rate: float = 0.05, decay: float = 1e-4) -> Machine:
+def train(docs: DataFrame, labels: DataFrame, *, rows: int = 6000, buckets: int = 1 << 20, least_g: float = 12.0, features: int = 1 << 14, factors: int = 8, steps: int = 300, rate: float = 0.05, decay: float = 1e-4) -> Machine:
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [sorted({bucket(t, buckets) for w in set(WORDS.findall(x.as_py().lower())) for t in terms(w)}) for x in batch["text"]]
