@@ -45,7 +45,7 @@ _SHIFT = _RNG.integers(0, 1 << 63, SAMPLES, np.uint64)
 _MIX = _RNG.integers(0, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def _spread(x: np.ndarray) -> np.ndarray:
+def spread(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers after which every bit depends on all."""
     x = (x ^ (x >> np.uint64(32))) * _MIX[0]
     x = (x ^ (x >> np.uint64(29))) * _MIX[1]
@@ -64,7 +64,7 @@ def shingles(text: bytes, size: int) -> np.ndarray:
     found = np.full(len(words) - n + 1, n, np.uint64)
     for k in range(n):
         found = found * _MIX[2] + hashed[k : len(words) - n + 1 + k]
-    return np.unique(_spread(found))
+    return np.unique(spread(found))
 
 
 def samples(hashes: np.ndarray) -> np.ndarray:
@@ -80,13 +80,13 @@ def band_keys(least: np.ndarray) -> np.ndarray:
     bands = least[: BANDS * ROWS].reshape(BANDS, ROWS)
     keys = np.arange(BANDS, dtype=np.uint64)
     for k in range(ROWS):
-        keys = _spread(keys * _MIX[3] + bands[:, k])
+        keys = spread(keys * _MIX[3] + bands[:, k])
     return keys
 
 
 def odd_sketch(least: np.ndarray) -> np.ndarray:
     """Parity bitmap of the samples as 64-bit words: bit k is set if an odd number of them falls on k."""
-    at = _spread(least + np.arange(SAMPLES, dtype=np.uint64) * _MIX[4]) & np.uint64(BITS - 1)
+    at = spread(least + np.arange(SAMPLES, dtype=np.uint64) * _MIX[4]) & np.uint64(BITS - 1)
     odd = np.bincount(at.astype(np.int64), minlength=BITS) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
 
@@ -176,9 +176,8 @@ class Forest:
         return a != b
 
 
-def sketches_meet(percent: int) -> Callable:
-    """Yields, for every left payload, which right ones may be similar enough."""
-    most = most_odd(percent)
+def sketches_meet(most: int) -> Callable:
+    """Yields, for every left payload, which right ones differ in at most ``most`` bits."""
 
     def compare(left: list[bytes], right: list[bytes]) -> Iterator[np.ndarray]:
         other = np.frombuffer(b"".join(right), np.uint64).reshape(len(right), -1)
@@ -260,16 +259,25 @@ def classes(docs: DataFrame, *, shingle: int = 5, percent: int = 85, block: int
     if percent < 80:
         raise ValueError("the bands are made for similarities of 0.8 and more")
     rows = signatures(docs, shingle)
-    first = F.min_by(F.struct("doc_id", "text_hash", "keys", "sketch"), "row").alias("first")
+    return rows, linked_sets(docs, rows, lambda distinct: distinct.select("class", F.explode("keys").alias("part")), most_odd(percent), shingle=shingle, percent=percent, block=block)
+
+
+def linked_sets(docs: DataFrame, rows: DataFrame, banded: Callable, most: int, *, shingle: int, percent: int, block: int) -> DataFrame:
+    """(digest, component_id) of every distinct set: links between sets that meet in a bucket, confirmed on full sets.
+
+    ``rows``: row, doc_id, text_hash, n, digest, sketch of every row, and what ``banded`` turns into (class, part), the
+    buckets of a set. Sets whose sketches differ in more than ``most`` bits are not compared.
+    """
+    first = F.min_by(F.struct("doc_id", "text_hash", *(c for c in ("n", "keys", "sketch") if c in rows.columns)), "row").alias("first")
     distinct = stage(rows.where("n > 0").groupBy("digest").agg(F.min("row").alias("class"), F.min("doc_id").alias("least"), first).select("digest", "class", "least", "first.*"), "classes")
-    banded = distinct.select("class", F.explode("keys").alias("part"))
+    banded = banded(distinct)
     shared = banded.groupBy("part").agg(F.min("class").alias("leader"), F.count("*").alias("n")).where("n > 1")
     buckets = stage(banded.join(shared, "part"), "buckets")
     sketches = stage(distinct.join(buckets.select("class").distinct(), "class", "left_semi").select("class", "sketch", "doc_id", "text_hash"), "sketches")
     # 1. stars
     pairs = buckets.where("class <> leader").select(F.col("leader").alias("u"), F.col("class").alias("v")).distinct()
     side = lambda c, name: sketches.select(F.col("class").alias(c), F.col("sketch").alias(name))
-    pairs = pairs.join(side("u", "_a"), "u").join(side("v", "_b"), "v").where(_odd_bits(F.col("_a"), F.col("_b")) <= most_odd(percent))
+    pairs = pairs.join(side("u", "_a"), "u").join(side("v", "_b"), "v").where(_odd_bits(F.col("_a"), F.col("_b")) <= most)
     pairs = stage(pairs.select("u", "v"), "star-pairs")
     larger = buckets.where("n > 2").select("class")
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("class")).unionByName(larger).distinct()
@@ -280,7 +288,7 @@ def classes(docs: DataFrame, *, shingle: int = 5, percent: int = 85, block: int
     comp = F.coalesce("component", "class").alias("comp")
     members = buckets.where("n > 2").join(sketches.select("class", "sketch"), "class").join(joined, "class", "left")
     members = members.select("part", F.col("class").alias("id"), comp, _packed(F.col("sketch")).alias("payload"))
-    may = stage(joined_in_blocks(members, sketches_meet(percent), block), "may-link")
+    may = stage(joined_in_blocks(members, sketches_meet(most), block), "may-link")
     # 3. groups of what may link, on full sets
     label = joined.select("class", "component")
     ends = may.join(label.withColumnRenamed("class", "u").withColumnRenamed("component", "_cu"), "u", "left").join(label.withColumnRenamed("class", "v").withColumnRenamed("component", "_cv"), "v", "left")
@@ -290,7 +298,7 @@ def classes(docs: DataFrame, *, shingle: int = 5, percent: int = 85, block: int
     nodes = components(links.unionByName(more)).select(F.col("node").alias("class"), "component")
     named = distinct.select("digest", "class", "least").join(nodes, "class", "left").withColumn("component", F.coalesce("component", "class"))
     best = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    return rows, stage(named.select("digest", "component").join(best, "component").select("digest", "component_id"), "set-classes")
+    return stage(named.select("digest", "component").join(best, "component").select("digest", "component_id"), "set-classes")
 
 
 def _packed(words: Column) -> Column:

@@ -77,10 +77,10 @@ def test_odd_rows(odd, empty):
     assert minhash.near_duplicates(empty).columns == ["doc_id", "n_shingles", "component_id", "kept"]
 
 
-def brute_odd(rows):
+def brute_odd(rows, percent=85):
     """Empty sets are linked with nothing: each such row stands for itself."""
     filled = [r for r in rows if brute_set(r.text)]
-    return brute(filled) + [(r.doc_id, 0, r.doc_id, True) for r in rows if not brute_set(r.text)]
+    return brute(filled, percent) + [(r.doc_id, 0, r.doc_id, True) for r in rows if not brute_set(r.text)]
 
 
 def test_sketch_estimates_similarity_and_bands_meet():

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from kinetrove.llm import golay, simhash
 from kinetrove.llm.components import components
+from tests.llm.test_minhash import brute, brute_odd, brute_set, edited
 
 
 def test_golay_code_is_perfect():
@@ -111,3 +112,48 @@ def test_unique_keeps_the_smallest(spark, odd, empty):
     assert kept.columns == docs.columns
     assert sorted({r.doc_id for r in kept.collect()}) == sorted({c for _, _, c in brute_classes(docs.collect())})
     assert simhash.unique(empty).count() == 0
+
+
+def test_similar_texts_go_and_others_stay(spark):
+    """Copies with words replaced, one for each of 300 texts: recall by similarity, and nothing below 0.8 is linked."""
+    rng, rows, like = random.Random(8), [], {}
+    for k in range(300):
+        base = [f"w{rng.randrange(3000)}" for _ in range(rng.choice((40, 120, 400, 900)))]
+        n = len(base)
+        text = " ".join(base)
+        rows.append((2 * k, text))
+        copy = edited(rng, base, max(1, round(n * rng.choice((0.004, 0.013, 0.015, 0.021)))))
+        rows.append((2 * k + 1, copy))
+        a, b = brute_set(text), brute_set(copy)
+        like[2 * k + 1] = len(a & b) / len(a | b)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.unique_texts(docs).collect()}
+    assert all(2 * k in kept for k in range(300)) and all(i in kept for i, j in like.items() if j < 0.8)
+    for low, high, least in ((0.8, 0.85, 0.8), (0.85, 0.9, 0.9), (0.9, 1.0, 0.97)):
+        near = [i for i, j in like.items() if low <= j < high]
+        assert len(near) > 20 and sum(i not in kept for i in near) >= least * len(near), (low, len(near))
+    near = [i for i, j in like.items() if j >= 0.8]
+    assert sum(i not in kept for i in near) >= 0.9 * len(near)
+
+
+def test_similar_texts_of_odd_rows_and_documents(documents, odd, empty):
+    docs = odd.where("doc_id IS NOT NULL")
+    kept = simhash.unique_texts(odd)
+    assert kept.columns == odd.columns
+    assert kept.where("doc_id IS NULL").count() == odd.where("doc_id IS NULL").count()
+    assert sorted({r.doc_id for r in kept.collect() if r.doc_id is not None}) == sorted({c for _, _, c, _ in brute_odd(docs.collect(), 80)})
+    assert simhash.unique_texts(empty).count() == 0
+    near = documents.limit(60).withColumn("text", F.concat("text", F.lit(" one more tail"))).withColumn("doc_id", F.col("doc_id") + 10_000)
+    both = documents.unionByName(near)
+    kept, want = {r.doc_id for r in simhash.unique_texts(both, block=7).collect()}, {c for _, _, c, _ in brute(both.collect(), 80)}
+    # Nothing goes that should stay; of what should go, texts of a few words at just 0.8 may be missed.
+    assert kept >= want and len(kept - want) <= 0.05 * (both.count() - len(want))
+
+
+def test_wide_keys_meet_within_size_and_errors():
+    assert simhash.most_wide(80) < simhash.WIDE * 0.3 and simhash.wide_fingerprint(np.zeros(0, np.uint64)) == bytes(simhash.WIDE // 8)
+    one = np.random.default_rng(3).integers(0, 1 << 63, 3000, np.uint64)
+    bits = np.unpackbits(np.frombuffer(simhash.wide_fingerprint(one), np.uint8))
+    assert 0.4 < bits.mean() < 0.6
+    half = np.unpackbits(np.frombuffer(simhash.wide_fingerprint(one[:2700]), np.uint8))
+    assert 20 < (bits != half).sum() < simhash.most_wide(80)
