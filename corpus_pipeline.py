@@ -2,7 +2,8 @@
 
 1. toxicity: documents that the factorization machine scores 0.3 or more go.
 2. exact: of texts equal up to white space the longest stays.
-3. near: of documents whose SimHash fingerprints are linked the smallest doc_id stays.
+3. near: of documents linked by five-word shingles at a similarity of 0.8 or more, found by SimHash keys and confirmed
+   on full sets, the smallest doc_id stays.
 4. mixing: documents are repeated or left out so that sources reach their target weights.
 5. packing: what is left becomes token sequences; one row per piece.
 
@@ -29,7 +30,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.unique(docs, shingle=3, bits=3)
+    return simhash.unique_texts(docs, shingle=5, percent=80)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
