@@ -9,13 +9,14 @@ the full sets.
 
 Equal sets are one class, so copies are never paired. No bucket gives all its pairs:
 
-1. stars: each class is held against the smallest one of its bucket, by sketch and then by full set, and what links
-   is joined to components. A bucket of near copies costs one candidate each.
+1. stars: each class is held against the smallest ones of its buckets, by sketch and then by full set, and what links
+   is joined to components. Of the many smallest ones that a near copy meets, the ``TRIES`` it shares most buckets with
+   are taken, so a group of near copies costs that many candidates each. Buckets of two end here, so all their pairs are taken.
 2. rest: where a bucket still has several components, tasks compare the sketches of blocks of its members, those
    outside of its largest component against all, and give a spanning forest of what may link.
 3. groups of what may link are compared on full sets, again in blocks, and give a spanning forest of what does link.
 
-So no link between different components is lost, and tasks hold two blocks at most. Work grows with the square of a
+What stars leave out, step 2 compares: no link between different components is lost. Tasks hold two blocks at most. Work grows with the square of a
 group only for members that resemble each other without being linked to its largest component.
 
 A-Z are lower-cased; words are runs of other than ASCII white space; fewer words than a shingle are one shingle. Null
@@ -31,7 +32,7 @@ from math import ceil, exp, sqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinetrove.llm.common import stage, text_bytes
@@ -39,6 +40,8 @@ from kinetrove.llm.components import components
 from kinetrove.plans.staging import BROADCAST_BYTES, stored_bytes
 
 SAMPLES, BANDS, ROWS, BITS = 256, 42, 6, 1024
+#: Leaders of buckets of three and more that a class is held against.
+TRIES = 4
 _RNG = np.random.default_rng(20)
 _SCALE = _RNG.integers(0, 1 << 63, SAMPLES, np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFT = _RNG.integers(0, 1 << 63, SAMPLES, np.uint64)
@@ -262,6 +265,13 @@ def classes(docs: DataFrame, *, shingle: int = 5, percent: int = 85, block: int
     return rows, linked_sets(docs, rows, lambda distinct: distinct.select("class", F.explode("keys").alias("part")), most_odd(percent), shingle=shingle, percent=percent, block=block)
 
 
+def stars(buckets: DataFrame) -> DataFrame:
+    """(u, v): what to hold the class v against; ``buckets``: part, class, leader, n. A class has as many pairs as keys otherwise."""
+    pairs = buckets.where("class <> leader").groupBy(F.col("leader").alias("u"), F.col("class").alias("v")).agg(F.count("*").alias("shared"), F.min("n").alias("least"))
+    nth = F.row_number().over(Window.partitionBy("v").orderBy(F.desc("shared"), "u"))
+    return pairs.withColumn("nth", nth).where((F.col("nth") <= TRIES) | (F.col("least") == 2)).select("u", "v")
+
+
 def linked_sets(docs: DataFrame, rows: DataFrame, banded: Callable, most: int, *, shingle: int, percent: int, block: int) -> DataFrame:
     """(digest, component_id) of every distinct set: links between sets that meet in a bucket, confirmed on full sets.
 
@@ -275,7 +285,7 @@ def linked_sets(docs: DataFrame, rows: DataFrame, banded: Callable, most: int, *
     buckets = stage(banded.join(shared, "part"), "buckets")
     sketches = stage(distinct.join(buckets.select("class").distinct(), "class", "left_semi").select("class", "sketch", "doc_id", "text_hash"), "sketches")
     # 1. stars
-    pairs = buckets.where("class <> leader").select(F.col("leader").alias("u"), F.col("class").alias("v")).distinct()
+    pairs = stars(buckets)
     side = lambda c, name: sketches.select(F.col("class").alias(c), F.col("sketch").alias(name))
     pairs = pairs.join(side("u", "_a"), "u").join(side("v", "_b"), "v").where(_odd_bits(F.col("_a"), F.col("_b")) <= most)
     pairs = stage(pairs.select("u", "v"), "star-pairs")
@@ -287,17 +297,20 @@ def linked_sets(docs: DataFrame, rows: DataFrame, banded: Callable, most: int, *
     # 2. what may link in buckets of several components
     comp = F.coalesce("component", "class").alias("comp")
     members = buckets.where("n > 2").join(sketches.select("class", "sketch"), "class").join(joined, "class", "left")
-    members = members.select("part", F.col("class").alias("id"), comp, _packed(F.col("sketch")).alias("payload"))
+    # Read three times: counted, and dealt to both sides.
+    members = stage(members.select("part", F.col("class").alias("id"), comp, _packed(F.col("sketch")).alias("payload")), "members")
     may = stage(joined_in_blocks(members, sketches_meet(most), block), "may-link")
     # 3. groups of what may link, on full sets
     label = joined.select("class", "component")
     ends = may.join(label.withColumnRenamed("class", "u").withColumnRenamed("component", "_cu"), "u", "left").join(label.withColumnRenamed("class", "v").withColumnRenamed("component", "_cv"), "v", "left")
-    groups = stage(components(ends.select(F.coalesce("_cu", "u").alias("u"), F.coalesce("_cv", "v").alias("v"))).select(F.col("node").alias("comp"), F.col("component").alias("part")), "may-groups")
+    ends = ends.select(F.coalesce("_cu", "u").alias("u"), F.coalesce("_cv", "v").alias("v")).distinct()  # the same in many buckets
+    groups = stage(components(ends).select(F.col("node").alias("comp"), F.col("component").alias("part")), "may-groups")
     full = sets.join(joined, "class", "left").select(F.col("class").alias("id"), comp, F.col("set").alias("payload")).join(groups, "comp")
     more = stage(joined_in_blocks(full.select("part", "id", "comp", "payload"), sets_meet(percent), block), "more-links")
     nodes = components(links.unionByName(more)).select(F.col("node").alias("class"), "component")
     named = distinct.select("digest", "class", "least").join(nodes, "class", "left").withColumn("component", F.coalesce("component", "class"))
-    best = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    # Written first, so that the rows of a large component can be split among tasks.
+    best = stage(named.groupBy("component").agg(F.min("least").alias("component_id")), "component-ids")
     return stage(named.select("digest", "component").join(best, "component").select("digest", "component_id"), "set-classes")
 
 

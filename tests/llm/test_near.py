@@ -4,9 +4,9 @@ import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
-from kinetrove.llm import golay, simhash
+from kinetrove.llm import golay, minhash, simhash
 from kinetrove.llm.components import components
-from tests.llm.test_minhash import brute, brute_odd, brute_set, edited
+from tests.llm.test_minhash import brute, brute_odd, brute_set, edited, found
 
 
 def test_golay_code_is_perfect():
@@ -150,6 +150,24 @@ def test_similar_texts_of_odd_rows_and_documents(documents, odd, empty):
     assert kept >= want and len(kept - want) <= 0.05 * (both.count() - len(want))
 
 
+def test_group_of_near_copies_gives_few_pairs(spark, monkeypatch):
+    """200 texts of one origin, many of them not linked: some candidates for each, not one for each key, and links as before."""
+    rng, seen, stage = random.Random(11), {}, minhash.stage
+
+    def kept_by_name(df, name):
+        seen[name] = stage(df, name)
+        return seen[name]
+
+    base = [f"w{rng.randrange(3000)}" for _ in range(300)]
+    docs = spark.createDataFrame([(k, edited(rng, base, rng.randrange(1, 9))) for k in range(200)], "doc_id long, text string")
+    monkeypatch.setattr(minhash, "stage", kept_by_name)
+    kept, want = {r.doc_id for r in simhash.unique_texts(docs).collect()}, {c for _, _, c, _ in brute(docs.collect(), 80)}
+    assert kept >= want and len(kept - want) <= 0.05 * (200 - len(want)) and 20 < len(want) < 180
+    twos = seen["buckets"].where("n = 2 AND class <> leader").select("leader", "class").distinct().count()
+    assert seen["star-pairs"].count() <= 4 * 200 + twos
+    assert found(minhash.near_duplicates(docs)) == brute(docs.collect())
+
+
 def test_wide_keys_meet_within_size_and_errors():
     assert simhash.most_wide(80) < simhash.WIDE * 0.3 and simhash.wide_fingerprint(np.zeros(0, np.uint64)) == bytes(simhash.WIDE // 8)
     one = np.random.default_rng(3).integers(0, 1 << 63, 3000, np.uint64)
