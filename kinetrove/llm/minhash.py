@@ -161,6 +161,10 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
+#: Blocks in which a member takes part.
+_AT = "array<struct<i:int,j:int,side:int>>"
+
+
 class Forest:
     """Union-find over labels; ``join`` tells whether two were apart."""
 
@@ -223,12 +227,15 @@ def joined_in_blocks(rows: DataFrame, compare: Callable, block: int) -> DataFram
     parts = parts.select("part", F.col("top.comp").alias("_top"), F.ceil((F.col("n") - F.col("top.n")) / block).cast("int").alias("_few"), F.ceil(F.col("n") / block).cast("int").alias("_many"))
     dealt = rows.join(stage(parts, "parts"), "part")
     place = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    at = lambda i, j, side: F.struct(i.alias("i"), j.alias("j"), F.lit(side).alias("side"))
+    each = lambda n, one: F.transform(F.sequence(F.lit(0), n - 1), one)
     few, many = F.col("_few"), F.col("_many")
-    left = dealt.where("comp <> _top").withColumn("i", place(few)).withColumn("j", each(many)).withColumn("side", F.lit(0))
-    right = dealt.withColumn("j", place(many)).withColumn("i", each(few)).withColumn("side", F.lit(1))
+    left = F.when(F.col("comp") != F.col("_top"), each(many, lambda j: at(place(few), j, 0)))
+    right = each(few, lambda i: at(i, place(many), 1))
     names = ["part", "i", "j", "side", "id", "comp", "payload"]
-    meeting = left.select(*names).unionByName(right.select(*names)).repartition("part", "i", "j").sortWithinPartitions("part", "i", "j", "side")
+    # Both sides of a row at once, so that members meet their parts in one join.
+    placed = dealt.withColumn("_at", F.explode(F.concat(F.coalesce(left, F.array().cast(_AT)), right)))
+    meeting = placed.select("part", "_at.*", "id", "comp", "payload").select(*names).repartition("part", "i", "j").sortWithinPartitions("part", "i", "j", "side")
 
     def links(held: list[list[tuple]]) -> Iterator[tuple[int, int]]:
         forest = Forest()
@@ -297,7 +304,7 @@ def linked_sets(docs: DataFrame, rows: DataFrame, banded: Callable, most: int, *
     # 2. what may link in buckets of several components
     comp = F.coalesce("component", "class").alias("comp")
     members = buckets.where("n > 2").join(sketches.select("class", "sketch"), "class").join(joined, "class", "left")
-    # Read three times: counted, and dealt to both sides.
+    # Read twice: counted, and dealt to blocks.
     members = stage(members.select("part", F.col("class").alias("id"), comp, _packed(F.col("sketch")).alias("payload")), "members")
     may = stage(joined_in_blocks(members, sketches_meet(most), block), "may-link")
     # 3. groups of what may link, on full sets
@@ -307,7 +314,10 @@ def linked_sets(docs: DataFrame, rows: DataFrame, banded: Callable, most: int, *
     groups = stage(components(ends).select(F.col("node").alias("comp"), F.col("component").alias("part")), "may-groups")
     full = sets.join(joined, "class", "left").select(F.col("class").alias("id"), comp, F.col("set").alias("payload")).join(groups, "comp")
     more = stage(joined_in_blocks(full.select("part", "id", "comp", "payload"), sets_meet(percent), block), "more-links")
-    nodes = components(links.unionByName(more)).select(F.col("node").alias("class"), "component")
+    nodes = joined
+    if not more.isEmpty():
+        ends = joined.select(F.col("class").alias("u"), F.col("component").alias("v")).unionByName(more)
+        nodes = components(ends).select(F.col("node").alias("class"), "component")
     named = distinct.select("digest", "class", "least").join(nodes, "class", "left").withColumn("component", F.coalesce("component", "class"))
     # Written first, so that the rows of a large component can be split among tasks.
     best = stage(named.groupBy("component").agg(F.min("least").alias("component_id")), "component-ids")

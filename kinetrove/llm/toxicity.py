@@ -33,6 +33,8 @@ from kinetrove.llm.common import Memory, held_out, labelled_sample, small_batche
 WORDS = re.compile(r"[^\W\d_]+")
 STEMS = (4, 5)
 REMEMBERED = 150_000
+#: Rows that the learning holds as numbers at once.
+AT_ONCE = 512
 
 
 def terms(word: str) -> list[str]:
@@ -62,12 +64,33 @@ class Machine:
         return tuple(f for f in found if f is not None)
 
 
+def count(bags: list[np.ndarray], size: int) -> np.ndarray:
+    """How often each of the buckets below ``size`` occurs."""
+    found = np.zeros(size, np.int64)
+    for at in range(0, len(bags), AT_ONCE):
+        found += np.bincount(np.concatenate(bags[at : at + AT_ONCE]), minlength=size)
+    return found
+
+
+def beyond(bags: list[np.ndarray]) -> int:
+    """The first bucket number that is larger than all."""
+    return max((int(b.max()) + 1 for b in bags if len(b)), default=0)
+
+
+def lookup(chosen: np.ndarray, size: int) -> np.ndarray:
+    """Place among ``chosen`` of every bucket below ``size``, -1 for others."""
+    place = np.full(size, -1, np.int32)
+    place[chosen] = np.arange(len(chosen))
+    return place
+
+
 def select(bags: list[np.ndarray], labels: np.ndarray, least_g: float, features: int) -> np.ndarray:
     """Buckets by their G statistic, the largest first."""
-    ids, inverse = np.unique(np.concatenate(bags), return_inverse=True)
-    toxic = np.repeat(labels, [len(b) for b in bags])
+    size = beyond(bags)
+    counts = np.stack([count([b for b, label in zip(bags, labels) if label == k], size) for k in (0, 1)])
+    ids = np.flatnonzero(counts.any(axis=0))
     n = np.array([(labels == 0).sum(), (labels == 1).sum()], float)
-    counts = np.stack([np.bincount(inverse[toxic == k], minlength=len(ids)) for k in (0, 1)]).astype(float)
+    counts = counts[:, ids].astype(float)
     total, seen = n.sum(), counts.sum(axis=0)
 
     def part(observed: np.ndarray, expected: np.ndarray) -> np.ndarray:
@@ -80,16 +103,17 @@ def select(bags: list[np.ndarray], labels: np.ndarray, least_g: float, features:
 
 def select_pairs(bags: list[np.ndarray], labels: np.ndarray, least_g: float, terms: int) -> np.ndarray:
     """Buckets of pairs whose four cells tell the labels apart by ``least_g`` more than either bucket does, best first."""
-    ids, place, seen = np.unique(np.concatenate(bags), return_inverse=True, return_counts=True)
+    seen = count(bags, beyond(bags))
+    ids = np.flatnonzero(seen)
+    seen = seen[ids]
     varied = np.lexsort((ids, -np.minimum(seen, len(bags) - seen)))[:terms]
-    column = np.full(len(ids), -1)
-    column[varied] = np.arange(len(varied))
-    rows = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
-    at = column[place]
-    x = np.zeros((len(bags), len(varied)), np.float32)
-    x[rows[at >= 0], at[at >= 0]] = 1
+    column = lookup(ids[varied], beyond(bags))
     n = [int((labels == k).sum()) for k in (0, 1)]
-    parts = [x[labels == k] for k in (0, 1)]
+    parts = [np.zeros((n[k], len(varied)), np.float32) for k in (0, 1)]
+    for k in (0, 1):
+        for row, i in zip(parts[k], np.flatnonzero(labels == k)):
+            at = column[bags[i]]
+            row[at[at >= 0]] = 1
     alone = [p.sum(axis=0, dtype=np.float64) for p in parts]
 
     def told(cells: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -114,33 +138,37 @@ def select_pairs(bags: list[np.ndarray], labels: np.ndarray, least_g: float, ter
 
 
 def fit(bags: list[np.ndarray], labels: np.ndarray, weight: np.ndarray, *, buckets: int, least_g: float, features: int, factors: int, steps: int, rate: float, decay: float, least_pair_g: float = 100.0, pair_terms: int = 1024) -> Machine:
-    """Adam over all rows at once; gradients of the weighted log loss."""
+    """Adam on the weighted log loss; a step's gradient is added up over blocks of rows, so that memory stays small."""
     alone, paired = select(bags, labels, least_g, features), select_pairs(bags, labels, least_pair_g, pair_terms)
     chosen = np.concatenate([alone, paired[~np.isin(paired, alone)]])[:features]
     place = {int(b): i for i, b in enumerate(chosen)}
-    rows = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
-    cols = np.array([place.get(int(b), -1) for bag in bags for b in bag], np.int64)
-    rows, cols = rows[cols >= 0], cols[cols >= 0]
-    n, m = len(bags), len(chosen)
+    column = lookup(chosen, beyond(bags))
+    known = [at[at >= 0] for at in (column[bag] for bag in bags)]
+    m = len(chosen)
+    blocks = []
+    for at in range(0, len(bags), AT_ONCE):
+        part = known[at : at + AT_ONCE]
+        blocks.append((slice(at, at + len(part)), np.repeat(np.arange(len(part), dtype=np.int32), [len(b) for b in part]), np.concatenate(part)))
     rng = np.random.default_rng(7)
     share = np.average(labels, weights=weight)
     theta = {"b": np.array([np.log(share / (1 - share))]), "w": np.zeros(m), "v": rng.normal(0, 0.05, (m, factors))}
     first, second = ({k: np.zeros_like(x) for k, x in theta.items()} for _ in range(2))
     scale = weight / weight.sum()
 
-    def by_row(x: np.ndarray) -> np.ndarray:
+    def by_row(rows: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
         return np.stack([np.bincount(rows, x[:, f], n) for f in range(x.shape[1])], axis=1)
 
     for step in range(1, steps + 1):
-        v = theta["v"][cols]
-        sums = by_row(v)
-        logit = theta["b"][0] + np.bincount(rows, theta["w"][cols], n) + 0.5 * ((sums**2).sum(axis=1) - np.bincount(rows, (v**2).sum(axis=1), n))
-        error = scale * (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - labels)
-        pull = error[rows, None] * (sums[rows] - v)
-        grad = {
-            "b": np.array([error.sum()]), "w": np.bincount(cols, error[rows], m) + decay * theta["w"],
-            "v": np.stack([np.bincount(cols, pull[:, f], m) for f in range(factors)], axis=1) + decay * theta["v"],
-        }
+        grad = {"b": np.zeros(1), "w": decay * theta["w"], "v": decay * theta["v"]}
+        for own, rows, cols in blocks:
+            n = own.stop - own.start
+            v = theta["v"][cols]
+            sums = by_row(rows, v, n)
+            logit = theta["b"][0] + np.bincount(rows, theta["w"][cols], n) + 0.5 * ((sums**2).sum(axis=1) - np.bincount(rows, (v**2).sum(axis=1), n))
+            error = scale[own] * (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - labels[own])
+            grad["b"] += error.sum()
+            grad["w"] += np.bincount(cols, error[rows], m)
+            grad["v"] += by_row(cols, error[rows, None] * (sums[rows] - v), m)
         for k in theta:
             first[k] = 0.9 * first[k] + 0.1 * grad[k]
             second[k] = 0.999 * second[k] + 0.001 * grad[k] ** 2
@@ -164,7 +192,9 @@ def train(docs: DataFrame, labels: DataFrame, *, rows: int = 6000, buckets: int
     if len(np.unique(y)) < 2:
         return Machine({}, buckets, 30.0 if y[0] else -30.0, np.zeros(0), np.zeros((0, factors)))
     weight = np.where(y == 1, counts[1] / (y == 1).sum(), counts[0] / (y == 0).sum()).astype(float)
-    return fit([np.array(b, np.int64) for b in got["bag"].to_pylist()], y, weight, buckets=buckets, least_g=least_g, features=features, factors=factors, steps=steps, rate=rate, decay=decay)
+    bag = got["bag"].combine_chunks()
+    bags = np.split(bag.flatten().to_numpy(), np.cumsum(bag.value_lengths().to_numpy())[:-1])  # views of one array
+    return fit(bags, y, weight, buckets=buckets, least_g=least_g, features=features, factors=factors, steps=steps, rate=rate, decay=decay)
 
 
 def score(docs: DataFrame, machine: Machine, threshold: float = 0.3) -> DataFrame:

@@ -243,3 +243,18 @@ def test_parts_are_balanced():
     x = np.concatenate([rng.normal(c, 0.1, (n, 8)) for c, n in ((0, 700), (3, 200), (-3, 100))])
     part = neighbours.balanced_parts(x, neighbours.neighbour_graph(x, 8), 8)
     assert np.bincount(part, minlength=8).max() <= np.ceil(1000 / 8 * 1.1)
+
+
+def test_learning_holds_few_rows_at_once():
+    """The driver has to hold what the learning takes. In one piece this took 90 MB."""
+    import tracemalloc
+
+    rng = np.random.default_rng(6)
+    bags = [np.unique(rng.integers(0, 1 << 12, 300)).astype(np.int32) for _ in range(4000)]
+    y = (rng.random(4000) < 0.5).astype(int)
+    bags = [np.union1d(bag, rng.choice(2000, 80) + (1 << 13 if label else 1 << 14)).astype(np.int32) for bag, label in zip(bags, y)]
+    tracemalloc.start()
+    toxicity.fit(bags, y, np.ones(4000), **production(("buckets", "least_g", "features", "factors", "rate", "decay")), steps=3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6

@@ -109,3 +109,22 @@ def test_shingles_are_told_apart_as_word_sequences():
     text = ("a b c d e f " * 50).encode()
     assert len(minhash.shingles(text, 5)) == len(brute_set(text.decode()))
     assert minhash.shingles("É".encode(), 5) != minhash.shingles("é".encode(), 5)
+
+
+def test_members_meet_their_parts_once(spark):
+    rng = random.Random(8)
+    rows = [(part, 1000 * part + i, 1000 * part + (i if i % 3 else 0), bytes([rng.randrange(4)])) for part in range(4) for i in range(50)]
+    table = spark.createDataFrame(rows, "part long, id long, comp long, payload binary")
+    got = minhash.joined_in_blocks(table, lambda left, right: (np.array([a == b for b in right]) for a in left), 8)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+    # With what was together before, all of a part that are equal are together.
+    joined = {i: comp for _, i, comp, _ in rows}
+    forest = minhash.Forest()
+    for u, v in got.collect():
+        forest.join(joined[u], joined[v])
+    want = minhash.Forest()
+    for part, i, comp, payload in rows:
+        for other, j, with_, same in rows:
+            if part == other and payload == same:
+                want.join(comp, with_)
+    assert [forest.find(c) for c in joined.values()] == [want.find(c) for c in joined.values()]

@@ -59,6 +59,19 @@ def test_components_of_paths_stars_and_rings(spark):
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_components_of_stars_take_no_round(spark, monkeypatch):
+    """Every round is jobs and plans that the driver holds."""
+    from kinetrove.llm import components as module
+
+    seen = []
+    monkeypatch.setattr(module, "stage", lambda df, name, f=module.stage: seen.append(name) or f(df, name))
+    links = [(i, 100 * (i // 100)) for i in range(400) if i % 100] + [(1001, 1000)]
+    got = dict(module.components(spark.createDataFrame(links, "u long, v long")).collect())
+    assert got == {**{i: 100 * (i // 100) for i in range(400)}, 1000: 1000, 1001: 1000}
+    assert seen.count("links") == 1
+    assert module.components(spark.createDataFrame([], "u long, v long")).count() == 0 and seen.count("links") == 2
+
+
 def brute_print(text):
     words = (text or "").encode().lower().split()
     if not words:
