@@ -289,7 +289,8 @@ def linked_sets(docs: DataFrame, rows: DataFrame, banded: Callable, most: int, *
     distinct = stage(rows.where("n > 0").groupBy("digest").agg(F.min("row").alias("class"), F.min("doc_id").alias("least"), first).select("digest", "class", "least", "first.*"), "classes")
     banded = banded(distinct)
     shared = banded.groupBy("part").agg(F.min("class").alias("leader"), F.count("*").alias("n")).where("n > 1")
-    buckets = stage(banded.join(shared, "part"), "buckets")
+    # Spark takes the keys, many for each set, to be as small as the sets, and would broadcast them.
+    buckets = stage(banded.join(shared.hint("merge"), "part"), "buckets")
     sketches = stage(distinct.join(buckets.select("class").distinct(), "class", "left_semi").select("class", "sketch", "doc_id", "text_hash"), "sketches")
     # 1. stars
     pairs = stars(buckets)
@@ -303,7 +304,7 @@ def linked_sets(docs: DataFrame, rows: DataFrame, banded: Callable, most: int, *
     joined = stage(components(links).select(F.col("node").alias("class"), "component"), "star-classes")
     # 2. what may link in buckets of several components
     comp = F.coalesce("component", "class").alias("comp")
-    members = buckets.where("n > 2").join(sketches.select("class", "sketch"), "class").join(joined, "class", "left")
+    members = buckets.where("n > 2").hint("merge").join(sketches.select("class", "sketch"), "class").join(joined, "class", "left")
     # Read twice: counted, and dealt to blocks.
     members = stage(members.select("part", F.col("class").alias("id"), comp, _packed(F.col("sketch")).alias("payload")), "members")
     may = stage(joined_in_blocks(members, sketches_meet(most), block), "may-link")

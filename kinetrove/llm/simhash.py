@@ -126,11 +126,8 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 3, bits: int = 3) -> Data
 
 def without_copies(docs: DataFrame, marked: DataFrame) -> DataFrame:
     """``docs`` without the ids of ``marked`` (doc_id, stays) that have no row that stays. Only such ids meet the texts."""
-    marked = stage(marked, "near-marks")
-    gone = marked.where("NOT stays").select("doc_id").distinct()
     # An id with several texts goes only if none of them stays.
-    gone = stage(gone.join(marked.where("stays"), "doc_id", "left_anti"), "near-dropped")
-    gone = gone.withColumnRenamed("doc_id", "_gone")
+    gone = stage(marked.groupBy("doc_id").agg(F.max("stays").alias("stays")).where("NOT stays").select(F.col("doc_id").alias("_gone")), "near-dropped")
     return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
 
 

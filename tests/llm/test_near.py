@@ -188,3 +188,30 @@ def test_wide_keys_meet_within_size_and_errors():
     assert 0.4 < bits.mean() < 0.6
     half = np.unpackbits(np.frombuffer(simhash.wide_fingerprint(one[:2700]), np.uint8))
     assert 20 < (bits != half).sum() < simhash.most_wide(80)
+
+
+def test_keys_of_sets_are_not_broadcast(spark, documents, monkeypatch, capsys):
+    """Spark sizes the keys like the sets that they come from: within its limit, millions of them went through the driver."""
+    plans, stage = {}, minhash.stage
+
+    def planned(df, name):
+        df.explain()
+        plans[name] = capsys.readouterr().out
+        return stage(df, name)
+
+    assert int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").rstrip("b")) >= 10 << 20
+    monkeypatch.setattr(minhash, "stage", planned)
+    monkeypatch.setattr(simhash, "stage", planned)
+    for run in (simhash.unique_texts, minhash.near_duplicates):
+        run(documents)
+        assert "BroadcastExchange" not in plans["buckets"] and "SortMergeJoin [part" in plans["buckets"]
+        # Of the members only what is one row for each set may be broadcast.
+        assert "SortMergeJoin [class" in plans["members"] and plans["members"].count("BroadcastExchange") <= 1
+    assert "BroadcastHashJoin [doc_id" not in plans["near-dropped"]
+
+
+def test_ids_go_only_if_no_row_stays(spark):
+    docs = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a"), (2, "c"), (3, "b"), (None, "b")], "doc_id long, text string")
+    marked = spark.createDataFrame([(1, True), (1, True), (2, False), (2, True), (3, False), (3, False)], "doc_id long, stays boolean")
+    got = simhash.without_copies(docs, marked)
+    assert sorted((str(r.doc_id), r.text) for r in got.collect()) == [("1", "a"), ("1", "b"), ("2", "a"), ("2", "c"), ("None", "b")]
