@@ -103,7 +103,8 @@ def links(prints: DataFrame, bits: int = 3) -> DataFrame:
     if not 0 <= bits <= 3:
         raise ValueError("the keys find pairs within three bits")
     one, all_ = fuzzy_keys(prints, every=False), fuzzy_keys(prints, every=True)
-    pairs = one.withColumnRenamed("print", "u").join(all_.withColumnRenamed("print", "v"), "key")
+    # Spark takes the keys, many for each fingerprint, to be as small as the fingerprints, and would broadcast them.
+    pairs = one.withColumnRenamed("print", "u").join(all_.withColumnRenamed("print", "v").hint("merge"), "key")
     near = pairs.where((F.col("u") != F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= bits))
     return near.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
 

@@ -215,3 +215,10 @@ def test_ids_go_only_if_no_row_stays(spark):
     marked = spark.createDataFrame([(1, True), (1, True), (2, False), (2, True), (3, False), (3, False)], "doc_id long, stays boolean")
     got = simhash.without_copies(docs, marked)
     assert sorted((str(r.doc_id), r.text) for r in got.collect()) == [("1", "a"), ("1", "b"), ("2", "a"), ("2", "c"), ("None", "b")]
+
+
+def test_keys_of_fingerprints_are_not_broadcast(spark, capsys):
+    prints = simhash.stage(spark.createDataFrame([(k * k,) for k in range(100)], "print long"), "prints")  # files, so that their size is known
+    simhash.links(prints).explain()
+    plan = capsys.readouterr().out
+    assert "Broadcast" not in plan and "SortMergeJoin [key" in plan
